@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hyperminhash, mixing, sharding
+from . import huffman, hyperminhash, mixing, packing, sharding
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op6_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.token_files(table(spark, sf_dir, "documents"))
+
+
+def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_hyperminhash": op5_hyperminhash,
         "op6_mix_to_weights": op6_mix_to_weights,
+        "op7_huffman_token_files": op7_huffman_token_files,
+        "op9_minimum_bin_slack": op9_minimum_bin_slack,
         "op10_rendezvous_shards": op10_rendezvous_shards,
     }
 

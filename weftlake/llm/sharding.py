@@ -51,20 +51,20 @@ def shard_records(df: DataFrame, key: str, shards: int, weights: Sequence[float]
     return df.withColumn(into, rendezvous(F.col(key), shards, weights))
 
 
-def with_slots(df: DataFrame, shard: str, spread: Sequence[str], into: str = "slot") -> DataFrame:
+def with_slots(df: DataFrame, shard: str, spread: Sequence[str], into: str = "slot", parts: int = SLOT_PARTS) -> DataFrame:
     """Add a gapless 0-based number within each shard.
 
     A shard of a large table is too big for one task, so rows are numbered
-    within ``SLOT_PARTS`` hashed parts of each shard and moved up by the sizes
+    within ``parts`` hashed parts of each shard and moved up by the sizes
     of the parts before; the offsets are one row per shard and part.  ``df``
     must be stable when read twice (a stored table).
     """
-    part = df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(SLOT_PARTS)).cast("int"))
+    part = df.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(parts)).cast("int"))
     sizes = part.groupBy(shard, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     order = Window.partitionBy(shard, "_part").orderBy(*spread)
-    # bounded: at most shards * SLOT_PARTS rows of three numbers
+    # bounded: at most shards * parts rows of three numbers
     joined = part.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
     return joined.withColumn(into, (F.col("_base") + F.col("_rank")).cast("long")).drop("_part", "_s", "_p", "_base", "_rank")
 
