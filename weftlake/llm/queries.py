@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, hyperminhash, mixing, packing, sharding
+from . import huffman, hyperminhash, media, mixing, packing, sharding
 from .common import table
 
 
+def op1_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_iso_media": op1_iso_media,
         "op5_hyperminhash": op5_hyperminhash,
         "op6_mix_to_weights": op6_mix_to_weights,
         "op7_huffman_token_files": op7_huffman_token_files,
