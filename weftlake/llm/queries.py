@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, hyperminhash, media, mixing, packing, sharding
+from . import huffman, hyperminhash, media, mixing, packing, pii, sharding
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.token_files(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hyperminhash": op5_hyperminhash,
         "op6_mix_to_weights": op6_mix_to_weights,
         "op7_huffman_token_files": op7_huffman_token_files,
+        "op8_weak_supervision_pii": op8_weak_supervision_pii,
         "op9_minimum_bin_slack": op9_minimum_bin_slack,
         "op10_rendezvous_shards": op10_rendezvous_shards,
     }
