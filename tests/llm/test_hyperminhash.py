@@ -78,3 +78,20 @@ def test_estimate_is_corrected():
 def test_short_texts_are_one_shingle():
     a, b, c = shingle_sets([b"a b", b"A  b", b"a b c d e"], 5)
     assert len(a) == len(c) == 1 and a[0] == b[0] != c[0]
+
+
+def test_exhaustive_comparison_in_blocks(spark, monkeypatch):
+    """With every member a component of its own, the blocks alone find all links."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(H, "BLOCK", 7)
+    rows = [r for r in planted(6) if r[1] and r[1].strip()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = H.sketch(df).select(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands")
+    sets = df.select("doc_id", "text").mapInArrow(H._sets, "node long, hashes binary")
+    open_ = nodes.select(F.explode("bands").alias("band"), "node", F.col("node").alias("comp"))
+    open_ = open_.join(open_.groupBy("band").count().filter("count > 1").select("band"), "band").select("band", "node", "comp")
+    links = H._across(open_, nodes.join(sets, "node"))
+    labels = {r.node: r.comp for r in H.graph.components(links).collect()}
+    want = {i: c for i, (n, c) in brute(rows).items()}
+    assert {i: labels.get(i, i) for i, _ in rows} == want

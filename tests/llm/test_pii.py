@@ -45,7 +45,7 @@ def corpus():
     key = lambda: "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))
     rows, want = [], {}
     for i in range(240):
-        middle = [f"password={hexa(18)}", f'token = "{hexa(40)}"', key(), "Licensed under CC BY-NC 4.0.", f"version {i}.10.2-beta", "4839153833223932", "2024-01-02", f"me{i}@x.org", word()][i % 9]
+        middle = [f"password={hexa(18)}", f'token = "{hexa(40)}"', key(), "Licensed under CC BY-NC 4.0.", f"version {i}.10.2-beta", "4839153833223933", "2024-01-02", f"me{i}@x.org", word()][i % 9]
         text = " ".join(word() for _ in range(8)) + f" {middle} " + " ".join(word() for _ in range(8))
         rows.append((i, text))
         want[i] = [re.search(r"[0-9a-f]{18,}|AKIA\w{16}", middle).group()] if i % 9 < 3 else []
