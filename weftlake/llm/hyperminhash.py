@@ -17,8 +17,9 @@ have full sketches whose registers still agree with the texts' similarity.
    deviations of the threshold; they are then confirmed on the full sets.
 5. Connected components of the links.  Buckets whose members are already in
    one component are settled.  From the others the centre leaves (it has met
-   every member), a second star follows, and what is still in different
-   components after it is paired across components, with no cap.
+   every member), a second star follows, and in what is still open after it
+   every member outside a bucket's largest component is compared with all
+   members, in blocks, with no cap.
 
 Defined results: null or wordless text has no shingles, is linked with nothing
 and is kept; rows that share a doc_id are one document; a null doc_id never
@@ -50,6 +51,8 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 32, 4
 STARS = 2
+#: Members of one side of a task in the last, exhaustive comparison.
+BLOCK = 256
 #: Document ids that may be broadcast (16 MB of ids); beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -180,6 +183,70 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(likely.join(side("a", sets), "a").join(side("b", sets), "b").filter(_linked("hashes_a", "hashes_b")).select("a", "b"), "links")
 
 
+def _centre(turn: int):
+    """A bucket's centre: by a hash of node and band, so that a group's buckets have different ones."""
+    return F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), F.col("node")))
+
+
+_BLOCK_SCHEMA = "a long, b long"
+
+
+def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block's minor members with members of other components.
+
+    A pair that shares an earlier band meets there.  All of a minor's pairs are
+    counted in one pass over the others' shingles.
+    """
+    band = rows["band"].iloc[0]
+    keys = np.stack([np.asarray(x, np.int64) for x in rows["bands"]])
+    regs = np.stack([np.frombuffer(x, np.uint16) for x in rows["registers"]])
+    sizes = rows["n_shingles"].to_numpy()
+    node, comp, minor = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["minor"].to_numpy()
+    values, ids = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    earlier = np.cumsum(keys == band, axis=1) == 0  # bands before this one
+    present, t, out = np.zeros(len(values), bool), PERCENT / 100, []
+    others = np.flatnonzero(~minor)
+    for i in np.flatnonzero(minor).tolist():
+        j = others[(comp[others] != comp[i])]
+        j = j[~((keys[j] == keys[i]) & earlier[i]).any(1)]
+        if len(j):
+            est, used = estimate(regs[j], np.broadcast_to(regs[i], (len(j), BUCKETS)), sizes[j], np.full(len(j), sizes[i]))
+            j = j[est >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1))]
+        if not len(j):
+            continue
+        present[own[i]] = True
+        n = sizes[j]
+        same = np.add.reduceat(present[np.concatenate([own[k] for k in j.tolist()])].astype(np.int64), np.cumsum(n) - n)
+        present[own[i]] = False
+        j = j[100 * same >= PERCENT * (n + sizes[i] - same)]
+        _, first = np.unique(comp[j], return_index=True)  # one link to a component will do
+        out += [(min(x, node[i]), max(x, node[i])) for x in node[j[first]].tolist()]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _across(open_: DataFrame, payload: DataFrame) -> DataFrame:
+    """Links between components within open buckets (band, node, comp).
+
+    Members of a bucket's largest component need no comparison with each other;
+    the others, its minor members, meet all members.  Both sides are dealt to
+    blocks, and a task holds one block of each, so a bucket of any size is
+    compared in bounded tasks and only links leave them.
+    """
+    parts = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
+    parts = parts.select("band", F.col("m.comp").alias("main"), blocks(F.col("all")).alias("all_blocks"), blocks(F.col("all") - F.col("m.n")).alias("minor_blocks"))
+    rows = materialize(open_.join(parts, "band").join(payload, "node"), "open")
+    deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = rows.filter("comp <> main").withColumn("i", deal("minor_blocks", 1)).withColumn("j", spread("all_blocks")).withColumn("minor", F.lit(True))
+    every = rows.withColumn("j", deal("all_blocks", 2)).withColumn("i", spread("minor_blocks")).withColumn("minor", F.lit(False))
+    both = minor.unionByName(every).select("band", "i", "j", "node", "comp", "minor", "n_shingles", "registers", "bands", "hashes")
+    return materialize(both.groupBy("band", "i", "j").applyInPandas(_block_links, _BLOCK_SCHEMA).distinct(), "across")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of documents(doc_id, text)."""
     sketches = materialize(sketch(documents), "sketches")
@@ -189,29 +256,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = sketches.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
     nodes = materialize(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands"), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "centre")
+    shared = members.groupBy("band").agg(_centre(0).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("c.node").alias("centre"))
     buckets = materialize(members.join(shared, "band"), "buckets")
     wanted = materialize(buckets.select(F.col("node").alias("doc_id")).distinct(), "wanted")
     sets = materialize(only_ids(documents.select(F.col("doc_id").cast("long"), "text"), wanted).mapInArrow(_sets, "node long, hashes binary"), "sets")
     slim = nodes.select("node", "n_shingles", "registers")
-    pairs = buckets.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = buckets.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = _confirm(pairs, slim, sets)
     labels = graph.components(links)
-    for turn in range(STARS):
+    for turn in range(1, STARS + 1):
         # the centre has met all others of its bucket: it leaves
         left = buckets.filter("node <> centre").select("band", "node").join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         left = materialize(left, "left")
-        open_ = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("comp"))).alias("c")).filter("lo <> hi")
-        buckets = left.join(open_.select("band", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp")), "band")
-        buckets = materialize(buckets, "buckets")
+        open_ = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), _centre(turn).alias("c")).filter("lo <> hi")
+        buckets = left.join(open_.select("band", F.col("c.node").alias("centre")), "band")
+        buckets = materialize(buckets.join(left.select("band", F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), ["band", "centre"]), "buckets")
         if not buckets.limit(1).count():
             break
-        if turn < STARS - 1:
+        if turn < STARS:
             pairs = buckets.filter("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+            more = _confirm(pairs.distinct(), slim, sets)
         else:
-            other = buckets.select("band", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = buckets.select("band", F.col("node").alias("a"), "comp").join(other, "band").filter("a < b and comp <> comp_b").select("a", "b")
-        more = _confirm(pairs.distinct(), slim, sets)
+            more = _across(buckets.select("band", "node", "comp"), nodes.join(sets, "node"))
         if more.limit(1).count():
             links = links.union(more)
             labels = graph.components(links)
