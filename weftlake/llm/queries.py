@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, hyperminhash, media, milquality, mixing, packing, pii, sharding
+from . import addquant, huffman, hyperminhash, media, milquality, mixing, packing, pii, sharding
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addquant.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return milquality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_iso_media": op1_iso_media,
+        "op2_additive_quantisation": op2_additive_quantisation,
         "op3_attention_mil_quality": op3_attention_mil_quality,
         "op5_hyperminhash": op5_hyperminhash,
         "op6_mix_to_weights": op6_mix_to_weights,
