@@ -106,10 +106,13 @@ def mix_digest(documents: DataFrame) -> DataFrame:
     return _apply(lean, plan_mix(lean)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def repeat_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: each row as often as ``copies`` says."""
-    turns = F.sequence(F.lit(1), F.col("copies").cast("int"))
-    return mixed.filter(F.col("copies") > 0).withColumn("_turn", F.explode(turns)).select(*columns)
+def mixture(documents: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: whole rows of ``documents``, each as often as the mix takes it."""
+    key = [F.col("doc_id"), F.col("source"), word_count().alias("size"), seeded_hash(seed=seed).alias("_h")]
+    cuts = plan_mix(materialize(documents.select(*key), "sizes"), weights, budget, max_epochs)
+    taken = _apply(documents.select(*key, F.struct("*").alias("_row")), cuts).filter(F.col("copies") > 0)
+    turns = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return taken.select("_row", turns.alias("_turn")).select("_row.*")
 
 
 #: The same rows in DuckDB.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import addquant, huffman, hyperminhash, media, milquality, mixing, packing, pii, sharding
+from . import addquant, huffman, hyperminhash, linkrank, media, milquality, mixing, packing, pii, sharding
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return milquality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkrank.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_iso_media": op1_iso_media,
         "op2_additive_quantisation": op2_additive_quantisation,
         "op3_attention_mil_quality": op3_attention_mil_quality,
+        "op4_host_trust": op4_host_trust,
         "op5_hyperminhash": op5_hyperminhash,
         "op6_mix_to_weights": op6_mix_to_weights,
         "op7_huffman_token_files": op7_huffman_token_files,
@@ -61,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_to_weights": mixing.ORACLE}
+    return {"op4_host_trust": linkrank.ORACLE, "op6_mix_to_weights": mixing.ORACLE}
