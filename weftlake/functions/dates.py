@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 # Formats in the order in which they are tried (Spark's letters), each with the shape of its texts.
 FORMATS = (
     (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}[+-]\d{4}", "y-M-d'T'H:m:sxx"), (r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}[+-]\d{4}", "y-M-d'T'H:m:s.SSSSSSxx"),
@@ -38,20 +40,28 @@ def _reread(text: Column, dayfirst: bool) -> Column:
 
 def parse_date(text: Column, as_of: Column | None = None, dayfirst: bool = False) -> Column:
     """TIMESTAMP (UTC session) or null: relative to ``as_of``, the formats in order, then ISO."""
-    t = F.trim(text)
+    return bind(F.trim(text), lambda t: _parsed(t, as_of, dayfirst))
+
+
+def _normal(t: Column) -> Column:
+    """Without a zone's name in brackets; offsets as four digits."""
     cut = F.regexp_replace(t, r"\s+\([A-Z]{2,5}\)\s*$", "")
-    norm = F.regexp_replace(F.when(cut.endswith("Z"), F.replace(cut, F.lit("Z"), F.lit("+0000"))).otherwise(cut), r"([+-]\d{2}):(\d{2})$", "$1$2")
-    read = F.lit(None).cast("timestamp")
+    return F.regexp_replace(F.when(cut.endswith("Z"), F.replace(cut, F.lit("Z"), F.lit("+0000"))).otherwise(cut), r"([+-]\d{2}):(\d{2})$", "$1$2")
+
+
+def _by_format(norm: Column, dayfirst: bool) -> Column:
     tries = []
     for shape, fmt in FORMATS:
         value = F.regexp_replace(norm, r"^[A-Z][a-z]{2}, ", "") if fmt == "d MMM y H:m:s xx" else norm
         if ".SSSSSS" in fmt:  # digits of a second are filled up to six
             value = F.concat(F.regexp_extract(norm, r"^(.*\.)", 1), F.rpad(F.regexp_extract(norm, r"\.(\d+)", 1), 6, "0"), F.regexp_extract(norm, r"([+-]\d{4})$", 1))
         tries.append(F.when(norm.rlike(f"^(?:{shape})$"), F.try_to_timestamp(value, F.lit(fmt))))
-    read = F.coalesce(*tries)
-    read = F.coalesce(F.when(read.isNotNull() & norm.rlike(_AMBIGUOUS), _reread(norm, dayfirst)), read)
+    return bind(F.coalesce(*tries), lambda read: F.coalesce(F.when(read.isNotNull() & norm.rlike(_AMBIGUOUS), _reread(norm, dayfirst)), read))
+
+
+def _parsed(t: Column, as_of: Column | None, dayfirst: bool) -> Column:
     iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), t.try_cast("timestamp"))
-    found = F.coalesce(read, iso)
+    found = F.coalesce(bind(_normal(t), lambda n: _by_format(n, dayfirst)), iso)
     if as_of is not None:
         unit, seconds = F.lower(F.regexp_extract(t, _AGO, 2)), F.lit(0)
         for k, v in UNITS.items():
@@ -63,5 +73,6 @@ def parse_date(text: Column, as_of: Column | None = None, dayfirst: bool = False
 
 def date_field(text: Column, as_of: Column | None = None, dayfirst: bool = False) -> Column:
     """STRUCT<raw,iso,date,ambiguous>."""
-    p = parse_date(text, as_of, dayfirst)
-    return F.struct(text.alias("raw"), F.date_format(p, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("iso"), F.date_format(p, "yyyy-MM-dd").alias("date"), is_ambiguous(text).alias("ambiguous"))
+    written = lambda p: F.struct(F.date_format(p, "yyyy-MM-dd'T'HH:mm:ssxxx").alias("iso"), F.date_format(p, "yyyy-MM-dd").alias("date"))
+    both = bind(parse_date(text, as_of, dayfirst), written)
+    return F.struct(text.alias("raw"), both["iso"].alias("iso"), both["date"].alias("date"), is_ambiguous(text).alias("ambiguous"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 # Currency signs and their codes, codes known without a sign, multipliers.
 CURRENCIES = {
     "$": "USD", "US$": "USD", "£": "GBP", "€": "EUR", "¥": "JPY", "₹": "INR", "₨": "INR", "R$": "BRL", "₩": "KRW", "₽": "RUB", "₺": "TRY", "₪": "ILS",

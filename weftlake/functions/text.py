@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from .bind import bind
+
 WORD = r"[\p{L}\p{N}_]+"
 SHINGLE = 3
 
@@ -58,7 +60,7 @@ def shingles(tokens: Column, size: int = SHINGLE) -> Column:
         many = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " "))
         return F.when(F.size(w) >= size, many).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.get(F.transform(F.array(tokens), runs), F.lit(0))
+    return bind(tokens, runs)
 
 
 def hamming(a: Column, b: Column) -> Column:
