@@ -64,8 +64,8 @@ def with_slots(df: DataFrame, shard: str, spread: Sequence[str], into: str = "sl
     before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     order = Window.partitionBy(shard, "_part").orderBy(*spread)
-    # bounded: at most shards * parts rows of three numbers
-    joined = part.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
+    # the numbered rows are dealt by the join's keys already; at most shards * parts offsets come to them
+    joined = part.withColumn("_rank", F.row_number().over(order) - 1).join(offsets, (F.col(shard) == F.col("_s")) & (F.col("_part") == F.col("_p")))
     return joined.withColumn(into, (F.col("_base") + F.col("_rank")).cast("long")).drop("_part", "_s", "_p", "_base", "_rank")
 
 
