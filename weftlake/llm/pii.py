@@ -292,7 +292,8 @@ def with_spans(found: DataFrame, w: np.ndarray | None) -> DataFrame:
     fired = lambda f, k: F.floor(f / (100 << k)) % 2 == 1
     kind = lambda f: F.when(fired(f, NUMBERS[0]) | fired(f, NUMBERS[1]), F.lit(NUMBER)).otherwise(F.lit(SECRET))
     more = F.transform(F.filter("candidates", accepted), lambda c: F.struct(kind(c["feature"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found.select("doc_id", "base", F.concat("base", more).alias("spans"))
+    of_kind = lambda k: F.filter(more, lambda s: s["kind"] == k)
+    return found.select("doc_id", "base", F.concat("base", of_kind(SECRET), of_kind(NUMBER)).alias("spans"))
 
 
 def digest(documents: DataFrame) -> DataFrame:
