@@ -19,7 +19,7 @@ def avoidance_rate(records: DataFrame, method: str, model: str) -> DataFrame:
 
 def run_report(items: DataFrame, job: str, ok: Column, kind: str, method: str) -> DataFrame:
     """Per job: submitted, succeeded, failed and counts by kind (all) and by method (succeeded)."""
-    by = lambda c, only, name: items.filter(only).groupBy(job, c).agg(F.count(F.lit(1)).alias("n")).groupBy(job).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(c), F.col("n"))))).alias(name))
+    by = lambda c, only, name: items.filter(only).groupBy(job, F.coalesce(F.col(c), F.lit("unknown")).alias("_by")).agg(F.count(F.lit(1)).alias("n")).groupBy(job).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_by", "n")))).alias(name))
     head = items.groupBy(job).agg(F.count(F.lit(1)).alias("submitted"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))
     return head.join(by(kind, F.lit(True), "by_kind"), job, "left").join(by(method, ok, "by_method"), job, "left")
 

@@ -92,7 +92,9 @@ def delimited(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def json_records(df: DataFrame, key: str, text: str) -> DataFrame:
     """JSON documents and arrays, or JSON lines -> key, place, value (VARIANT); unreadable lines are left out."""
-    whole = F.try_parse_json(F.col(text))
+    head = F.regexp_extract(F.trim(F.col(text)), r"^([^\n]*)\n", 1)
+    several = (head != "") & F.try_parse_json(head).isNotNull()  # the parser stops after a first value
+    whole = F.when(~several, F.try_parse_json(F.col(text)))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & F.try_parse_json(x).isNotNull())
     values = F.when(whole.isNull(), lines).when(F.trim(F.col(text)).startswith("["), F.transform(F.from_json(F.col(text), "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array(F.trim(F.col(text))))
     return df.select(key, F.posexplode(F.slice(values, 1, MAX_ROWS)).alias("place", "raw")).select(key, "place", F.try_parse_json("raw").alias("value"))
@@ -209,12 +211,12 @@ def robots_verdict(urls: DataFrame, robots: DataFrame, agent: str, unreachable:
     allow wins ties.
     """
     rules = robots_rules(robots.filter("status between 200 and 299"), "origin", "body").filter("directive <> 'delay' and value <> ''")
-    own = rules.groupBy("origin").agg(F.max(F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*")).alias("named"))
-    rules = rules.join(own, "origin").filter(F.when(F.col("named"), F.lit(agent.lower()).contains(F.col("agent")) & (F.col("agent") != "*")).otherwise(F.col("agent") == "*"))
-    quoted = F.regexp_replace("value", r"([\\.\[\]{}()+?^|])", r"\\$1")
+    own = rules.groupBy("origin").agg(F.max(F.contains(F.lit(agent.lower()), F.col("agent")) & (F.col("agent") != "*")).alias("named"))
+    rules = rules.join(own, "origin").filter(F.when(F.col("named"), F.contains(F.lit(agent.lower()), F.col("agent")) & (F.col("agent") != "*")).otherwise(F.col("agent") == "*"))
+    quoted = F.regexp_replace(F.col("value"), r"([\\.\[\]{}()+?^|])", r"\\$1")
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\$(?!$)", r"\\\$"), r"\*", ".*"))
     rules = rules.select("origin", "directive", F.length("value").alias("n"), pattern.alias("pattern"))
-    best = urls.join(rules, "origin").filter(F.col("path").rlike(F.col("pattern"))).groupBy("url").agg(F.max(F.struct("n", (F.col("directive") == "allow").alias("ok"))).alias("best"))
+    best = urls.join(rules, "origin").filter(F.rlike(F.col("path"), F.col("pattern"))).groupBy("url").agg(F.max(F.struct("n", (F.col("directive") == "allow").alias("ok"))).alias("best"))
     s = F.col("status")
     blanket = F.when(s.isNull() | (s >= 500), F.lit(unreachable == "allow")).when(s.isin(401, 403), F.lit(False)).when(s >= 400, F.lit(True))
     joined = urls.join(robots.select("origin", "status"), "origin", "left").join(best, "url", "left")

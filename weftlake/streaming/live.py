@@ -19,7 +19,7 @@ def segments(spark: SparkSession, folder: str, pattern: str = "*", seconds: int
     A file's number in its name is its place; small files and those beyond the
     limit are left out.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
     place = F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).try_cast("int")
     return files.filter(F.col("length") > MIN_BYTES).select(place.alias("place"), (place * seconds).alias("offset"), F.col("content")).filter(F.col("place").between(0, most - 1))
 
