@@ -38,6 +38,12 @@ def test_base_examples():
     assert len(pii.base_spans("1" * 50_000 + " " + "a" * 200_000 + "@")) == 0
 
 
+def test_long_tokens_are_linear():
+    for t in ["a" * 300_000 + " 7", "1" * 300_000, "a1" * 100_000 + "@" * 1000, "." * 200_000 + "1.1", "+" * 100_000 + "1 2", "AKIA" * 50_000]:
+        pii.candidates(t, pii.base_spans(t))
+    assert [x[:2] for x in pii.candidates('k="ab1234c" x1y2z3, aaaaaaa', [])] == [(3, 10), (12, 18)]
+
+
 def corpus():
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))

@@ -78,7 +78,7 @@ def match(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Co
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """src, dst, n: how many links from pages of one host to another host."""
-    links = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^\s"'>]+)"""), 1)
+    links = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)<a\s[^<>]*?href\s*=\s*["']?((?:https?:)?//[^\s"'>]+)"""), 1)
     rows = pages.select(host_of(F.col(url)).alias("src"), F.explode(links).alias("link"))
     full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
     rows = rows.select("src", host_of(full).alias("dst")).filter("src <> '' and dst <> '' and src <> dst")
@@ -145,7 +145,7 @@ WITH raw AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(
 cut AS (SELECT page_id, html, coalesce(translate(regexp_extract(after, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
                coalesce(regexp_extract(after, '^[^/?#]*([^?#]*)', 1), '') AS path FROM raw),
 parsed AS (SELECT page_id, html, host, path, {_rule_sql()[0]} AS rule, {_rule_sql()[1]} AS said FROM cut),
-links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?((?:https?:)?//[^\s"''>]+)', 1)) AS link FROM parsed),
+links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^<>]*?href\s*=\s*["'']?((?:https?:)?//[^\s"''>]+)', 1)) AS link FROM parsed),
 ends AS (SELECT src, translate(regexp_extract(link, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM links),
 edges AS (SELECT src, dst, count(*) AS n FROM ends WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
 own AS (SELECT host, count(*) AS pages, CAST(count(*) FILTER (said = 'allow') AS DOUBLE) AS good, CAST(count(*) FILTER (said = 'block') AS DOUBLE) AS bad FROM parsed GROUP BY host),

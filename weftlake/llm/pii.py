@@ -97,7 +97,7 @@ CUES = frozenset("password passwd pwd passphrase secret token apikey api_key api
 HARMLESS = frozenset("version v page chapter section figure table cc by-nc by-sa by license volume year no number isbn doi".split())
 
 #: Tokens that may hold a credential: no spaces or quotes, a digit (or a known beginning), six characters or more.
-_TOKEN = re.compile(r"""[^\s"'`=<>()\[\]{},;]*[0-9][^\s"'`=<>()\[\]{},;]*""")
+_TOKEN = re.compile(r"""(?<![^\s"'`=<>()\[\]{},;])[^\s"'`=<>()\[\]{},;0-9]*+[0-9][^\s"'`=<>()\[\]{},;]*""")  # linear: begins at a token's start, never backtracks
 # How credentials of well-known kinds begin.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk-", "pk-", "xoxb-", "xoxp-", "AIza")
 _PREFIX = re.compile(rf"(?<![A-Za-z0-9_-])(?:{'|'.join(PREFIXES)})[A-Za-z0-9_-]{{12,}}")
