@@ -37,12 +37,13 @@ def clean_text(text: Column, nfkc: bool = True) -> Column:
 
 def preview(text: Column, size: int = 280, nfkc: bool = True) -> Column:
     """At most ``size`` characters, cut at a sentence's end past the middle, else at a space."""
-    c = F.replace(clean_text(text, nfkc), F.lit("\n"), F.lit(" "))
-    cut = F.substring(c, 1, size)
-    sentence = F.regexp_extract(cut, r"(?s)^(.*[.!?]) ", 1)
-    word = F.regexp_extract(cut, r"(?s)^(.*) ", 1)
-    short = F.when(F.length(sentence) > size * 0.5 + 1, sentence).when(cut.contains(" "), word).otherwise(cut)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None).cast("string")).when(F.length(c) <= size, c).otherwise(F.concat(short, F.lit("…")))
+    def cut(c: Column) -> Column:
+        head = F.substring(c, 1, size)
+        sentence = F.regexp_extract(head, r"(?s)^(.*[.!?]) ", 1)
+        short = F.when(F.length(sentence) > size * 0.5 + 1, sentence).when(head.contains(" "), F.regexp_extract(head, r"(?s)^(.*) ", 1)).otherwise(head)
+        return F.when(c == "", F.lit(None).cast("string")).when(F.length(c) <= size, c).otherwise(F.concat(short, F.lit("…")))
+
+    return bind(F.replace(clean_text(text, nfkc), F.lit("\n"), F.lit(" ")), cut)
 
 
 def words(text: Column) -> Column:

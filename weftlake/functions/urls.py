@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 # Query parameters that name a campaign or a session, compared with the lower-cased name.
 TRACKING_PARAMS = (
     "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_source_platform utm_creative_format utm_marketing_tactic "
@@ -79,7 +81,7 @@ def canonical_path(raw: Column) -> Column:
     for k in PATH_KEEPS:
         c = F.replace(c, F.lit(f"%{ord(k):02X}"), F.lit(k))
     c = F.regexp_replace(c, r"(?i)/(?:index|default)\.(?:html?|php|aspx?|jsp)$", "/")
-    return F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c))
+    return bind(c, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
 
 
 def canonical_query(raw: Column, strip_tracking: bool = True, sort: bool = True) -> Column:
@@ -105,8 +107,9 @@ def canonical(url: Column, strip_tracking: bool = True, strip_fragment: bool = T
     for k, v in DEFAULT_PORTS.items():
         default = F.when(s == k, F.lit(v)).otherwise(default)
     shown = F.when((port == "") | (port == default), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    q, frag = canonical_query(query(url), strip_tracking, sort_query), F.lit("") if strip_fragment else part(url, 5)
-    tail = F.concat(F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)), F.when(frag == "", F.lit("")).otherwise(F.concat(F.lit("#"), frag)))
+    shown_query = bind(canonical_query(query(url), strip_tracking, sort_query), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+    frag = F.lit("") if strip_fragment else part(url, 5)
+    tail = F.concat(shown_query, F.when(frag == "", F.lit("")).otherwise(F.concat(F.lit("#"), frag)))
     whole = F.concat(F.when(s == "", F.lit("")).otherwise(F.concat(s, F.lit(":"))), F.when(netloc == "", F.lit("")).otherwise(F.concat(F.lit("//"), user, name, shown)), canonical_path(path(url)), tail)
     return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", F.lit("")).otherwise(whole)
 
