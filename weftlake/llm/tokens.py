@@ -8,8 +8,8 @@ piece is encoded once per worker and remembered, and a text's ids are its
 pieces' ids.  New pieces are encoded joined into long strings, whose ids are
 told apart by their lengths in bytes.
 
-Remembered pieces are found by a 64-bit hash of their bytes: with a million of
-them an unseen piece is mistaken with a chance of 5e-14.
+Remembered pieces are found by a 64-bit hash of their bytes: with half a million of
+them an unseen piece is mistaken with a chance of 3e-14.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import numpy as np
 
 from .textnum import _BYTE, _grown, chunks, mix64
 
-#: Distinct pieces remembered by a worker (about 100 MB); beyond it the memory starts anew.
-MEMORY = 1_000_000
-SLOTS_BITS = 21
+#: Distinct pieces remembered by a worker (about 50 MB); beyond it the memory starts anew.
+MEMORY = 500_000
+SLOTS_BITS = 20
 #: Bytes of pieces encoded in one call.
 CALL_BYTES = 1 << 16
 
