@@ -87,3 +87,19 @@ def test_weights_set_shares(spark):
     grown = sharding.shard_records(df, "id", 4, [1.0, 2.0, 5.0, 2.0], "more")
     moved = grown.filter(F.col("more") != F.col("shard"))
     assert moved.filter("more <> 3").count() == 0 and abs(moved.count() / 40_000 - 0.2) < 0.01
+
+
+def test_ties_at_the_cut_are_counted(spark):
+    import duckdb
+
+    rows = [(7, "a b" + " \n" * (k % 2), "s") for k in range(1000)] + [(i, "c", None) for i in [5] * 90 + [None] * 90] + [(k, "x y z", "t") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", rows)
+    want = Counter((i, n, whole, round(t, 6), taken) for i, n, whole, t, taken in con.execute(mixing.ORACLE).fetchall())
+    got = mixing.mix_digest(df).collect()
+    assert Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got) == want
+    taken = Counter(len(r.text.split()) for r in mixing.mixture(df).collect())  # a size for each source
+    assert {n: n * k for n, k in taken.items()} == {n: sum(r.taken for r in got if r.size == n) for n in taken}
+    assert all(abs(n * taken[n] - r.target) <= n / 2 + 1e-6 for r in got for n in [r.size])

@@ -10,8 +10,10 @@ min(cap, level * weight).
 A source with target t and size s takes every document floor(t / s) times and a
 seeded choice of documents once more, which fills the rest of t to within half
 a document: documents in the order of a seeded hash, up to a cut.  The cut is
-found by sums over hashed ranges and an exact running sum inside the one range
-that holds it, so a source with a third of all rows is never sorted in one task.
+found by sums over hashed ranges and an exact running sum, over distinct (hash,
+doc_id, size), inside the one range that holds it, so a source with a third of
+all rows is never sorted in one task.  Of rows that tie at the cut exactly as
+many are taken as fit, by their places in a stored table of them.
 
 Defined results: null text has size 0 and takes nothing; a null source is a
 source of its own, ranked last; an empty table gives an empty result; a
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
@@ -72,12 +74,18 @@ def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
     edge = upto.filter((F.col("_upto") - F.col("_words") <= F.col("rest")) & (F.col("_upto") >= F.col("rest")) & (F.col("_words") > 0))
     edge = edge.select("_src", F.col("_range").alias("_edge"), (F.col("_upto") - F.col("_words")).alias("_before"), "rest")
     inside = sized.filter(F.col("size") > 0).join(edge, F.col("source").eqNullSafe(F.col("_src")) & (F.substring("_h", 1, RANGE_DIGITS) == F.col("_edge")))
+    ties = inside.groupBy("_src", "_edge", "_before", "rest", "_h", "doc_id", "size").agg(F.count(F.lit(1)).alias("_n"))
     within = Window.partitionBy("_src", "_edge").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    taken = inside.withColumn("_run", F.col("_before") + F.sum("size").over(within)).filter(2 * F.col("_run") - F.col("size") <= 2 * F.col("rest"))
-    cuts = taken.groupBy("_src").agg(F.max(F.struct("_h", "doc_id", "size")).alias("_last"))
+    ties = ties.withColumn("_below", F.col("_before") + F.sum(F.col("size") * F.col("_n")).over(within) - F.col("size") * F.col("_n"))
+    fits = lambda k: 2 * (F.col("_below") + k * F.col("size")) - F.col("size") <= 2 * F.col("rest")
+    near = F.greatest(F.lit(0), F.floor((F.col("rest") - F.col("_below")) / F.col("size") + F.lit(0.5))).cast("long")
+    taken = ties.withColumn("_k", near).withColumn("_k", F.when(fits(F.col("_k") + 1), F.col("_k") + 1).when(fits(F.col("_k")), F.col("_k")).otherwise(F.col("_k") - 1))
+    taken = taken.withColumn("_fit", F.least("_k", "_n")).filter("_fit > 0")
+    cuts = taken.groupBy("_src").agg(F.max(F.struct(F.struct("_h", "doc_id", "size").alias("last"), "_fit", "_n")).alias("_c"))
+    cuts = cuts.select("_src", F.col("_c.last").alias("_last"), F.when(F.col("_c._fit") < F.col("_c._n"), F.col("_c._fit")).alias("_fit"))
     starts = edge.groupBy(F.col("_src").alias("_from")).agg(F.min("_edge").alias("_first"))
     bound = plan.join(cuts, F.col("source").eqNullSafe(F.col("_src")), "left").join(starts, F.col("source").eqNullSafe(F.col("_from")), "left")
-    return materialize(bound.select(F.col("source").alias("_source"), "source_size", "target", "whole", "_last", "_first"), "cuts")
+    return materialize(bound.select(F.col("source").alias("_source"), "source_size", "target", "whole", "_last", "_fit", "_first"), "cuts")
 
 
 def mix(documents: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -96,8 +104,35 @@ def _apply(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("_source")))
     below = F.col("_last").isNotNull() & (F.struct("_h", "doc_id", "size") <= F.col("_last"))
     below = below | (F.col("_first").isNotNull() & (F.substring("_h", 1, RANGE_DIGITS) < F.col("_first")))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(below, F.lit(False)).cast("long")).otherwise(F.lit(0))
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("_h", "_source", "_last", "_first", "whole")
+    if not cuts.filter("_fit is not null").limit(1).count():
+        return _copies(joined, below)
+    tied = F.col("_fit").isNotNull() & (F.struct("_h", "doc_id", "size") == F.col("_last"))
+    tied = F.coalesce(tied, F.lit(False))
+    chosen, first = _some(materialize(joined.filter(tied).withColumn("_place", F.monotonically_increasing_id()), "tied"))
+    return _copies(joined.filter(~tied), below).unionByName(_copies(chosen, first))
+
+
+def _some(tied: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows with the last place taken in their source, and whether a row is one of its ``_fit`` first.
+
+    The upper bits of ``_place`` number the task that wrote a row: whole tasks
+    are counted, rows only within the one in which the number is reached.
+    """
+    lean = tied.select("_source", "_fit", "_place", F.shiftright("_place", 33).alias("_task"))
+    upto = Window.partitionBy("_source").orderBy("_task").rowsBetween(Window.unboundedPreceding, 0)
+    edge = lean.groupBy("_source", "_fit", "_task").agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    edge = edge.filter((F.col("_upto") >= F.col("_fit")) & (F.col("_upto") - F.col("_n") < F.col("_fit")))
+    edge = edge.select(F.col("_source").alias("_s"), F.col("_task").alias("_t"), (F.col("_fit") - F.col("_upto") + F.col("_n")).alias("_left"))
+    inside = lean.join(F.broadcast(edge), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_task") == F.col("_t")))
+    turn = F.row_number().over(Window.partitionBy("_source").orderBy("_place"))
+    ends = inside.withColumn("_turn", turn).filter("_turn = _left").select("_s", F.col("_place").alias("_end"))
+    ends = materialize(ends, "ends")
+    return tied.join(F.broadcast(ends), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"), F.col("_place") <= F.col("_end")
+
+
+def _copies(joined: DataFrame, once_more: Column) -> DataFrame:
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(once_more, F.lit(False)).cast("long")).otherwise(F.lit(0))
+    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("_h", "_source", "_last", "_fit", "_first", "whole", "_place", "_end")
 
 
 def mix_digest(documents: DataFrame) -> DataFrame:
