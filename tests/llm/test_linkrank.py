@@ -71,3 +71,38 @@ def test_same_in_sql(spark):
     con.execute("create table pages (page_id bigint, url varchar, html varchar)")
     con.executemany("insert into pages values (?, ?, ?)", ROWS)
     assert sorted(con.execute(L.ORACLE).fetchall(), key=str) == sorted(plain(ROWS)[0], key=str)
+
+
+def solved(hosts, seed, edges):
+    """Ranks by the linear system rank = seed + 0.85 * shares * rank."""
+    import numpy as np
+
+    at = {h: k for k, h in enumerate(hosts)}
+    m, out = np.eye(len(hosts)), {}
+    for s, _ in edges:
+        out[s] = out.get(s, 0) + 1
+    for s, d in edges:
+        m[at[d], at[s]] -= 0.85 / out[s]
+    return dict(zip(hosts, np.linalg.solve(m, np.array([seed.get(h, 0.0) for h in hosts]))))
+
+
+def test_query_settles_on_long_chain_and_cycle(spark, tmp_path):
+    from weftlake.llm.queries import op4_host_trust
+
+    link = {f"h{k}.io": f"h{k + 1}.io" for k in range(13)} | {f"c{k}.io": f"c{(k + 1) % 15}.io" for k in range(15)}
+    link["h13.io"] = "bad.org"
+    link["good.net"] = "c0.io"
+    rows = [(f"http://{s}/", f"<a href='http://{d}/'>") for s, d in link.items()]
+    rows[-1] = ("http://good.net/de/", rows[-1][1])
+    rows += [("http://bad.org/es/", "")] * 100
+    rows = [(k, *r) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    hosts, edges = sorted({*link, *link.values()}), list(link.items())
+    trust = solved(hosts, {"good.net": 1.0}, edges)
+    distrust = solved(hosts, {"bad.org": 100.0}, [(d, s) for s, d in edges])
+    got = {r.host: r for r in L.judge(df, rounds=None).collect()}
+    assert all(abs(got[h].trust - trust[h]) < 1e-9 and abs(got[h].distrust - distrust[h]) < 1e-9 for h in hosts)
+    assert got["h0.io"].distrust > 10
+    verdict = {r.host: r.verdict for r in op4_host_trust(spark, str(tmp_path)).collect()}
+    assert verdict["h0.io"] == "block" and verdict["c1.io"] == "allow"

@@ -11,7 +11,11 @@ when its distrust exceeds its trust by more than ``THRESHOLD`` of its pages;
 pages that no rule fits take their host's verdict.
 
 Links are counted per pair of hosts before anything is shuffled twice, ranks are
-one row per host, and every iteration is a join and a pre-aggregated sum.
+one row per host, and every iteration is a join and a pre-aggregated sum.  Only
+what a host got last is passed on, which shrinks by ``DAMPING`` at least every
+round, so the sum of all that can still come is known: without ``rounds`` the
+iterations end when it is below ``TOLERANCE``, under the slack at a threshold.
+With ``rounds`` they stop early, as the SQL below does with ``ROUNDS``.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is judged as the host '' (no rule, no links: allowed); null
@@ -36,6 +40,8 @@ STORE_EVERY = 4
 THRESHOLD = 0.3
 #: Slack against rounding at the threshold.
 SLACK = 1e-9
+#: Rank that may be undelivered, over all hosts, where no number of rounds is given.
+TOLERANCE = SLACK / 4
 
 
 @dataclass(frozen=True)
@@ -85,24 +91,34 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``seeds(host, seed)`` over ``edges(src, dst, n)`` -> host, rank (personalised PageRank, scaled).
 
-    Hosts that are only linked to need a row in ``seeds`` with 0.
+    Hosts that are only linked to need a row in ``seeds`` with 0.  ``rounds``:
+    None until ranks are settled.
     """
     shares = edges.join(edges.groupBy("src").agg(F.sum("n").alias("_all")), "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("share"))
     shares = materialize(shares, "shares")
-    ranks = seeds.withColumn("rank", F.col("seed"))
-    for k in range(1, rounds + 1):
-        given = shares.join(ranks.select(F.col("host").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = ranks.join(given, "host", "left").select("host", "seed", (F.col("seed") + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+    ranks = seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("_new"))
+    k = 0
+    while k != rounds:
+        k += 1
+        given = shares.join(ranks.filter("_new > 0").select(F.col("host").alias("src"), "_new"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("_new") * F.col("share")).alias("got"))
+        new = F.lit(damping) * F.coalesce("got", F.lit(0.0))
+        ranks = ranks.join(given, "host", "left").select("host", (F.col("rank") + new).alias("rank"), new.alias("_new"))
         if k % STORE_EVERY == 0 or k == rounds:
             ranks = materialize(ranks, "ranks")
+            left = ranks.agg(F.sum("_new")).first()[0] or 0.0
+            if left == 0 or (rounds is None and left * damping / (1 - damping) < TOLERANCE):
+                break
     return ranks.select("host", "rank")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = THRESHOLD, key: str = "page_id") -> DataFrame:
-    """page_id, host, path, rule, verdict (and trust and distrust of the host)."""
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = THRESHOLD, key: str = "page_id", rounds: int | None = ROUNDS) -> DataFrame:
+    """page_id, host, path, rule, verdict (and trust and distrust of the host).
+
+    ``rounds``: of the iterations; None until ranks are settled.
+    """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parsed = pages.select(key, host.alias("host"), path.alias("path"))
     rule, said = match(F.col("host"), F.col("path"), rules)
@@ -111,8 +127,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = TH
     own = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("said") == "allow").cast("double").alias("good"), F.count_if(F.col("said") == "block").cast("double").alias("bad"))
     far = edges.select(F.col("dst").alias("host")).distinct().join(own, "host", "left_anti").select("host", F.lit(0).cast("long").alias("pages"), F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"))
     hosts = materialize(own.unionByName(far), "hosts")
-    trust = spread(hosts.select("host", F.col("good").alias("seed")), edges)
-    distrust = spread(hosts.select("host", F.col("bad").alias("seed")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    trust = spread(hosts.select("host", F.col("good").alias("seed")), edges, rounds)
+    distrust = spread(hosts.select("host", F.col("bad").alias("seed")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), rounds)
     verdicts = hosts.join(trust.withColumnRenamed("rank", "trust"), "host").join(distrust.withColumnRenamed("rank", "distrust"), "host")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") - F.col("trust") > F.lit(threshold) * F.col("pages") + F.lit(SLACK))
     verdicts = materialize(verdicts.select("host", "trust", "distrust", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("by_host")), "verdicts")
@@ -139,7 +155,7 @@ def _rule_sql() -> tuple[str, str]:
     return tuple("CASE " + " ".join(f"WHEN {c} THEN '{v(r)}'" for r, c in fits) + " END" for v in (lambda r: r.name, lambda r: r.verdict))
 
 
-#: The same rows in DuckDB.
+#: The same rows in DuckDB, with ``ROUNDS`` iterations.
 ORACLE = rf"""
 WITH raw AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS after FROM pages),
 cut AS (SELECT page_id, html, coalesce(translate(regexp_extract(after, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,

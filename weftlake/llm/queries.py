@@ -23,7 +23,7 @@ def op3_attention_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_host_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkrank.judge(table(spark, sf_dir, "pages")).drop("trust", "distrust")
+    return linkrank.judge(table(spark, sf_dir, "pages"), rounds=None).drop("trust", "distrust")
 
 
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
