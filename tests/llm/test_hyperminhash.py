@@ -95,3 +95,16 @@ def test_exhaustive_comparison_in_blocks(spark, monkeypatch):
     labels = {r.node: r.comp for r in H.graph.components(links).collect()}
     want = {i: c for i, (n, c) in brute(rows).items()}
     assert {i: labels.get(i, i) for i, _ in rows} == want
+
+
+def test_deduplicate_rows_that_share_or_lack_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    copy, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, "a b c d e f", 0), (3, "a b c d e f", 1), (3, "a b c d e f", 2), (9, "a b c d e f", 3)]
+    rows += [(None, copy, 4), (None, copy, 5), (None, near, 6)]
+    rows += [(3, "a text of its own under a shared id", 7), (7, None, 8), (7, None, 9), (None, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    made = H.deduplicate(df)
+    got = sorted(r.n for r in made.collect())
+    assert made.columns == df.columns and len(got) == 6
+    assert len({1, 2} & set(got)) == 1 and len({4, 5, 6} & set(got)) == 1 and {7, 8, 9, 10} <= set(got)

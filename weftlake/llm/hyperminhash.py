@@ -25,7 +25,8 @@ Defined results: null or wordless text has no shingles, is linked with nothing
 and is kept; rows that share a doc_id are one document; a null doc_id never
 becomes a component's id, and a row with a null doc_id is kept unless its class
 has a row with one; extra columns are not read; an empty table gives an empty
-result.
+result.  ``deduplicate`` takes every row for a document, so repeated rows and
+rows with a null doc_id leave one row of each component as well.
 """
 
 from __future__ import annotations
@@ -287,7 +288,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The rows of documents that are kept, whole."""
-    found = near_duplicates(documents)
-    gone = materialize(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    return only_ids(documents, gone, "left_anti")
+    """One row of each component, whole: of the smallest doc_id (null last), the first such row.
+
+    Every row is a document here, by a stored key of its own, whatever doc_id
+    it has or shares; rows without shingles are all kept.
+    """
+    keyed = materialize(documents.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    named = materialize(found.join(keyed.select("_key", F.col("doc_id").cast("long")), "_key"), "named")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("_first"))
+    gone = materialize(named.select("_key").join(first.select("_first._key"), "_key", "left_anti"), "gone")
+    return only_ids(keyed, gone, "left_anti", "_key").select(*documents.columns)
