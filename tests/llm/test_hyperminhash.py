@@ -108,3 +108,48 @@ def test_deduplicate_rows_that_share_or_lack_ids(spark):
     got = sorted(r.n for r in made.collect())
     assert made.columns == df.columns and len(got) == 6
     assert len({1, 2} & set(got)) == 1 and len({4, 5, 6} & set(got)) == 1 and {7, 8, 9, 10} <= set(got)
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(k, k + 1) for k in range(100, 400)]
+    star = [(1000, k) for k in range(1001, 3000)]
+    edges = spark.createDataFrame([*chain, *star, (5, 5), (7, 6), (7, 6)], "a long, b long").repartition(3)
+    got = {r.node: r.comp for r in H.graph.components(edges).collect()}
+    want = {k: 100 for k in range(100, 401)} | {k: 1000 for k in range(1000, 3000)} | {6: 6, 7: 6}
+    assert got == want
+    assert H.graph.components(edges.limit(0)).count() == 0
+
+
+def dense(n, seed=4):
+    """One group whose members are mostly linked, none of them equal."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in range(120)]
+    out = []
+    for i in range(n):
+        t = base.copy()
+        for k in rng.choice(120, 2, replace=False):
+            t[k] = f"v{rng.integers(10**9)}"
+        out.append((i, " ".join(t)))
+    return out
+
+
+def test_links_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    stored, keep = {}, H.materialize
+
+    def count(df, name):
+        out = keep(df, name)
+        stored[name] = stored.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(H, "materialize", count)
+    monkeypatch.setattr(H.graph, "materialize", count)
+    made = []
+    for n in (300, 900):
+        stored.clear()
+        rows = dense(n)
+        found = H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        got = {r.doc_id: r.component_id for r in found.collect()}
+        if n == 300:
+            assert got == {i: c for i, (_, c) in brute(rows).items()}
+        made.append((stored["edges"], stored["labels"]))
+    assert made[1][0] <= 4 * made[0][0] and made[1][0] <= 12 * 900

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import reachable
 
@@ -35,6 +36,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tasks that share the rows of one key in ``salted_join``.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", salt: str | None = None) -> DataFrame:
+    """``many`` joined with ``one`` (one row of each key) on ``key``, rows of a frequent key spread over SALTS tasks.
+
+    ``one`` is repeated SALTS times; ``many`` is dealt by a hash of ``salt``, or of all its columns.
+    """
+    deal = F.pmod(F.xxhash64(*([salt] if salt else many.columns)), F.lit(SALTS)).cast("int")
+    copies = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", deal).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,15 +11,15 @@ have full sketches whose registers still agree with the texts' similarity.
    all rows may be one class) and only its smallest doc_id goes on.
 2. 32 bands of 4 registers name buckets of classes.  At similarity 0.75 a pair
    misses all 32 bands with probability 5e-6.
-3. In each bucket a star is drawn: one centre against all others, so pairs grow
-   with members and not with their square.
+3. Links are looked for in turns, each only in buckets that still hold more than
+   one component, and each turn's links are contracted before the next, so what
+   a large group sends on shrinks with every turn.  First every node meets one
+   of its buckets' centres, then all of them (and the centres leave: they have
+   met every member).  In what is open after that every member outside a
+   bucket's largest component is compared with all members, in blocks, with no
+   cap; a block sends on a forest of its links.
 4. Pairs pass if the collision-corrected register estimate is within 5 standard
    deviations of the threshold; they are then confirmed on the full sets.
-5. Connected components of the links.  Buckets whose members are already in
-   one component are settled.  From the others the centre leaves (it has met
-   every member), a second star follows, and in what is still open after it
-   every member outside a bucket's largest component is compared with all
-   members, in blocks, with no cap.
 
 Defined results: null or wordless text has no shingles, is linked with nothing
 and is kept; rows that share a doc_id are one document; a null doc_id never
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import graph
-from .common import materialize
+from .common import materialize, salted_join
 from .textnum import mix64, shingle_sets
 
 SHINGLE = 5
@@ -51,11 +51,12 @@ BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 32, 4
-STARS = 2
+#: Turns in which a node meets one of its centres, before the turn in which it meets them all.
+LIGHT = 1
+#: Bands of the turns of the last, exhaustive comparison.
+LAST = ((0, 4), (4, BANDS))
 #: Members of one side of a task in the last, exhaustive comparison.
 BLOCK = 256
-#: Document ids that may be broadcast (16 MB of ids); beyond it the same join shuffles.
-BROADCAST_IDS = 2_000_000
 
 EMPTY = np.uint16(0xFFFF)
 _rng = np.random.default_rng(7_407)
@@ -166,34 +167,54 @@ def _linked(sa: pd.Series, sb: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def only_ids(documents: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id") -> DataFrame:
-    """Rows of documents with (or without) one of the ids; ``ids`` is a stored one-column table.
+def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b, comp_a, comp_b) -> links between components (a, b)."""
+    side = lambda x, t: t.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in t.columns])
+    near = pairs.join(side("a", nodes), "a").join(side("b", nodes), "b").filter(_likely("registers_a", "registers_b", "n_shingles_a", "n_shingles_b"))
+    likely = materialize(near.select("a", "b", "comp_a", "comp_b"), "likely")
+    full = likely.join(side("a", sets), "a").join(side("b", sets), "b").filter(_linked("hashes_a", "hashes_b"))
+    return materialize(full.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
 
-    The ids are broadcast while there are at most BROADCAST_IDS; beyond that the
-    join shuffles both sides.
-    """
-    few = ids.count() <= BROADCAST_IDS
-    return documents.join(F.broadcast(ids) if few else ids, key, how)
 
+def _hashed(turn: int):
+    """A member's rank in its bucket: by a hash of node and band, so that a group's buckets have different centres."""
+    return F.xxhash64("node", "band", F.lit(turn))
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes -> those that are links."""
-    side = lambda x, t: t.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in t.columns])
-    light = pairs.join(side("a", nodes), "a").join(side("b", nodes), "b").filter(_likely("registers_a", "registers_b", "n_shingles_a", "n_shingles_b")).select("a", "b")
-    likely = materialize(light, "likely")
-    return materialize(likely.join(side("a", sets), "a").join(side("b", sets), "b").filter(_linked("hashes_a", "hashes_b")).select("a", "b"), "links")
+
+def _open(members: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets with more than one component: band, k, node, comp, centre, comp_c."""
+    ends = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(_hashed(turn).alias("h"), "node", "comp")).alias("c"))
+    ends = ends.filter("lo <> hi").select("band", F.col("c.node").alias("centre"), F.col("c.comp").alias("comp_c"))
+    return materialize(salted_join(members, ends, "band", salt="node"), "open")
 
 
-def _centre(turn: int):
-    """A bucket's centre: by a hash of node and band, so that a group's buckets have different ones."""
-    return F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("h"), F.col("node")))
+def _met(rows: DataFrame) -> DataFrame:
+    """Pairs of members and centres that are not in one component yet."""
+    a_first = F.col("node") < F.col("centre")
+    pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
+    apart = rows.filter("comp <> comp_c")
+    return apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), pick("comp", "comp_c").alias("comp_a"), pick("comp_c", "comp").alias("comp_b")).distinct()
+
+
+def _contracted(members: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and labels with the links' components merged."""
+    if not links.limit(1).count():
+        return members, labels
+    merged = graph.components(links)
+    renamed = merged.select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
+
+    def renew(rows: DataFrame, name: str) -> DataFrame:
+        out = salted_join(rows, renamed, "comp", "left", salt="node").withColumn("comp", F.coalesce("_to", "comp"))
+        return materialize(out.select(*rows.columns), name)
+
+    return renew(members, "members"), renew(labels, "labels")
 
 
 _BLOCK_SCHEMA = "a long, b long"
 
 
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block's minor members with members of other components.
+    """Links of a block's minor members with members of other components: a forest of components.
 
     A pair that shares an earlier band meets there.  All of a minor's pairs are
     counted in one pass over the others' shingles.
@@ -207,10 +228,16 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     ends = np.cumsum(sizes)
     own = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
     earlier = np.cumsum(keys == band, axis=1) == 0  # bands before this one
-    present, t, out = np.zeros(len(values), bool), PERCENT / 100, []
+    present, t, out, above = np.zeros(len(values), bool), PERCENT / 100, [], {}
+
+    def root(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
     others = np.flatnonzero(~minor)
     for i in np.flatnonzero(minor).tolist():
-        j = others[(comp[others] != comp[i])]
+        j = others[comp[others] != comp[i]]
         j = j[~((keys[j] == keys[i]) & earlier[i]).any(1)]
         if len(j):
             est, used = estimate(regs[j], np.broadcast_to(regs[i], (len(j), BUCKETS)), sizes[j], np.full(len(j), sizes[i]))
@@ -222,8 +249,11 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
         same = np.add.reduceat(present[np.concatenate([own[k] for k in j.tolist()])].astype(np.int64), np.cumsum(n) - n)
         present[own[i]] = False
         j = j[100 * same >= PERCENT * (n + sizes[i] - same)]
-        _, first = np.unique(comp[j], return_index=True)  # one link to a component will do
-        out += [(min(x, node[i]), max(x, node[i])) for x in node[j[first]].tolist()]
+        for x in np.unique(comp[j]).tolist():
+            one, two = root(comp[i]), root(x)
+            if one != two:
+                above[max(one, two)] = min(one, two)
+                out.append((int(comp[i]), x))
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
@@ -239,7 +269,7 @@ def _across(open_: DataFrame, payload: DataFrame) -> DataFrame:
     parts = parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
     parts = parts.select("band", F.col("m.comp").alias("main"), blocks(F.col("all")).alias("all_blocks"), blocks(F.col("all") - F.col("m.n")).alias("minor_blocks"))
-    rows = materialize(open_.join(parts, "band").join(payload, "node"), "open")
+    rows = materialize(salted_join(open_, parts, "band", salt="node").join(payload, "node"), "payload")
     deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     minor = rows.filter("comp <> main").withColumn("i", deal("minor_blocks", 1)).withColumn("j", spread("all_blocks")).withColumn("minor", F.lit(True))
@@ -256,32 +286,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     # one row of each class: its smallest doc_id's (rows that share a doc_id may stand for two classes)
     nodes = sketches.join(classes.withColumnRenamed("node", "doc_id"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
     nodes = materialize(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "registers", "bands"), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(_centre(0).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.col("c.node").alias("centre"))
-    buckets = materialize(members.join(shared, "band"), "buckets")
-    wanted = materialize(buckets.select(F.col("node").alias("doc_id")).distinct(), "wanted")
-    sets = materialize(only_ids(documents.select(F.col("doc_id").cast("long"), "text"), wanted).mapInArrow(_sets, "node long, hashes binary"), "sets")
+    members = nodes.select(F.posexplode("bands").alias("k", "band"), "node", F.col("node").alias("comp"))
+    rows = _open(members, 0)
+    labels = materialize(rows.select("node", "comp").distinct(), "labels")
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(labels.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets, "node long, hashes binary"), "sets")
+    nodes = materialize(nodes.join(labels.select("node"), "node", "left_semi"), "shared")
     slim = nodes.select("node", "n_shingles", "registers")
-    pairs = buckets.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = _confirm(pairs, slim, sets)
-    labels = graph.components(links)
-    for turn in range(1, STARS + 1):
-        # the centre has met all others of its bucket: it leaves
-        left = buckets.filter("node <> centre").select("band", "node").join(labels.select("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        left = materialize(left, "left")
-        open_ = left.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), _centre(turn).alias("c")).filter("lo <> hi")
-        buckets = left.join(open_.select("band", F.col("c.node").alias("centre")), "band")
-        buckets = materialize(buckets.join(left.select("band", F.col("node").alias("centre"), F.col("comp").alias("centre_comp")), ["band", "centre"]), "buckets")
-        if not buckets.limit(1).count():
-            break
-        if turn < STARS:
-            pairs = buckets.filter("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-            more = _confirm(pairs.distinct(), slim, sets)
+    for turn in range(LIGHT + 1):
+        if turn:
+            rows = _open(members, turn)
+        if turn < LIGHT:  # the centre with the smallest hash, so that few steps lead to one another; it stays a member
+            one = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("centre", F.lit(turn)).alias("h"), "comp", "centre", "comp_c")).alias("m"))
+            met, members = one.select("node", "m.comp", "m.centre", "m.comp_c"), rows.select("k", "band", "node", "comp")
         else:
-            more = _across(buckets.select("band", "node", "comp"), nodes.join(sets, "node"))
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = graph.components(links)
+            met, members = rows, rows.filter("node <> centre").select("k", "band", "node", "comp")
+        members, labels = _contracted(members, labels, _confirm(_met(met), slim, sets))
+    payload = nodes.join(sets, "node")
+    for low, high in LAST:
+        rows = _open(members.filter(F.col("k").between(low, high - 1)), 0)
+        members, labels = _contracted(members, labels, _across(rows.select("band", "node", "comp"), payload))
     named = sketches.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -298,4 +322,4 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     named = materialize(found.join(keyed.select("_key", F.col("doc_id").cast("long")), "_key"), "named")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("_first"))
     gone = materialize(named.select("_key").join(first.select("_first._key"), "_key", "left_anti"), "gone")
-    return only_ids(keyed, gone, "left_anti", "_key").select(*documents.columns)
+    return keyed.join(gone, "_key", "left_anti").select(*documents.columns)

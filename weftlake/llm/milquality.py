@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hyperminhash import only_ids
 from .common import materialize
 from .textnum import Words, chunks
 
@@ -197,7 +196,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_p
                 at += len(bags)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
 
-    texts = only_ids(documents.select(F.col("doc_id").cast("long"), "text"), chosen.select("doc_id"))
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")
     bags = texts.mapInArrow(run, "doc_id long, x binary").filter("x is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"])
     found = bags.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()  # at most max_docs * max_passages passages
     if not found:
