@@ -6,7 +6,7 @@ import pytest
 from weftlake.llm import addquant as A
 
 
-@pytest.fixture(autouse=True)
+@pytest.fixture
 def small(monkeypatch):
     monkeypatch.setattr(A, "CODE_BLOCK", 500)
     monkeypatch.setattr(A, "QUERY_BLOCK", 10)
@@ -26,7 +26,7 @@ def brute(rows, k=5, every=50):
     return out
 
 
-def test_recall_and_scores(spark):
+def test_recall_and_scores(spark, small):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(20, 24))
     x = centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 24)) * 0.7
@@ -49,16 +49,16 @@ def test_recall_and_scores(spark):
     assert hits / (5 * len(want)) >= 0.9
 
 
-def test_copies_ties_and_odd_vectors(spark):
+def test_copies_ties_and_odd_vectors(spark, small):
     rng = np.random.default_rng(9)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 400)] + [(i, rng.normal(size=3).tolist()) for i in range(400, 600)]
-    odd = [(1000, None), (1050, [0.0, 0.0, 0.0]), (1100, [1.0, None, 2.0]), (1150, [float("nan"), 1.0, 1.0]), (1200, [float("inf"), 1.0, 1.0]), (1250, []), (1300, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (7, [1.0, 2.0, 3.0])]
+    odd = [(1000, None), (1050, [0.0, 0.0, 0.0]), (1100, [1.0, None, 2.0]), (1150, [float("nan"), 1.0, 1.0]), (1200, [float("inf"), 1.0, 1.0]), (1250, []), (1300, [1.0, 2.0]), (1301, [2.0, 1.0]), (1302, [-1.0, 1.0]), (650, [3.0, 1.0, 2.0]), (650, [1.0, 2.0, 3.0]), (None, [1.0, 1.0, 1.0]), (7, [1.0, 2.0, 3.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<double>, rank int").repartition(3)
     got = {}
     for r in A.neighbours(df).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4] and got[350] == [0, 1, 2, 3, 4]
-    assert set(got) == set(range(0, 600, 50))
+    assert set(got) == {*range(0, 600, 50), 650, 1300} and got[1300] == [1301, 1302] and got[650] == [0, 1, 2, 3, 4]
     assert A.neighbours(df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r.rank, r.vec_id) for r in A.neighbours(few).collect()) == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
@@ -70,3 +70,26 @@ def test_beam_is_no_worse_than_greedy():
     books = A.train(x, 4, 16)
     error = lambda beam: ((x - A.decode(A.encode(x.astype(np.float32), books, beam), books)) ** 2).sum()
     assert error(8) <= error(1)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered"])
+def test_recall_at_production_settings(spark, kind):
+    rng = np.random.default_rng(21)
+    n, d = 30_000, 128
+    x = rng.normal(size=(n, d)).astype(np.float32)
+    if kind == "clustered":  # thousands of near-equal vectors in a few of the clusters
+        at = rng.zipf(1.5, n) % 40
+        x = (3 * rng.normal(size=(40, d))[at] + rng.normal(size=(n, d)) * np.where(at < 3, 0.02, 0.5)[:, None]).astype(np.float32)
+    import pyarrow as pa
+
+    table = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float32()))})
+    got = {}
+    for r in A.neighbours(spark.createDataFrame(table).repartition(8)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = A._unit(x.astype(np.float64))
+    near = u[::50] @ u.T
+    near[np.arange(n // 50), np.arange(0, n, 50)] = -2
+    best = np.argsort(-near, axis=1, kind="stable")[:, :5]
+    hits = sum(len(got[q * 50] & set(b.tolist())) for q, b in enumerate(best))
+    print(kind, hits / best.size)
+    assert hits / best.size >= 0.95

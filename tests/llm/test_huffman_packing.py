@@ -18,7 +18,6 @@ ROWS = [(5, "Hello there, wörld"), (2, None), (9, ""), (3, "x y z " * 3000), (4
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 

@@ -4,21 +4,27 @@ A unit vector is the sum of one full-dimensional codeword from each of
 ``BOOKS`` codebooks.  Codebooks start as residual k-means and are refitted
 together by least squares; a vector is encoded by beam search over the books
 (the ``BEAM`` best partial sums are kept), and the norm of its reconstruction is
-stored beside the codes.  A query makes one look-up table of products with all
-codewords; a candidate's score is the sum of its codes' entries over its norm.
-The ``SHORTLIST`` best are reranked by the exact cosine in double precision.
-
-Queries and codes are dealt to blocks; a task holds one block of each, and a
-block of codes gives each query the share of the shortlist that falls to it,
-with a margin.  Equal vectors are searched once: each class is represented by
-its smallest id and expanded to its ``k + 1`` smallest before reranking, so a
+stored beside the codes.  Beside the norm the projection of the vector on its reconstruction is kept.
+
+A query makes one look-up table of products with all codewords; a candidate's
+score is the sum of its codes' entries over the norm, times its projection.
+What that leaves out is at most the length of the rest of the vector, and its
+part along a query is far less: ``REACH`` of the nearest pairs of a sample lie
+within some multiple of it, which is measured.  Every candidate whose score plus
+that much reaches the query's best exact ones so far is reranked by the exact
+cosine in double precision, so the shortlist is as long as codes are coarse.
+
+Codes lie beside their vectors and are scanned in place; a block of queries of
+bounded size (``QUERY_BLOCK`` vectors with their thresholds) goes to the tasks,
+and each task returns its best few.  Equal vectors are searched once: each class
+is represented by its smallest id and expanded to its ``k + 1`` smallest, so a
 third of all rows may be one vector.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do those of another length than most have (ties:
-the longer); a null id takes no part; rows with one id and vector are one
-candidate; fewer candidates give fewer rows; an empty table gives an empty
-result.  Other columns are not read.
+components take no part; vectors of each length are searched among themselves;
+a null id takes no part; rows with one id are one, the smallest of its vectors;
+fewer candidates give fewer rows; an empty table gives an empty result.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +44,13 @@ from .common import materialize
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that the codebooks are fitted on at most.
 SAMPLE = 16_384
-SHORTLIST = 256
-QUERY_BLOCK, CODE_BLOCK = 1024, 8192
+QUERY_BLOCK = 2048
+#: Codes scored at once.
+CODE_BLOCK = 2048
+#: Share of the nearest pairs of the sample that the allowance for a score covers.
+REACH = 0.999
+#: Scores closer than this are ties until the exact cosine tells them apart.
+SLACK = 1e-9
 
 
 def usable(v: Column) -> Column:
@@ -53,8 +64,9 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     for _ in range(rounds):
         a = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
         n = np.bincount(a, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, a, x)
+        of = np.zeros((k, len(x)), np.float32)
+        of[a, np.arange(len(x))] = 1
+        sums = of @ x
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return c
 
@@ -103,19 +115,64 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 11)
     return np.linalg.solve(gram + ridge * np.eye(size), right + ridge * old).reshape(out.shape).astype(np.float32)
 
 
-def search_block(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the best codes of a block and their scores, by look-up tables."""
-    table = np.einsum("qd,bwd->bqw", q.astype(np.float32), books, optimize=True)
-    places, scores, most = [], [], min(most, len(codes))
-    for at in range(0, len(q), 64):
-        s = np.zeros((len(q[at : at + 64]), len(codes)), np.float32)
-        for b in range(len(books)):
-            s += np.take(table[b, at : at + 64], codes[:, b], axis=1)
-        s /= norms
-        best = np.argpartition(-s, most - 1, axis=1)[:, :most]
-        places.append(best)
-        scores.append(np.take_along_axis(s, best, 1))
-    return np.concatenate(places), np.concatenate(scores)
+def described(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors: the norms of their reconstructions and their projections on them."""
+    y = decode(codes, books)
+    norm = np.maximum(np.sqrt((y * y).sum(1)), np.float32(1e-12))
+    return norm, np.einsum("ij,ij->i", x.astype(np.float32), y) / norm
+
+
+def look_up(q: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Products of queries with all codewords: book, query, word."""
+    return np.einsum("qd,bwd->bqw", q.astype(np.float32), books, optimize=True)
+
+
+def scores(table: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Estimated cosines of queries (rows) with codes, by look-up tables."""
+    s = np.take(table[0], codes[:, 0], axis=1)
+    for b in range(1, len(table)):
+        s += np.take(table[b], codes[:, b], axis=1)
+    return s * (fit / norm)
+
+
+def rest(fit: np.ndarray) -> np.ndarray:
+    """The length of the part of a unit vector beside its reconstruction."""
+    return np.sqrt(np.maximum(0, 1 - fit * fit))
+
+
+def calibrate(q: np.ndarray, x: np.ndarray, books: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of each query its ``k`` best rows of the sample and their cosines, and the allowance per length of rest."""
+    codes = encode(x.astype(np.float32), books)
+    norm, fit = described(x, codes, books)
+    table, found, cosines, over = look_up(q, books), [], [], []
+    for at in range(0, len(q), 256):
+        exact = q[at : at + 256] @ x.T
+        m = min(k, len(x))
+        top = np.argpartition(-exact, m - 1, axis=1)[:, :m]
+        near = np.take_along_axis(exact, top, 1)
+        guess = np.take_along_axis(scores(table[:, at : at + 256], codes, norm, fit), top, 1)
+        found.append(top)
+        cosines.append(near)
+        over.append(((near - guess) / np.maximum(rest(fit)[top], 1e-3)).ravel())
+    return np.concatenate(found), np.concatenate(cosines), float(np.clip(np.quantile(np.concatenate(over), REACH, method="higher"), 0, 1))
+
+
+class Best:
+    """The best few exact scores of each query so far."""
+
+    def __init__(self, least: np.ndarray, k: int) -> None:
+        self.least, self.k = least.copy(), k
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, query: np.ndarray, id_: np.ndarray, score: np.ndarray) -> None:
+        q, i, s = (np.concatenate(x) for x in ((self.query, query), (self.id, id_), (self.score, score)))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        last = nth == self.k - 1
+        self.least[q[last]] = np.maximum(self.least[q[last]], s[last])
+        keep = nth < self.k
+        self.query, self.id, self.score = q[keep], i[keep], s[keep]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -137,57 +194,82 @@ def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(dots[0] / np.sqrt(dots[1]) / np.sqrt(dots[2]))
 
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose key is divisible by ``every``."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = materialize(rows.dropDuplicates(["vec_id", "v"]), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    empty = rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    if not sizes:
-        return empty
-    total = sizes[0]["count"]
-    rows = rows.filter(F.size("v") == sizes[0]["d"])
+def _searched(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """query_id, rank, vec_id, score among rows(vec_id, v) of one length."""
     # a class of equal vectors: its smallest id stands for it, its k + 1 smallest are enough
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     ranked = materialize(ranked.withColumn("rep", F.min("vec_id").over(Window.partitionBy("v"))), "classes")
     reps = ranked.filter("r = 1").select("vec_id", "v")
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()  # SAMPLE vectors at most
-    books = train(_unit(_matrix(sample.column(0).combine_chunks())))
+    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # SAMPLE vectors at most
+    sample_ids, sample = sample.column(0).to_numpy(), _unit(_matrix(sample.column(1).combine_chunks()))
+    books = train(sample)
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                codes = encode(_unit(_matrix(part.column(1))).astype(np.float32), books)
-                norms = np.sqrt((decode(codes, books) ** 2).sum(1)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "codes", "norm"])
-
-    codes = materialize(reps.mapInArrow(encode_rows, "vec_id long, codes binary, norm float"), "codes")
-    queries = materialize(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
-    n_queries = queries.count()
-    if not n_queries:
-        return empty
-    q_blocks, c_blocks = math.ceil(n_queries / QUERY_BLOCK), math.ceil(total / CODE_BLOCK)
-    share = SHORTLIST / c_blocks
-    most = math.ceil(share + 4 * math.sqrt(share) + k + 1) if c_blocks > 1 else SHORTLIST
-
-    def search(block: pd.DataFrame) -> pd.DataFrame:
-        q, c = block[block["q"].notna()], block[block["codes"].notna()]
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
-        vectors = _unit(np.stack([np.asarray(x, np.float64) for x in q["q"]]))
-        bytes_ = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1)
-        place, near = search_block(vectors, bytes_, c["norm"].to_numpy(np.float32), books, most)
-        return pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(np.int64), place.shape[1]), "rep": c["id"].to_numpy(np.int64)[place.ravel()], "near": near.ravel()})
-
-    deal = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select(deal("query_id", q_blocks).alias("qb"), copies(c_blocks).alias("cb"), F.col("query_id").alias("id"), "q", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
-    right = codes.select(copies(q_blocks).alias("qb"), deal("vec_id", c_blocks).alias("cb"), F.col("vec_id").alias("id"), F.lit(None).cast("array<double>").alias("q"), "codes", "norm")
-    found = left.unionByName(right).groupBy("qb", "cb").applyInPandas(search, "query_id long, rep long, near float")
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "rep"))).filter(F.col("n") <= SHORTLIST)
+                x = _unit(_matrix(part.column(1)))
+                codes = encode(x.astype(np.float32), books)
+                norm, fit = described(x, codes, books)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(fit)], names=["vec_id", "v", "codes", "norm", "fit"])
+
+    index = materialize(reps.mapInArrow(encode_rows, "vec_id long, v array<double>, codes binary, norm float, fit float"), "index")
+    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    blocks = math.ceil(queries.count() / QUERY_BLOCK)
+    queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))), "queries")
+
+    def scan(block: int) -> DataFrame:
+        asked = queries.filter(F.col("block") == block).select("query_id", "q").toArrow()  # about QUERY_BLOCK vectors
+        if not len(asked):
+            return rows.sparkSession.createDataFrame([], "query_id long, rep long, near double")
+        ids, q = asked.column(0).to_numpy(), _unit(_matrix(asked.column(1).combine_chunks()))
+        top, cosines, allowed = calibrate(q, sample, books, k + 1)
+        least = cosines.min(1) if cosines.shape[1] > k else np.full(len(q), -np.inf)
+        known = pa.table({"query_id": np.repeat(ids, top.shape[1]), "rep": sample_ids[top.ravel()], "near": cosines.ravel()})
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, best = look_up(q, books), Best(least, k + 1)
+            for batch in batches:
+                for at in range(0, batch.num_rows, CODE_BLOCK):
+                    part = batch.slice(at, CODE_BLOCK)
+                    rep, x = part.column(0).to_numpy(), _unit(_matrix(part.column(1)))
+                    codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(rep), -1)
+                    fit = part.column(4).to_numpy()
+                    near = scores(table, codes, part.column(3).to_numpy(), fit) + np.float32(allowed) * rest(fit)
+                    of, at_x = np.nonzero(near >= (best.least - SLACK)[:, None])
+                    for a in range(0, len(of), 1 << 15):
+                        i, j = of[a : a + (1 << 15)], at_x[a : a + (1 << 15)]
+                        exact = np.einsum("ij,ij->i", q[i], x[j])
+                        good = exact >= best.least[i] - SLACK
+                        best.add(i[good], rep[j[good]], exact[good])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["query_id", "rep", "near"])
+
+        seen = index.mapInArrow(search, "query_id long, rep long, near double").unionByName(rows.sparkSession.createDataFrame(known))
+        return materialize(seen.groupBy("query_id", "rep").agg(F.max("near").alias("near")), "found")
+
+    found = [scan(b) for b in range(blocks)]  # each a scan of the index
+    if not found:
+        return _none(rows)
+    every_found = found[0]
+    for f in found[1:]:
+        every_found = every_found.unionByName(f)
+    best = every_found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "rep"))).filter(F.col("n") <= k + 1)
     exact = best.select("query_id", "rep").join(queries, "query_id").join(reps.withColumnRenamed("vec_id", "rep"), "rep").select("query_id", "rep", cosine("q", "v").alias("score"))
-    top = exact.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rep"))).filter(F.col("n") <= k + 1).drop("n")
-    members = top.join(ranked.select("rep", "vec_id"), "rep").filter(F.col("vec_id") != F.col("query_id"))
+    members = exact.join(ranked.select("rep", "vec_id"), "rep").filter(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _none(rows: DataFrame) -> DataFrame:
+    return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+
+
+def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, every: int = 50) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each row whose key is divisible by ``every``."""
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    rows = materialize(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # a few lengths
+    out = _none(rows)
+    for d in lengths:
+        out = out.unionByName(_searched(rows.filter(F.size("v") == d), k, every))
+    return out

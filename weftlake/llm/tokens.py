@@ -8,12 +8,17 @@ piece is encoded once per worker and remembered, and a text's ids are its
 pieces' ids.  New pieces are encoded joined into long strings, whose ids are
 told apart by their lengths in bytes.
 
-Remembered pieces are found by a 64-bit hash of their bytes: with half a million of
-them an unseen piece is mistaken with a chance of 3e-14.
+Strings of added tokens in a text (``<|endoftext|>``) are what the library takes
+them for, one id each: a text is cut around them first.  ``added=False`` reads
+them as ordinary text instead.
+
+Remembered pieces are found by a 64-bit hash and compared byte by byte; a chunk
+of text in which a piece is not the remembered one is encoded by the library.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +43,7 @@ _LATIN = np.zeros(256, bool)
 _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -47,19 +52,26 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = True) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added)
+    return _encoders[path, added]
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokens = list(self.tokenizer.get_added_tokens_decoder().values())
+        if not added:
+            self.tokenizer.encode_special_tokens = True
+            tokens = [t for t in tokens if not t.special]
+        if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError("an added token takes the characters around it")
+        words = sorted((t.content.encode() for t in tokens), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, words))) if words else None
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # a piece is never encoded twice
         self.size = self.tokenizer.get_vocab_size()
@@ -73,7 +85,9 @@ class Encoder:
         self.keys = np.zeros(1 << SLOTS_BITS, np.uint64)  # 0: free
         self.place = np.zeros(1 << SLOTS_BITS, np.int32)
         self.flat = np.empty(1 << 20, np.uint16 if self.size <= 1 << 16 else np.uint32)
-        self.used = self.known = 0
+        self.text = np.empty(1 << 20, np.uint8)  # the pieces' bytes
+        self.text_at = np.empty(1 << 16, np.int64)
+        self.used = self.known = self.text_used = 0
         self.start = np.empty(1 << 16, np.int64)
         self.length = np.empty(1 << 16, np.int32)
 
@@ -136,7 +150,7 @@ class Encoder:
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while len(self.start) < self.known + n:
-            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.text_at = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length, self.text_at))
         self.flat[self.used : self.used + len(ids)] = ids
         begins = np.concatenate([[0], ends[:-1]])
         numbers = np.arange(self.known, self.known + n)
@@ -145,12 +159,25 @@ class Encoder:
         self.known += n
         return numbers
 
-    def _pieces(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def _remember(self, pieces: list[bytes], numbers: np.ndarray) -> None:
+        raw, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces])
+        while len(self.text) < self.text_used + len(raw):
+            self.text = np.concatenate([self.text, np.empty_like(self.text)])
+        self.text[self.text_used : self.text_used + len(raw)] = raw
+        self.text_at[numbers] = self.text_used + np.cumsum(sizes) - sizes
+        self.text_used += len(raw)
+
+    def _pieces(self, raw: np.ndarray, begins: np.ndarray, texts: list[bytes]) -> np.ndarray:
         """Where pieces start in a buffer of texts that start at ``begins``."""
         before, c3 = raw[:-1], np.concatenate([[False], raw[:-2] == 0xC3]) if len(raw) > 1 else np.zeros(0, bool)
         letter = _LETTER[before] | (c3 & _LATIN[before])
         cut = np.zeros(len(raw) + 1, bool)
         cut[1:-1] = (_SPACE[raw[1:]] & (_PRINTED[before] | letter)) | (_SIGN[raw[1:]] & letter)
+        if self.added:
+            for first, text in zip(begins.tolist(), texts):
+                for m in self.added.finditer(text):
+                    cut[first + m.start() : first + m.end()] = False
+                    cut[[first + m.start(), first + m.end()]] = True
         cut[begins] = True
         return np.flatnonzero(cut[:-1])
 
@@ -165,7 +192,7 @@ class Encoder:
             if not len(raw):
                 yield from (np.empty(0, self.flat.dtype) for _ in some)
                 continue
-            start = self._pieces(raw, begins)
+            start = self._pieces(raw, begins, some)
             stop = np.append(start[1:], len(raw))
             up, down = _grown(len(raw) + 1)
             total = np.zeros(len(raw) + 1, np.uint64)
@@ -183,9 +210,16 @@ class Encoder:
                 if len(new) > MEMORY:  # a single text with more distinct pieces than that
                     yield from (np.array(x, self.flat.dtype) for x in self._encode([t.decode() for t in some]))
                     continue
-                self._insert(new, self._learn([buffer[a:b] for a, b in zip(start[which].tolist(), stop[which].tolist())]))
+                pieces = [buffer[a:b] for a, b in zip(start[which].tolist(), stop[which].tolist())]
+                numbers = self._learn(pieces)
+                self._remember(pieces, numbers)
+                self._insert(new, numbers)
                 slot = self._find(h)
             number = self.place[slot]
+            same = self.text[(np.arange(len(raw)) + np.repeat(self.text_at[number] - start, stop - start)) % self.text_used] == raw
+            if not same.all():  # two pieces of one hash
+                yield from (np.array(x, self.flat.dtype) for x in self._encode([t.decode() for t in some]))
+                continue
             n = self.length[number].astype(np.int64)
             ends = np.cumsum(n)
             ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[number] - (ends - n), n)]
