@@ -65,6 +65,19 @@ def test_round_trip_of_blocks():
     assert (code.decode(raw, doc_bytes, marks, sizes) == ids).all()
 
 
+def test_more_ids_than_sixteen_bits():
+    """A vocabulary of 4-byte ids with more of them in use than 2**16."""
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.arange(70_000), rng.integers(0, 70_000, 30_000) ** 2 % 70_000]).astype(np.uint32)
+    code = huffman.Code(huffman.code_lengths(np.bincount(ids)))
+    sizes = np.array([1, 65, 99_934])
+    raw, doc_bytes, marks, _ = code.encode(ids, sizes)
+    assert code.bits == 17 and (code.decode(raw, doc_bytes, marks, sizes) == ids).all()
+    code = huffman.Code(huffman.code_lengths(np.bincount(ids), 20))
+    raw, doc_bytes, marks, _ = code.encode(ids, sizes)
+    assert (code.decode(raw, doc_bytes, marks, sizes) == ids).all()
+
+
 def test_token_files(spark, plain):
     df = spark.createDataFrame([(i, t, "clash") for i, t in ROWS], "doc_id long, text string, start string").repartition(3)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in huffman.token_files(df).collect()), key=lambda r: r[1])

@@ -106,3 +106,26 @@ def test_query_settles_on_long_chain_and_cycle(spark, tmp_path):
     assert got["h0.io"].distrust > 10
     verdict = {r.host: r.verdict for r in op4_host_trust(spark, str(tmp_path)).collect()}
     assert verdict["h0.io"] == "block" and verdict["c1.io"] == "allow"
+
+
+def test_what_is_a_link(spark):
+    """Links of elements that a page shows, with any other attributes before them."""
+    cases = [
+        ('<a href="http://b.org/1">x</a>', {"b.org"}),
+        ("<A class=x\n  title='a > b' HREF = //C.org/y>x</A>", {"c.org"}),
+        ('<a data-href="http://b.org/">x</a><a data-x=href href="/rel">x</a>', set()),
+        ('<!-- <a href="http://b.org/"> --><a href="https://d.org">x</a><!-- <a href="http://b.org/">', {"d.org"}),
+        ('<script>var t = \'<a href="http://b.org/">\';</script><style>a</style><a href=http://e.org>x', {"e.org"}),
+        ('<template><a href="http://b.org/">x</a></template>', set()),
+        ('<abbr href="http://b.org/">x</abbr><link href="http://b.org/x">', set()),
+        ('<base href="http://b.org/"><a href="x">own</a><a href="">y</a>', set()),
+        ('<a title="href=http://b.org/" href="#">x</a>', set()),
+        ('<a ' + " ".join(f"x{k}={k}" for k in range(5000)) + ' href="http://f.org/">x</a>', {"f.org"}),
+        ("<a " * 3000 + '"' + "<!-- " * 3000, set()),
+        (None, set()),
+    ]
+    df = spark.createDataFrame([(k, f"http://h{k}.com/", h) for k, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {}
+    for r in L.host_edges(df).collect():
+        got.setdefault(r.src, set()).add(r.dst)
+    assert got == {f"h{k}.com": want for k, (_, want) in enumerate(cases) if want}

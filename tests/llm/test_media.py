@@ -29,7 +29,7 @@ def test_other_tables():
     mdat = media._box(b"mdat", b"".join(data[:2]) + b"????" + data[2] + data[3])
 
     def moov(at):
-        stbl = media._box(b"stbl", media._full(b"stsd", struct.pack(">I", 1), media._box(b"mp4a")), media._full(b"stsz", struct.pack(">2I4I", 0, 4, 3, 2, 5, 1)), media._full(b"stsc", struct.pack(">I6I", 2, 1, 2, 1, 2, 1, 1)), media._full(b"co64", struct.pack(">I3Q", 3, at, at + 9, at + 14)))
+        stbl = media._box(b"stbl", media._full(b"stsd", struct.pack(">I", 1), media._box(b"mp4a")), media._full(b"stts", struct.pack(">5I", 2, 3, 10, 1, 4)), media._full(b"stsz", struct.pack(">2I4I", 0, 4, 3, 2, 5, 1)), media._full(b"stsc", struct.pack(">I6I", 2, 1, 2, 1, 2, 1, 1)), media._full(b"co64", struct.pack(">I3Q", 3, at, at + 9, at + 14)))
         body = media._box(b"trak", media._box(b"mdia", media._box(b"minf", stbl)))
         return struct.pack(">I4s", 0, b"moov") + body
 
@@ -37,7 +37,7 @@ def test_other_tables():
     (t,) = media.tracks(raw)
     assert media.read_payload(raw, t) == b"".join(data)
     assert t.codec == "mp4a" and t.layout(len(raw))[2].all()
-    assert len(media.ranges(*t.layout(len(raw))[:2])) == 2
+    assert len(media.ranges(*t.layout(len(raw))[:2])) == 2 and t.length() == 34
 
 
 def test_query(spark):
@@ -65,3 +65,55 @@ def test_damaged(spark):
     df = spark.createDataFrame([(x,) for x in rows], "media binary").select(media.probe(F.col("media")).alias("p"))
     got = df.collect()
     assert got[0].p.error is None and got[1].p is None and all(got[k].p.error for k in (2, 3, 4, 5))
+
+
+def edited(raw, kind, at, value, fmt=">I"):
+    """A file with one number in a box's body changed."""
+    begin = next(a for path, a, _ in media.boxes(raw) if path[-1] == kind)
+    out = bytearray(raw)
+    struct.pack_into(fmt, out, begin + at, value)
+    return bytes(out)
+
+
+def test_counts_are_held_against_the_file():
+    whole = media.mux(media.pad(b"abc" * 1000))
+    assert media._probe(whole)["error"] is None
+    big = 0xFFFFFFFF
+    cases = [(b"stsz", 8, big), (b"stsz", 4, big), (b"stsz", 4, 0), (b"stts", 4, big), (b"stts", 8, 3), (b"stts", 4, 0), (b"stsc", 4, big), (b"stsc", 12, big), (b"stsc", 8, 2), (b"stco", 4, big), (b"stco", 8, big), (b"stss", 4, big), (b"stss", 8, 0), (b"stss", 8, big)]
+    for kind, at, value in cases:
+        got = media._probe(edited(whole, kind, at, value))
+        assert got["error"] or (kind, at) in ((b"stsc", 12),), (kind, at, value)
+    for kind in (b"stts", b"stsz", b"stsc", b"stco"):
+        begin = next(a for path, a, _ in media.boxes(whole) if path[-1] == kind)
+        assert media._probe(whole[: begin - 4] + b"free" + whole[begin:])["error"], kind
+    assert media._probe(media._box(b"ftyp", b"isom") + media._box(b"moof", b""))["error"] == "fragments are not read"
+
+
+def test_random_damage_never_raises():
+    whole = media.mux(media.pad(b"some text " * 300))
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        out = bytearray(whole)
+        for at in rng.integers(0, 700, int(rng.integers(1, 5))):
+            out[at] = int(rng.choice([0, 1, 255, int(rng.integers(256))]))
+        got = media._probe(bytes(out))
+        assert got["error"] or sum(t["payload_bytes"] for t in got["tracks"]) <= len(out)
+
+
+def test_all_tracks():
+    one, two = media.mux(media.pad(b"first" * 50)), media.mux(media.pad(b"second" * 90))
+    box = lambda raw, kind: next((a, b) for path, a, b in media.boxes(raw) if path[-1] == kind)
+    trak = [media._box(b"trak", raw[slice(*box(raw, b"trak"))]) for raw in (one, two)]
+    sound = trak[0].replace(b"vide", b"soun")
+
+    def file(first, second):
+        head = media._box(b"ftyp", b"isom")
+        tracks = [sound, trak[1]]
+        size = 8 + sum(map(len, tracks))
+        at = [len(head) + size + 8, len(head) + size + 8 + len(first)]
+        tracks = [edited(t, b"stco", 8, x) for t, x in zip(tracks, at)]
+        return head + media._box(b"moov", *tracks) + media._box(b"mdat", first, second)
+
+    first, second = media.pad(b"first" * 50), media.pad(b"second" * 90)
+    got = media._probe(file(first, second))
+    assert got["error"] is None and [(t["handler"], t["payload_sha256"]) for t in got["tracks"]] == [("soun", hashlib.sha256(first).hexdigest()), ("vide", hashlib.sha256(second).hexdigest())]

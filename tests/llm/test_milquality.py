@@ -66,3 +66,39 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert kept.schema == d.schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
     assert {r.score for r in M.score_documents(d, l.limit(0)).collect()} == {0.0, 0.5}
     assert M.score_documents(d.limit(0), l).count() == 0
+
+
+def test_forward_pass_against_a_plain_one():
+    """Scores of bags by loops over passages, from the same weights."""
+    from math import exp, tanh
+
+    rng = np.random.default_rng(6)
+    bags = np.array([1, 4, 7])
+    x = rng.normal(size=(bags.sum(), M.FEATURES)) * 3
+    model = M.train(x, bags, np.array([1.0, 0.0, 1.0]), epochs=5)
+    p, at = model.p, 0
+    for n, got in zip(bags.tolist(), model.score(x, bags)):
+        rows = [[min(8, max(-8, (v - m) / s)) for v, m, s in zip(r, model.mean, model.scale)] for r in x[at : at + n]]
+        at += n
+        hidden = [[tanh(sum(a * w for a, w in zip(r, p["W"][:, k])) + p["b"][k]) for k in range(M.HIDDEN)] for r in rows]
+        energy = [sum(p["u"][j] * tanh(sum(h * v for h, v in zip(hs, p["V"][:, j]))) / (1 + exp(-sum(h * v for h, v in zip(hs, p["U"][:, j])))) for j in range(M.ATTENTION)) for hs in hidden]
+        weights = [exp(e - max(energy)) for e in energy]
+        bag = [sum(w * hs[k] for w, hs in zip(weights, hidden)) / sum(weights) for k in range(M.HIDDEN)]
+        want = 1 / (1 + exp(-(sum(b * c for b, c in zip(bag, p["c"])) + p["d"][0])))
+        assert abs(want - got) < 1e-12
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """With every labelled text longer than the bound on passages, the fit still separates them."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(60):
+        t = [str(w) for w in rng.choice(words, 64 * 12)]
+        docs.append((i, " ".join(w.upper() + "!!" for w in t) if i % 2 else " ".join(t)))
+        labels.append((i, 1 - i % 2, 0))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = M.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_passages=5)
+    assert model is not None
+    scored = {i: float(model.score(*reversed(next(M.passages([t.encode()]))))[0]) for i, t in docs}
+    assert min(s for i, s in scored.items() if i % 2 == 0) > max(s for i, s in scored.items() if i % 2)

@@ -1,7 +1,8 @@
 """Token ids as files: canonical length-limited Huffman codes from global counts.
 
 Documents are encoded to ids once and stored; the ids' counts, one row per
-vocabulary entry, give code lengths of at most ``MAX_BITS`` (package-merge);
+vocabulary entry, give code lengths of at most ``MAX_BITS`` (package-merge; more
+only where a larger vocabulary has more than 2**MAX_BITS ids in use);
 codes are canonical, so the lengths alone define them.  A document's ids are
 written in byte-aligned blocks of ``BLOCK`` ids; within a block the bit offset
 of every ``STEP``-th id is kept, so reading may begin at any of these, and many
@@ -37,9 +38,10 @@ STEP = 64
 BATCH_IDS = 1 << 19
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits; 0 for ids that never occur."""
     used = np.flatnonzero(counts)
+    limit = limit or max(MAX_BITS, (len(used) - 1).bit_length())
     out = np.zeros(len(counts), np.uint8)
     if len(used) < 2:
         out[used] = 1
@@ -74,12 +76,15 @@ class Code:
         used = np.flatnonzero(self.lengths)
         order = used[np.argsort(self.lengths[used], kind="stable")]
         n = self.lengths[order].astype(np.int64)
-        span = np.int64(1) << (MAX_BITS - n)  # of the table, a code's share
+        self.bits = bits = max(MAX_BITS, int(n.max()) if len(n) else 0)
+        if bits > 25:
+            raise ValueError("codes are longer than four bytes can hold at any bit")
+        span = np.int64(1) << (bits - n)  # of the table, a code's share
         ends = np.cumsum(span)
         self.codes = np.zeros(len(self.lengths), np.int64)
-        self.codes[order] = (ends - span) >> (MAX_BITS - n)
-        self.symbol = np.zeros(1 << MAX_BITS, np.uint32)
-        self.width = np.ones(1 << MAX_BITS, np.uint8)
+        self.codes[order] = (ends - span) >> (bits - n)
+        self.symbol = np.zeros(1 << bits, np.uint32)
+        self.width = np.ones(1 << bits, np.uint8)
         total = int(ends[-1]) if len(ends) else 0
         self.symbol[:total], self.width[:total] = np.repeat(order, span), np.repeat(n, span)
 
@@ -97,9 +102,10 @@ class Code:
         upto = np.cumsum(n) - n
         block_of = np.cumsum(place % BLOCK == 0) - 1
         bit = upto - upto[begin][block_of] + 8 * block_at[block_of]
-        word = self.codes[ids] << (24 - n - (bit & 7))
-        byte, size = bit >> 3, int(block_bytes.sum()) + 2
-        out = sum(np.bincount(byte + k, (word >> (16 - 8 * k)) & 255, size) for k in range(3)).astype(np.uint8)[: size - 2]
+        span = 3 if self.bits <= 17 else 4  # bytes that a code can touch
+        word = self.codes[ids] << (8 * span - n - (bit & 7))
+        byte, size = bit >> 3, int(block_bytes.sum()) + span
+        out = sum(np.bincount(byte + k, (word >> (8 * (span - 1 - k))) & 255, size) for k in range(span)).astype(np.uint8)[: size - span]
         blocks = -(-sizes // BLOCK)
         ends = np.cumsum(blocks)
         doc_bytes = np.add.reduceat(block_bytes, ends - blocks)
@@ -118,8 +124,10 @@ class Code:
         to = np.repeat(np.cumsum(sizes) - sizes, marks) + STEP * place
         order = np.argsort(-left, kind="stable")
         bit, to, left = bit[order], to[order], left[order]
-        wide = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.uint32)
-        wide = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
+        span = 3 if self.bits <= 17 else 4
+        near = np.concatenate([raw, np.zeros(span, np.uint8)]).astype(np.uint32)
+        wide = sum(near[k : len(near) - span + k] << np.uint32(8 * (span - 1 - k)) for k in range(span)).astype(np.uint32)
+        mask = np.uint32((1 << self.bits) - 1)
         out = np.empty(int(sizes.sum()), np.uint32)
         live = np.searchsorted(-left, -np.arange(STEP), side="left")  # runs with more than k ids
         for k in range(STEP):
@@ -127,7 +135,7 @@ class Code:
             if not m:
                 break
             at = bit[:m]
-            look = (wide[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+            look = (wide[at >> 3] >> (8 * span - self.bits - (at & 7)).astype(np.uint32)) & mask
             out[to[:m] + k] = self.symbol[look]
             at += self.width[look]
         return out

@@ -44,6 +44,12 @@ SLACK = 1e-9
 TOLERANCE = SLACK / 4
 
 
+#: What a page does not show: its links are none.
+HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|$)"
+#: An absolute link of an ``a`` element: attributes before it are read whole, quoted values included.
+LINK = r"""(?i)<a(?:\s+(?!href\s*=)[^\s"'>=/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|/)*+\s+href\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -83,8 +89,14 @@ def match(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Co
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst, n: how many links from pages of one host to another host."""
-    links = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)<a\s[^<>]*?href\s*=\s*["']?((?:https?:)?//[^\s"'>]+)"""), 1)
+    """src, dst, n: how many links from pages of one host to another host.
+
+    Links are those of ``a`` elements outside comments, scripts, styles and
+    templates; values of other attributes may hold any sign.  A relative link,
+    and one that only ``base`` makes absolute, is one to its own host: no edge.
+    """
+    shown = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), HIDDEN, " ")
+    links = F.regexp_extract_all(shown, F.lit(LINK), 1)
     rows = pages.select(host_of(F.col(url)).alias("src"), F.explode(links).alias("link"))
     full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))
     rows = rows.select("src", host_of(full).alias("dst")).filter("src <> '' and dst <> '' and src <> dst")

@@ -6,9 +6,13 @@ any ISO media file: it walks the nested boxes, decodes the sample tables (stts,
 stsc, stsz, stco or co64, stss) and gives codec, duration and the byte ranges of
 keyframes; payloads are addressed, never decoded.
 
+All tracks of a file are given.  Counts in a file are held against the box they
+are in and the file before anything is made of their size.
+
 Defined results: a null media value probes to null, a damaged one to a row whose
-``error`` says why; null text is stored as an empty one.  Columns other than the
-ones named pass through.
+``error`` says why (bytes that hold no track, tables that disagree, samples
+outside the file, a track without times, fragments, which are not read); null
+text is stored as an empty one.  Columns other than the ones named pass through.
 """
 
 from __future__ import annotations
@@ -119,34 +123,60 @@ class Track:
     fixed_size: int = 0
     samples: int = 0
 
+    times: np.ndarray | None = None  # count and duration of runs of samples
+
     def layout(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Offset, size and sync flag of each sample."""
+        """Offset, size and sync flag of each sample of a file of ``size`` bytes."""
         n = self.samples
+        if n * max(self.fixed_size, 1) > size:
+            raise ValueError("more samples than bytes")
         sizes = np.full(n, self.fixed_size, np.int64) if self.fixed_size else self.tables[b"stsz"].astype(np.int64)[:n]
+        if int(sizes.sum()) > size:
+            raise ValueError("samples are longer than the file")
         at, runs = self.tables.get(b"stco", np.zeros(0)).astype(np.int64), self.tables.get(b"stsc", np.zeros((0, 3))).astype(np.int64)
         spans = np.diff(np.append(runs[:, 0], len(at) + 1))
         if n and (not len(runs) or runs[0, 0] != 1 or (spans < 0).any()):
             raise ValueError("the chunk table has no beginning or goes back")
-        if int((runs[:, 1] * spans).sum()) < n:
+        upto_chunk = np.cumsum(np.repeat(runs[:, 1], spans))
+        if n and (not len(upto_chunk) or upto_chunk[-1] < n):
             raise ValueError("fewer places than samples")
-        chunk = np.repeat(np.arange(len(at)), np.repeat(runs[:, 1], spans))[:n]
+        if self.times is None or int(self.times[:, 0].sum()) != n:
+            raise ValueError("times and samples differ in number")
+        chunk = np.searchsorted(upto_chunk, np.arange(n), side="right")
         upto = np.cumsum(sizes) - sizes
         begins = np.flatnonzero(np.diff(chunk, prepend=-1)) if n else np.zeros(0, np.int64)
         offsets = at[chunk] + upto - np.repeat(upto[begins], np.diff(np.append(begins, n)))
-        if n and int((offsets + sizes).max()) > size:
+        if n and (int((offsets + sizes).max()) > size or int(offsets.min()) < 0):
             raise ValueError("a sample lies outside the file")
         sync = np.ones(n, bool)
         if b"stss" in self.tables:
+            keys = self.tables[b"stss"].astype(np.int64)
+            if len(keys) and (keys.min() < 1 or keys.max() > n):
+                raise ValueError("a sync sample that is not there")
             sync[:] = False
-            sync[self.tables[b"stss"].astype(np.int64) - 1] = True
+            sync[keys - 1] = True
         return offsets, sizes, sync
 
+    def length(self) -> int:
+        """The duration that the samples' times add up to."""
+        return int((self.times[:, 0].astype(object) * self.times[:, 1].astype(object)).sum()) if self.times is not None and len(self.times) else 0
+
+
+def _rows(raw: bytes, a: int, b: int, width: int, kind: str) -> np.ndarray:
+    """A counted table of numbers in the box body from ``a`` to ``b``."""
+    n = struct.unpack_from(">I", raw, a + 4)[0]
+    if n * width * int(kind[-1]) > b - a - 8:
+        raise ValueError("a table is longer than its box")
+    return np.frombuffer(raw, kind, n * width, a + 8).reshape(n, width)
+
 
 def tracks(raw: bytes) -> list[Track]:
     """The tracks of a file with their sample tables."""
     found: list[Track] = []
     for path, a, b in boxes(raw):
         kind, t = path[-1], found[-1] if found else Track()
+        if kind == b"moof":
+            raise ValueError("fragments are not read")
         if kind == b"trak":
             found.append(Track())
         elif len(path) < 3 or b"trak" not in path:
@@ -160,12 +190,15 @@ def tracks(raw: bytes) -> list[Track]:
         elif kind == b"stsz":
             t.fixed_size, t.samples = struct.unpack_from(">2I", raw, a + 4)
             if not t.fixed_size:
+                if 4 * t.samples > b - a - 12:
+                    raise ValueError("a table is longer than its box")
                 t.tables[kind] = np.frombuffer(raw, ">u4", t.samples, a + 12)
-        elif kind in (b"stco", b"co64", b"stss", b"stsc"):
-            n = struct.unpack_from(">I", raw, a + 4)[0]
-            wide = kind == b"co64"
-            values = np.frombuffer(raw, ">u8" if wide else ">u4", n * (3 if kind == b"stsc" else 1), a + 8)
-            t.tables[b"stco" if wide else kind] = values.reshape(n, 3) if kind == b"stsc" else values
+        elif kind == b"stts":
+            t.times = _rows(raw, a, b, 2, ">u4").astype(np.int64)
+        elif kind == b"stsc":
+            t.tables[kind] = _rows(raw, a, b, 3, ">u4")
+        elif kind in (b"stco", b"co64", b"stss"):
+            t.tables[b"stco" if kind == b"co64" else kind] = _rows(raw, a, b, 1, ">u8" if kind == b"co64" else ">u4")[:, 0]
     return found
 
 
@@ -178,7 +211,7 @@ def ranges(offsets: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(offsets[np.concatenate([[0], cut + 1])].tolist(), ends[np.append(cut, len(ends) - 1)].tolist()))
 
 
-PROBE = StructType(
+_TRACK = StructType(
     [
         StructField("codec", StringType()),
         StructField("handler", StringType()),
@@ -189,10 +222,9 @@ PROBE = StructType(
         StructField("payload_bytes", LongType()),
         StructField("payload_sha256", StringType()),
         StructField("tail_crc32", LongType()),
-        StructField("media_sha256", StringType()),
-        StructField("error", StringType()),
     ]
 )
+PROBE = StructType([StructField("tracks", ArrayType(_TRACK)), StructField("media_sha256", StringType()), StructField("error", StringType())])
 
 
 def read_payload(raw: bytes, track: Track) -> bytes:
@@ -201,31 +233,34 @@ def read_payload(raw: bytes, track: Track) -> bytes:
     return b"".join([raw[a:b] for a, b in ranges(offsets, sizes)])
 
 
-def _probe(raw: bytes | None) -> dict | None:
-    if raw is None:
-        return None
-    try:
-        first = tracks(raw)[0]
-        offsets, sizes, sync = first.layout(len(raw))
-        payload = b"".join([raw[a:b] for a, b in ranges(offsets, sizes)])
-    except (ValueError, IndexError, KeyError, struct.error) as why:
-        return {"error": str(why) or type(why).__name__, "media_sha256": hashlib.sha256(raw).hexdigest()}
-    keys = zip(offsets[sync].tolist(), (offsets + sizes)[sync].tolist())
+def _described(raw: bytes, track: Track) -> dict:
+    offsets, sizes, sync = track.layout(len(raw))
+    payload = b"".join([raw[a:b] for a, b in ranges(offsets, sizes)])
     return {
-        "codec": first.codec,
-        "handler": first.handler,
-        "timescale": first.timescale,
-        "duration": first.duration,
-        "samples": first.samples,
-        "keyframes": [{"start": a, "end": b} for a, b in keys],
+        "codec": track.codec,
+        "handler": track.handler,
+        "timescale": track.timescale,
+        "duration": track.length(),
+        "samples": track.samples,
+        "keyframes": [{"start": a, "end": b} for a, b in zip(offsets[sync].tolist(), (offsets + sizes)[sync].tolist())],
         "payload_bytes": len(payload),
         "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "tail_crc32": zlib.crc32(payload[-FRAME:]),
-        "media_sha256": hashlib.sha256(raw).hexdigest(),
-        "error": None,
     }
 
 
+def _probe(raw: bytes | None) -> dict | None:
+    if raw is None:
+        return None
+    found, error = None, None
+    try:
+        found = [_described(raw, t) for t in tracks(raw)]
+        error = None if found else "no track"
+    except (ValueError, IndexError, KeyError, OverflowError, RecursionError, struct.error) as why:
+        error = str(why) or type(why).__name__
+    return {"tracks": found, "media_sha256": hashlib.sha256(raw).hexdigest(), "error": error}
+
+
 @F.pandas_udf(BinaryType())
 def _mux(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: mux(pad((t or "").encode())))
@@ -250,7 +285,8 @@ def probe(media: Column) -> Column:
 def store_texts(documents: DataFrame) -> DataFrame:
     """Texts stored as media and read back: the contract's digest."""
     rows = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media_column(F.col("text")).alias("media"))
-    read = rows.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), _probe_column("media").alias("p"))
+    read = rows.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), _probe_column("media").alias("all"))
+    read = read.select("doc_id", "n_bytes", "media_bytes", "all.media_sha256", F.get("all.tracks", F.lit(0)).alias("p"))
     keys = F.array_join(F.transform("p.keyframes", lambda k: F.concat_ws("-", k["start"].cast("string"), k["end"].cast("string"))), ",")
     feature = F.format_string("codec=%s;handler=%s;timescale=%d;duration=%d;samples=%d;keyframes=%s", "p.codec", "p.handler", "p.timescale", "p.duration", "p.samples", keys)
-    return read.select("doc_id", "n_bytes", "p.payload_bytes", "p.payload_sha256", "p.tail_crc32", "media_bytes", "p.media_sha256", feature.alias("feature"))
+    return read.select("doc_id", "n_bytes", "p.payload_bytes", "p.payload_sha256", "p.tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -7,8 +7,9 @@ encoded by a learned layer.  Gated attention weighs the passages, a logistic
 unit scores the weighted sum, and all of it is trained on document labels.
 
 Training reads at most ``MAX_DOCS`` labelled documents (those with the smallest
-hashed ids, a fixed choice), of at most ``MAX_PASSAGES`` passages each; scoring
-reads whole texts of any length.
+hashed ids, a fixed choice); of one with more than ``MAX_PASSAGES`` passages it
+takes that many, evenly spread over the whole text.  Scoring reads whole texts
+of any length.
 
 Defined results: null, empty and wordless texts have no passage and score 0;
 without any usable label all other scores are 0.5; labels that are null are
@@ -188,12 +189,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            at, n, rows = 0, [], []
+            rows = []
             for bags, x in passages(texts):
                 for k, rows_x in zip(bags.tolist(), np.split(x, np.cumsum(bags)[:-1])):
-                    n.append(k)
-                    rows.append(rows_x.astype("<f8").tobytes() if 0 < k <= max_passages else None)
-                at += len(bags)
+                    spread = np.arange(k) if k <= max_passages else np.linspace(0, k - 1, max_passages).round().astype(int)
+                    rows.append(rows_x[spread].astype("<f8").tobytes() if k else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
 
     texts = documents.select(F.col("doc_id").cast("long"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi")

@@ -17,7 +17,7 @@ an empty result.  Other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,12 +31,15 @@ from .sharding import with_slots
 
 CAPACITY = 1024
 END_ID = 2
+#: Plans with mixed orders, of either kind.
+TRIES = 4
 
 
 def fullest(room: int, counts: dict[int, int], lengths: list[int]) -> dict[int, int]:
     """Length -> how many, the sum at most ``room`` and as large as it can be.
 
-    ``lengths``: those left, longest first.  Bit s of ``reach`` says that a sum
+    ``lengths``: those left, in the order in which sums are built; those that come
+    first are used before others.  Bit s of ``reach`` says that a sum
     s can be made; multiples of a length are added by doubling.
     """
     mask, reach, steps = (1 << (room + 1)) - 1, 1, []
@@ -62,16 +65,19 @@ def fullest(room: int, counts: dict[int, int], lengths: list[int]) -> dict[int,
     return found
 
 
-def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Bins as (length -> how many, times), in the order in which they are filled."""
+def _filled(counts: dict[int, int], capacity: int, pinned: bool, order: Callable[[list[int]], list[int]]) -> list[tuple[dict[int, int], int]]:
+    """One plan: ``pinned`` bins hold the longest length left; sums are built in ``order`` of the lengths."""
     left, out = {n: c for n, c in counts.items() if c}, []
     lengths = sorted(left, reverse=True)
     while lengths:
-        top = lengths[0]
-        left[top] -= 1
-        rest = fullest(capacity - top, left, [n for n in lengths if left[n]])
-        left[top] += 1
-        rest[top] = rest.get(top, 0) + 1
+        if pinned:
+            top = lengths[0]
+            left[top] -= 1
+            rest = fullest(capacity - top, left, order([n for n in lengths if left[n]]))
+            left[top] += 1
+            rest[top] = rest.get(top, 0) + 1
+        else:
+            rest = fullest(capacity, left, order(lengths))
         times = min(left[n] // k for n, k in rest.items())
         out.append((rest, times))
         for n, k in rest.items():
@@ -80,6 +86,28 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[di
     return out
 
 
+def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES) -> list[tuple[dict[int, int], int]]:
+    """Bins as (length -> how many, times), in the order in which they are filled.
+
+    Of equally full combinations the order of the lengths decides which is
+    taken, and with it what is left for the last bins: a few plans are made and
+    the shortest is kept, the first that wastes no bin at once.
+    """
+    rng = np.random.default_rng(17)
+    mixed = lambda lengths: [lengths[k] for k in rng.permutation(len(lengths))]
+    ways = [(True, list), (True, lambda x: x[::-1]), (False, lambda x: x[::-1]), *[(False, mixed)] * tries, *[(True, mixed)] * tries]
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best, size = [], None
+    for pinned, order in ways:
+        plan = _filled(counts, capacity, pinned, order)
+        bins = sum(times for _, times in plan)
+        if size is None or bins < size:
+            best, size = plan, bins
+        if size <= least:
+            break
+    return best
+
+
 def places(bins: list[tuple[dict[int, int], int]], capacity: int = CAPACITY) -> pd.DataFrame:
     """Of each length, runs of piece numbers: where they begin, sequence, how many in a bin, first offset."""
     rows, base, used = [], 0, {}
