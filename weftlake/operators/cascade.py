@@ -29,6 +29,15 @@ def _accepted(df: DataFrame, method: str, tier: int) -> DataFrame:
     return df.withColumn("method", F.lit(method)).withColumn("tier", F.lit(tier)).withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "fill")), 3))
 
 
+def structured_tier(items: DataFrame, hint: dict, *sources: Column) -> DataFrame:
+    """Tier 1 alone, as a projection: the hint's fields from the sources, fill, method, tier, confidence."""
+    mapped = items.withColumns({f: structured.find_value(f, h, *sources) for f, h in hint.items()}).withColumn("fill", fill(hint))
+    good = F.coalesce(F.col("fill") >= ACCEPT, F.lit(False))
+    fields = {f: F.when(good, F.col(f)) for f in hint}
+    named = {"method": F.when(good, F.lit("structured")), "tier": F.when(good, F.lit(1)), "confidence": F.when(good, F.round(F.least(F.lit(1.0), "fill"), 3)).otherwise(0.0)}
+    return mapped.withColumns(fields | named)
+
+
 def run(items: DataFrame, hint: dict, *, cache: DataFrame | None = None, specs: Callable[[DataFrame], DataFrame] | None = None, backend: Backend | None = None, tiers: Sequence[int] = (0, 1, 2, 3), tier1_requires_markup: bool = True) -> DataFrame:
     """items(id, cache_key, flat MAP, metadata MAP, text) -> id, fields, fill, method, tier, confidence.
 

@@ -6,13 +6,21 @@ a large group of copies is one row; pairs are between representatives.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: With four bands of 16 bits every pair at this distance or less shares a band.
-MAX_DISTANCE = 3
+#: Blocks of a fingerprint; every pair at this distance or less agrees in half of them.
+BLOCKS, MAX_DISTANCE = 6, 3
+#: Words of a shingle.
+SIZE = 3
 
 
 def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,14 +35,26 @@ def duplicate_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return h.join(ends, "h").select(key, F.when(F.col("lo") != F.col(key), F.col("lo")).alias("duplicate_of"))
 
 
+_BITS = np.left_shift(np.int64(1), np.arange(31, -1, -1, dtype=np.int64))
+
+
+def _md5_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The signs of the sums of a row's shingles' MD5 bits, the first 64, as two halves."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, 2), np.int64)
+        for i, words in enumerate(batch.column(1)):
+            w = words.as_py()
+            raw = b"".join([md5(" ".join(w[k : k + SIZE]).encode()).digest()[:8] for k in range(max(1, len(w) - SIZE + 1))])
+            n = len(raw) // 8
+            ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            out[i] = ((2 * ones > n).reshape(2, 32) * _BITS).sum(1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], names=[batch.schema.names[0], "hi", "lo"])
+
+
 def simhash_md5(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, hi, lo: the fingerprint's halves, by signed votes over shingles' MD5 bits; all built-in."""
-    s = df.select(key, F.explode(T.shingles(T.words(F.col(text)))).alias("s")).select(key, F.md5("s").alias("m"))
-    halves = s.select(key, F.conv(F.substring("m", 1, 8), 16, 10).cast("long").alias("h"), F.conv(F.substring("m", 9, 8), 16, 10).cast("long").alias("l"))
-    bit = lambda c, k: F.sum(F.when(F.col(c).bitwiseAND(1 << k) != 0, 1).otherwise(-1)).alias(f"{c}{k}")
-    votes = halves.groupBy(key).agg(*[bit(c, k) for c in "hl" for k in range(32)])
-    total = lambda c: sum((F.when(F.col(f"{c}{k}") > 0, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(1, 32)), F.when(F.col(f"{c}0") > 0, F.lit(1)).otherwise(F.lit(0))).cast("long")
-    return votes.select(key, total("h").alias("hi"), total("l").alias("lo"))
+    """key, hi, lo: the fingerprint's halves, by signed votes over shingles' MD5 bits; votes stay in the row."""
+    worded = df.select(key, T.words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    return worded.mapInArrow(_md5_votes, f"`{key}` {dict(df.dtypes)[key]}, hi long, lo long")
 
 
 def simhash_blake2b(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,26 +68,39 @@ def fingerprint_classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def near_pairs(classes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """a, b, distance of classes' representatives (a < b) within ``distance``, through shared bands."""
+    """a, b, distance of classes' representatives (a < b) within ``distance``.
+
+    64 bits are cut into BLOCKS blocks; of two prints at most ``distance`` bits
+    apart, at least BLOCKS - ``distance`` blocks agree, so the pair meets in a
+    table keyed on that many of them: some 32 bits, 20 tables.  Keys of one class alone
+    are dropped before the join.
+    """
     if distance > MAX_DISTANCE:
-        raise ValueError(f"four bands find all pairs up to distance {MAX_DISTANCE} only")
-    bands = F.array(*[F.lit(k).cast("long") * 65536 + F.shiftright(F.col(c), s).bitwiseAND(65535) for k, (c, s) in enumerate((("hi", 16), ("hi", 0), ("lo", 16), ("lo", 0)))])
-    keyed = classes.select("rep", "hi", "lo", F.explode(bands).alias("band"))
-    other = keyed.select("band", *[F.col(c).alias(f"{c}_b") for c in ("rep", "hi", "lo")])
+        raise ValueError(f"six blocks find all pairs up to distance {MAX_DISTANCE} only")
+    cuts = [0, 11, 22, 32, 43, 54, 64]  # of hi, then lo
+    block = lambda k: F.shiftright(F.col("hi" if k < 3 else "lo"), (32 if k < 3 else 64) - cuts[k + 1]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
+    parts = classes.select("rep", "hi", "lo", F.array(*[block(k).cast("long") for k in range(BLOCKS)]).alias("p"))
+    tables = list(combinations(range(BLOCKS), BLOCKS - MAX_DISTANCE))
+    keys = F.array(*[F.struct(F.lit(t).alias("table"), *[F.get("p", F.lit(k)).alias(f"k{j}") for j, k in enumerate(t_blocks)]) for t, t_blocks in enumerate(tables)])
+    keyed = parts.select("rep", "hi", "lo", F.explode(keys).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")  # most keys are one class's alone
+    keyed = keyed.join(shared, "key")
+    other = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "hi", "lo")])
     apart = (F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_b")))).cast("int")
-    return keyed.join(other, "band").filter((F.col("rep") < F.col("rep_b")) & (apart <= distance)).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), apart.alias("distance")).distinct()
+    return keyed.join(other, "key").filter((F.col("rep") < F.col("rep_b")) & (apart <= distance)).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), apart.alias("distance")).distinct()
 
 
-def leaders(classes: DataFrame, pairs: DataFrame, store, rounds: int = 100) -> DataFrame:
+def leaders(classes: DataFrame, pairs: DataFrame, store) -> DataFrame:
     """rep, leader: greedy choice in order of ids, without a sequential pass.
 
     A class leads once all earlier neighbours are known not to; it follows the
-    nearest (then earliest) leader among them as soon as one is known.  The
-    undecided shrink every round.  ``store`` keeps a frame between rounds.
+    nearest (then earliest) leader among them as soon as one is known.  The first
+    undecided one is always decided, so the rounds end.  ``store`` keeps a frame
+    between rounds.
     """
     state = store(classes.select("rep", F.lit(None).cast("long").alias("leader")))
     pairs = store(pairs)
-    for _ in range(rounds):
+    while True:
         before = pairs.join(state.select(F.col("rep").alias("a"), F.col("leader").alias("lead_a")), "a")
         seen = before.groupBy(F.col("b").alias("rep")).agg(
             F.min(F.when(F.col("lead_a") == F.col("a"), F.struct("distance", F.col("a").alias("id")))).alias("to"), F.count_if(F.col("lead_a").isNull()).alias("open")
@@ -76,4 +109,3 @@ def leaders(classes: DataFrame, pairs: DataFrame, store, rounds: int = 100) -> D
         state = store(state.join(seen, "rep", "left").select("rep", new.alias("leader")))
         if not state.filter("leader is null").limit(1).count():
             return state
-    raise RuntimeError("leaders did not settle")

@@ -1,4 +1,9 @@
-"""Pages: one tolerant parse in an Arrow UDF gives all that plans ask of the markup."""
+"""Pages: one tolerant parse in an Arrow map gives all that plans ask of the markup.
+
+``with_page`` parses each page once, in two walks over its nodes, and gives the
+parts that are asked for.  A page that cannot be read becomes a row with
+``error``.  Nothing is left out unless ``most`` says so; then ``truncated`` tells.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +14,47 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-# What is not content, where content usually is, links that lead nowhere.
-NOISE = "script, style, noscript, iframe, svg, canvas, template, header, footer, nav, form, aside, [role=navigation], [role=banner], [role=contentinfo], [aria-hidden=true], .cookie-banner, .cookie-consent, #cookie-banner, .advertisement, .ad-slot"
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+# What is not content, where content usually is, links that lead nowhere, fields of a page's head.
+NOISE = (
+    "script",
+    "style",
+    "noscript",
+    "iframe",
+    "svg",
+    "canvas",
+    "template",
+    "header",
+    "footer",
+    "nav",
+    "form",
+    "aside",
+    "[role=navigation]",
+    "[role=banner]",
+    "[role=contentinfo]",
+    "[aria-hidden=true]",
+    ".cookie-banner",
+    ".cookie-consent",
+    "#cookie-banner",
+    ".advertisement",
+    ".ad-slot",
+)
 CONTENT = ("article", "main", "[role=main]", "#content", ".post-content", ".article-body", ".entry-content", "#main-content")
 SKIPPED_LINKS = ("#", "javascript:", "mailto:", "tel:", "data:")
+HEAD = (("description", "description"), ("author", "author"), ("keywords", "keywords"), ("robots", "meta_robots"))
 #: A start tag in the first set ends an open element of the second kind.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "div": ("p",), "ul": ("p",), "ol": ("p",), "table": ("p",), "h1": ("p",), "h2": ("p",), "h3": ("p",), "article": ("p",), "section": ("p",)}
 _SCOPES = frozenset("table ul ol div article section body html select td th main nav aside header footer form".split())
-MAX = {"links": 500, "headings": 100, "tables": 20, "rows": 100, "link_text": 200, "heading_text": 300}
+#: The record view's caps, for ``most``; without them nothing is cut.
+RECORD_CAPS = {"links": 500, "headings": 100, "tables": 20, "rows": 100, "link_text": 200, "heading_text": 300}
+PARTS = ("metadata", "text_content", "links", "headings", "tables")
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
 class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
@@ -159,98 +189,164 @@ def first(root: Node, selector) -> Node | None:
     return next(select(root, selector), None)
 
 
-_NOISE, _CONTENT = compile_selector(NOISE), [compile_selector(c) for c in CONTENT]
-
-
-def drop_noise(root: Node) -> None:
-    for n in list(select(root, _NOISE)):
-        if n.parent is not None and n in n.parent.items:
-            n.parent.items.remove(n)
-
-
-def metadata(root: Node, url: str) -> dict[str, str]:
-    out = {}
-    if title := first(root, "title"):
-        out["title"] = title.text()
-    for name, key in (("description", "description"), ("author", "author"), ("keywords", "keywords"), ("robots", "meta_robots")):
-        node = first(root, f'meta[name="{name}"]')
-        if node and node.attrs.get("content", "").strip():
-            out[key] = node.attrs["content"].strip()
-    if (node := first(root, 'link[rel="canonical"]')) and node.attrs.get("href"):
-        out["canonical"] = urljoin(url, node.attrs["href"])
-    if (node := first(root, "html")) and node.attrs.get("lang", "").strip():
-        out["language"] = node.attrs["lang"].strip()
-    return out
-
-
-def links(root: Node, url: str) -> list[dict]:
-    out, seen = [], set()
-    for n in select(root, "a[href]"):
-        href = n.attrs["href"].strip()
-        if not href or href.startswith(SKIPPED_LINKS):
-            continue
-        try:
-            full = urljoin(url, href)
-        except ValueError:
-            continue
-        if full not in seen:
-            seen.add(full)
-            out.append({"url": full, "text": n.text()[: MAX["link_text"]], "rel": n.attrs.get("rel", "").lower()})
-            if len(out) == MAX["links"]:
-                break
-    return out
-
-
-def headings(root: Node) -> list[dict]:
-    out = [{"level": k, "text": t[: MAX["heading_text"]]} for k in (1, 2, 3) for n in select(root, f"h{k}") if (t := n.text())]
-    return out[: MAX["headings"]]
-
-
-def tables(root: Node) -> list[dict]:
-    out = []
-    for t in list(select(root, "table"))[: MAX["tables"]]:
-        heads = [n.text() for n in select(t, "th")]
-        rows = [cells for r in select(t, "tr") if (cells := [n.text() for n in select(r, "td")])]
-        width = max(map(len, rows), default=0)
-        if rows:
-            out.append({"headers": heads + [f"col_{k}" for k in range(len(heads), width)], "rows": rows[: MAX["rows"]]})
-    return out
-
-
-def readable_text(root: Node) -> str:
-    for c in _CONTENT:
-        n = first(root, c)
-        if n and len(t := n.text("\n")) > 200:
-            return t
-    return (first(root, "body") or root).text("\n")
-
-
-PAGE = StructType(
-    [
-        StructField("metadata", MapType(StringType(), StringType())),
-        StructField("text_content", StringType()),
-        StructField("links", ArrayType(StructType([StructField("url", StringType()), StructField("text", StringType()), StructField("rel", StringType())]))),
-        StructField("headings", ArrayType(StructType([StructField("level", IntegerType()), StructField("text", StringType())]))),
-        StructField("tables", ArrayType(StructType([StructField("headers", ArrayType(StringType())), StructField("rows", ArrayType(ArrayType(StringType())))]))),
-    ]
-)
+class Simple:
+    """Selectors of one test each, looked up by tag, id, class and attribute."""
 
+    def __init__(self, selectors: tuple[str, ...]) -> None:
+        self.tags, self.ids, self.classes, self.attrs = {}, {}, {}, []
+        for k, one in enumerate(selectors):
+            (((_, ((kind, *x),)),),) = compile_selector(one)
+            if kind == "attr":
+                self.attrs.append((x[0], x[2], k))
+            else:
+                {"tag": self.tags, "id": self.ids, "class": self.classes}[kind][x[0]] = k
 
-def page(html: str | None, url: str | None) -> dict:
-    root = parse(html or "")
-    out = {"metadata": metadata(root, url or ""), "links": links(root, url or "")}
-    drop_noise(root)
-    return out | {"text_content": readable_text(root), "headings": headings(root), "tables": tables(root)}
+    def fits(self, n: Node) -> list[int]:
+        """The numbers of the selectors that a node fits."""
+        found = [self.tags[n.tag]] if n.tag in self.tags else []
+        if n.attrs:
+            found += [k for name, v, k in self.attrs if n.attrs.get(name) == v]
+            if (i := n.attrs.get("id")) in self.ids:
+                found.append(self.ids[i])
+            if names := n.attrs.get("class"):
+                found += [self.classes[c] for c in names.split() if c in self.classes]
+        return found
 
 
-@F.pandas_udf(PAGE)
-def parse_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    rows = [page(h, u) for h, u in zip(html, url)]
-    return pd.DataFrame({f.name: pd.Series([r[f.name] for r in rows], dtype=object) for f in PAGE.fields})
+_NOISE, _CONTENT = Simple(NOISE), Simple(CONTENT)
 
 
-def with_page(df: DataFrame, html: str = "html", url: str = "url", into: str = "page") -> DataFrame:
-    return df.withColumn(into, parse_page(F.col(html), F.col(url)))
+def drop_noise(root: Node) -> None:
+    """Take out what is not content, in one walk."""
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        n.items = [x for x in n.items if not (isinstance(x, Node) and _NOISE.fits(x))]
+        stack.extend(x for x in n.items if isinstance(x, Node))
+
+
+def _absolute(base: str, link: str) -> str | None:
+    try:
+        return urljoin(base, link)
+    except ValueError:
+        return None
+
+
+def table_of(t: Node) -> dict | None:
+    """Headers and rows of a table; columns without a header are col_i."""
+    heads, rows = [], []
+    for n in t.walk():
+        if n.tag == "th":
+            heads.append(n.text())
+        elif n.tag == "tr":
+            cells = [c.text() for c in n.walk() if c.tag == "td"]
+            if cells:
+                rows.append(cells)
+    width = max(map(len, rows), default=0)
+    return {"headers": heads + [f"col_{k}" for k in range(len(heads), width)], "rows": rows} if rows else None
+
+
+_STRING, _LONG = pa.string(), pa.int32()
+_TYPES = {
+    "metadata": pa.map_(_STRING, _STRING),
+    "text_content": _STRING,
+    "links": pa.list_(pa.struct([("url", _STRING), ("text", _STRING), ("rel", _STRING)])),
+    "headings": pa.list_(pa.struct([("level", _LONG), ("text", _STRING)])),
+    "tables": pa.list_(pa.struct([("headers", pa.list_(_STRING)), ("rows", pa.list_(pa.list_(_STRING)))])),
+}
+_DDL = {
+    "metadata": "map<string,string>",
+    "text_content": "string",
+    "links": "array<struct<url:string,text:string,rel:string>>",
+    "headings": "array<struct<level:int,text:string>>",
+    "tables": "array<struct<headers:array<string>,rows:array<array<string>>>>",
+}
+
+
+def page(html: str | None, url: str | None, parts: tuple[str, ...] = PARTS, most: dict[str, int] | None = None) -> dict:
+    """The parts of a page; head and links are read before noise is taken out, the rest after."""
+    root, url, out, cut = parse(html or ""), url or "", {}, False
+    most = most or {}
+
+    def capped(what: list, name: str) -> list:
+        nonlocal cut
+        limit = most.get(name)
+        cut = cut or (limit is not None and len(what) > limit)
+        return what if limit is None else what[:limit]
+
+    def short(text: str, name: str) -> str:
+        return "".join(capped(list(text), name)) if name in most else text
+
+    if "metadata" in parts or "links" in parts:
+        head, seen, wanted = {}, {}, dict(HEAD)
+        for n in root.walk():
+            tag, attrs = n.tag, n.attrs
+            if tag == "a" and "links" in parts and "href" in attrs:
+                href = attrs["href"].strip()
+                if href and not href.startswith(SKIPPED_LINKS) and (full := _absolute(url, href)) is not None and full not in seen:
+                    seen[full] = {"url": full, "text": short(n.text(), "link_text"), "rel": attrs.get("rel", "").lower()}
+            elif tag == "title":
+                head.setdefault("title", n.text())
+            elif tag == "meta" and attrs.get("name") in wanted:
+                if text := attrs.get("content", "").strip():
+                    head.setdefault(wanted[attrs["name"]], text)
+            elif tag == "link" and attrs.get("rel") == "canonical" and attrs.get("href") and (full := _absolute(url, attrs["href"])) is not None:
+                head.setdefault("canonical", full)
+            elif tag == "html" and (text := attrs.get("lang", "").strip()):
+                head.setdefault("language", text)
+        if "metadata" in parts:
+            out["metadata"] = head
+        if "links" in parts:
+            out["links"] = capped(list(seen.values()), "links")
+    if {"text_content", "headings", "tables"} & set(parts):
+        drop_noise(root)
+        places: list[Node | None] = [None] * len(CONTENT)
+        levels, grids, body = {"h1": [], "h2": [], "h3": []}, [], None
+        for n in root.walk():
+            if n.tag in levels:
+                levels[n.tag].append(n)
+            elif n.tag == "table":
+                grids.append(n)
+            elif n.tag == "body" and body is None:
+                body = n
+            for k in _CONTENT.fits(n):
+                places[k] = places[k] or n
+        if "text_content" in parts:
+            texts = (n.text("\n") for n in places if n is not None)
+            out["text_content"] = next((t for t in texts if len(t) > 200), None) or (body or root).text("\n")
+        if "headings" in parts:
+            out["headings"] = capped([{"level": int(k[1]), "text": short(t, "heading_text")} for k, found in levels.items() for n in found if (t := n.text())], "headings")
+        if "tables" in parts:
+            found = [t for t in map(table_of, capped(grids, "tables")) if t]
+            out["tables"] = [t | {"rows": capped(t["rows"], "rows")} for t in found]
+    return out | {"truncated": cut}
+
+
+def with_page(df: DataFrame, parts: tuple[str, ...] = PARTS, keep: tuple[str, ...] | None = None, html: str = "html", url: str = "url", most: dict[str, int] | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) and ``page``: a struct of the parts, ``truncated`` and ``error``."""
+    keep = tuple(df.columns) if keep is None else keep
+    kind = pa.struct([*((p, _TYPES[p]) for p in parts), ("truncated", pa.bool_()), ("error", _STRING)])
+    rows = df.select(*keep, F.col(html).alias("_html"), F.col(url).alias("_url"))
+
+    def read(h: str | None, u: str | None) -> dict:
+        try:
+            return page(h, u, parts, most)
+        except Exception as why:  # a page that cannot be read is a result, not the end of a job
+            return {"error": f"{type(why).__name__}: {why}"[:300]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                made = [read(h, u) for h, u in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())]
+                for m in made:
+                    if "metadata" in m:
+                        m["metadata"] = list(m["metadata"].items())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(made, kind)], names=[*b.schema.names[:-2], "page"])
+
+    inside = ",".join([*(f"{p}:{_DDL[p]}" for p in parts), "truncated:boolean", "error:string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]), f"page struct<{inside}>"])
+    return rows.mapInArrow(run, schema)
 
 
 def apply_rule(root: Node, rule: dict) -> object:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,21 +56,23 @@ def fold_sorted(df: DataFrame, key: str, order: list[str], start: Callable[[], o
 
     ``out`` is the schema of the results; ``columns`` are what ``step`` sees.
     """
-    names = [c.strip().split()[0] for c in out.split(",")]
+    names, kinds = zip(*(c.split() for c in out.split(",")))
+    arrow = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[k] for k in kinds]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, start()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = start, None  # no key equals the start function; a null key is one key
         for b in batches:
             rows = []
-            for row in b.itertuples(index=False, name=None):
+            for row in zip(*(c.to_pylist() for c in b.columns)):
                 if row[0] != current:
                     current, state = row[0], start()
                 state, result = step(state, row)
                 rows.append(result)
-            yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow)], names=list(names))
 
     lean = df.select(key, *columns)
-    return lean.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
+    return lean.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)
 
 
 def breaker_step(threshold: int = 8, recover: float = 300.0, successes: int = 2) -> Callable:

@@ -39,22 +39,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def page_records(spark, sf):
     """One record per page: canonical URL, kind, block, text, and a schema answered by tier 1."""
     hint = {"title": "string", "language": "string", "heading": "string"}
-    p = html.with_page(read(spark, sf, "pages"))
-    p = p.select(
-        F.col("page_id").alias("id"), "url", F.col("page.text_content").alias("text"), F.size("page.links").alias("links"), F.size("page.tables").alias("tables"),
-        F.map_concat("page.metadata", F.map_filter(F.create_map(F.lit("heading"), F.get(F.col("page.headings.text"), F.lit(0))), lambda k, v: v.isNotNull())).alias("metadata"),
-        detect.detect(text=F.col("html"), url=F.col("url"))["kind"].alias("kind"), blocks.detect_block(F.lit(200), F.col("html"))["name"].alias("block"), T.content_hash(F.encode("html", "UTF-8")).alias("content_hash"),
+    p = html.with_page(read(spark, sf, "pages"), keep=("page_id", "url", "html"))
+    heading = F.create_map(F.lit("heading"), F.get(F.col("page.headings.text"), F.lit(0)))
+    p = p.withColumn("metadata", F.map_concat("page.metadata", F.map_filter(heading, lambda k, v: v.isNotNull())))
+    p = cascade.structured_tier(p, hint, F.col("metadata"))
+    return p.select(
+        "page_id", urls.canonical(F.col("url")).alias("canonical_url"), urls.registrable_host(F.col("url")).alias("domain"), detect.detect(text=F.col("html"), url=F.col("url"))["kind"].alias("kind"),
+        blocks.detect_block(F.lit(200), F.col("html"))["name"].alias("block"), *hint, F.size("page.links").alias("links"), F.size("page.tables").alias("tables"), T.preview(F.col("page.text_content"), nfkc=False).alias("preview"),
+        T.content_hash(F.encode("html", "UTF-8")).alias("content_hash"), "method", "tier", "confidence",
     )
-    p = stored(p.withColumn("flat", F.create_map().cast("map<string,string>")))
-    got = cascade.run(p, hint, tiers=(1,), tier1_requires_markup=False)
-    return p.join(got, "id").select(
-        F.col("id").alias("page_id"), urls.canonical(F.col("url")).alias("canonical_url"), urls.registrable_host(F.col("url")).alias("domain"), "kind", "block", "title", "language", "heading", "links", "tables", T.preview(F.col("text"), nfkc=False).alias("preview"), "content_hash", "method", "tier", "confidence"
-    )
 
 
 @register("SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language FROM pages")
 def page_title_lang(spark, sf):
-    p = html.with_page(read(spark, sf, "pages"))
+    p = html.with_page(read(spark, sf, "pages"), parts=("metadata",), keep=("page_id",))
     return p.select("page_id", F.col("page.metadata")["title"].alias("title"), F.col("page.metadata")["language"].alias("language"))
 
 
@@ -99,7 +97,7 @@ def detect_kind(spark, sf):
     return p.unionByName(d).select("source", "id", detect.detect(text=F.col("text"))["kind"].alias("kind"))
 
 
-@register(f"SELECT coalesce(name, 'none') AS signal, count(*) AS pages FROM (SELECT CASE {' '.join(f'WHEN contains(lower(html), $${m}$$) THEN $${n}$$' for m, n, alone in blocks.BODY_SIGNALS if alone)} END AS name FROM pages WHERE octet_length(encode(html)) <= {blocks.MAX_BODY} OR true) GROUP BY 1")
+@register(f"SELECT coalesce(name, 'none') AS signal, count(*) AS pages FROM (SELECT CASE WHEN octet_length(encode(html)) > {blocks.MAX_BODY} THEN NULL {' '.join(f'WHEN contains(lower(html), $${m}$$) THEN $${n}$$' for m, n, alone in blocks.BODY_SIGNALS if alone)} END AS name FROM pages) GROUP BY 1")
 def block_signals(spark, sf):
     p = read(spark, sf, "pages").select(F.coalesce(blocks.detect_block(F.lit(200), F.col("html"))["name"], F.lit("none")).alias("signal"))
     return p.groupBy("signal").agg(F.count(F.lit(1)).alias("pages"))
@@ -117,7 +115,7 @@ _LINKS_SQL = r"""links AS (SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]
 
 
 def _links(spark, sf):
-    p = html.with_page(read(spark, sf, "pages"))
+    p = html.with_page(read(spark, sf, "pages"), parts=("links",), keep=("page_id", "url"))
     return p.select("page_id", "url", F.explode("page.links").alias("l")).select("page_id", "url", F.col("l.url").alias("link"), F.col("l.rel").alias("rel"))
 
 
@@ -163,13 +161,13 @@ def frontier_reach(spark, sf):
 
 @register()
 def headings(spark, sf):
-    p = html.with_page(read(spark, sf, "pages"))
+    p = html.with_page(read(spark, sf, "pages"), parts=("headings",), keep=("page_id",))
     return p.select("page_id", F.explode("page.headings").alias("h")).select("page_id", "h.level", "h.text")
 
 
 @register()
 def readable_text(spark, sf):
-    p = html.with_page(read(spark, sf, "pages"))
+    p = html.with_page(read(spark, sf, "pages"), parts=("text_content",), keep=("page_id",))
     return p.select("page_id", F.col("page.text_content").alias("text"), T.preview(F.col("page.text_content")).alias("preview"))
 
 
@@ -290,7 +288,7 @@ SELECT id, CASE WHEN id % 5 = 0 THEN 'cached ' || id ELSE title END AS title, CA
 CASE WHEN id % 5 = 0 THEN 'cache' ELSE 'structured' END AS method, CAST(CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS INTEGER) AS tier, CASE WHEN id % 5 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM p""")
 def cascade_tiers(spark, sf):
     """Tier 0 for pages whose answer is stored (every fifth), tier 1 from the pages' metadata for the rest."""
-    p = html.with_page(read(spark, sf, "pages")).select(F.col("page_id").alias("id"), T.cache_key(T.content_hash(F.encode("html", "UTF-8")), F.col("url"), F.lit("p")).alias("cache_key"), F.col("page.metadata").alias("metadata"), F.create_map().cast("map<string,string>").alias("flat"))
+    p = html.with_page(read(spark, sf, "pages"), parts=("metadata",)).select(F.col("page_id").alias("id"), T.cache_key(T.content_hash(F.encode("html", "UTF-8")), F.col("url"), F.lit("p")).alias("cache_key"), F.col("page.metadata").alias("metadata"), F.create_map().cast("map<string,string>").alias("flat"))
     p = stored(p)
     cache = p.filter("id % 5 = 0").select("cache_key", F.concat(F.lit("cached "), "id").alias("title"), F.lit(None).cast("string").alias("language"))
     return cascade.run(p, {"title": "string", "language": "string"}, cache=cache, tiers=(0, 1), tier1_requires_markup=False).select("id", "title", "language", "method", "tier", "confidence")
