@@ -210,7 +210,8 @@ def test_mail_and_archives(spark):
         f.addfile(info, io.BytesIO(b"hi"))
     blobs = [zipped(a="1", d__b="22"), zipped(**{"..__evil": "x", "ok": "y"}), tar.getvalue(), gzip.compress(b"one"), bz2.compress(b"two"), gzip.compress(b"\0" * 10_000_000), b"junk"]
     rows = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(blobs)], "k int, v binary")
-    got = [(r.k, r.name, bytes(r.data) if r.data is not None else None) for r in handlers.archive_members(rows, "k", "v").collect()]
+    got = [(r.k, r.name, bytes(r.data) if r.data is not None else None) for r in handlers.archive_members(rows, "k", "v").filter("dropped is null").collect()]
+    assert [(r.k, r.name) for r in handlers.archive_members(rows, "k", "v").filter("dropped = 'unsafe name'").collect()][:1] == [(1, "../evil")]
     assert got[:6] == [(0, "a", b"1"), (0, "d/b", b"22"), (1, "ok", b"y"), (2, "d/x.txt", b"hi"), (3, "content", b"one"), (4, "content", b"two")]
     assert got[6][1] is None and got[7][1] is None
 

@@ -7,6 +7,7 @@ parts that are asked for.  A page that cannot be read becomes a row with
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 # What is not content, where content usually is, links that lead nowhere, fields of a page's head.
@@ -364,9 +366,13 @@ def apply_rule(root: Node, rule: dict) -> object:
     return found if rule.get("multiple") else (found[0] if found else None)
 
 
+#: Positions, pseudo-classes of scripts, class names that the next build changes.
+UNSTABLE = r"(?i):(?:contains|eq|first|last|gt|lt|has|visible|hidden|parent|header|input|nth-)|\.(?:css|sc|jsx|emotion)-[\w-]{5,}|\.[A-Za-z_-]*[0-9a-f]{6,}|\n"
+
+
 def selector_is_sane(selector: Column) -> Column:
     """Short, without positions, script pseudo-classes or generated class names."""
-    bad = selector.rlike(r"(?i):(?:contains|eq|first|last|gt|lt|has|visible|nth-)|\.(?:css|sc|jsx|emotion)-[\w-]{5,}|\.[A-Za-z_-]*[0-9a-f]{6,}")
+    bad = selector.rlike(UNSTABLE)
     return (F.length(F.trim(selector)).between(1, 300)) & ~bad
 
 
@@ -375,8 +381,6 @@ def replay_specs(pages: DataFrame, specs: DataFrame, fields: list[str]) -> DataF
 
     Specs are one row per domain and schema; the join picks its side by size.
     """
-    import json
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             values = []
@@ -395,3 +399,151 @@ def replay_specs(pages: DataFrame, specs: DataFrame, fields: list[str]) -> DataF
     rows = pages.join(specs, "domain", "left").select("page_id", "html", "rules").mapInPandas(run, "page_id long, values map<string,string>")
     filled = F.aggregate(F.array(*[F.lit(f) for f in fields]), F.lit(0), lambda n, f: n + F.when(F.try_element_at(F.col("values"), f).isNotNull(), 1).otherwise(0))
     return rows.withColumn("fill", F.coalesce(filled, F.lit(0)) / F.lit(float(len(fields))))
+
+
+def parse_rules(raw: str | None, fields: list[str]) -> dict[str, dict]:
+    """Selector rules of a model's JSON answer: bare strings and one envelope are accepted, unusable rules are not."""
+    try:
+        said = json.loads(raw or "")
+    except ValueError:
+        return {}
+    if isinstance(said, dict) and len(said) == 1:
+        (inner,) = said.values()
+        if isinstance(inner, dict) and set(inner) & set(fields):
+            said = inner
+    out = {}
+    for name in fields if isinstance(said, dict) else ():
+        rule = said.get(name)
+        rule = {"selector": rule} if isinstance(rule, str) else rule
+        if not isinstance(rule, dict):
+            continue
+        selector = str(rule.get("selector") or "").strip()
+        if not 1 <= len(selector) <= 300 or re.search(UNSTABLE, selector):
+            continue
+        try:
+            compile_selector(selector)
+        except ValueError:
+            continue
+        out[name] = {"selector": selector, "attribute": str(rule.get("attribute") or "").strip() or None, "multiple": bool(rule.get("multiple")), "pattern": str(rule.get("regex") or "") or None}
+    return out
+
+
+def verified_rules(html: str, rules: dict[str, dict]) -> tuple[dict[str, dict], float]:
+    """Rules that find something on the page they were made for, and the share of them that do."""
+    root, alive = parse(html), {}
+    for name, rule in rules.items():
+        try:
+            found = apply_rule(root, rule)
+        except re.error:
+            continue
+        if found:
+            alive[name] = rule
+    return alive, len(alive) / len(rules) if rules else 0.0
+
+
+def learned_specs(answers: DataFrame, fields: list[str], least: float = 0.5) -> DataFrame:
+    """answers(domain, html, answer) -> domain, rules (JSON of those that work), fill, accepted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for html, answer in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                alive, _ = verified_rules(html or "", parse_rules(answer, fields))
+                rows.append((json.dumps(alive, sort_keys=True), len(alive) / len(fields)))
+            rules, fill = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rules, pa.string()), pa.array(fill, pa.float64())], names=["domain", "rules", "fill"])
+
+    made = answers.select("domain", "html", "answer").mapInArrow(run, "domain string, rules string, fill double")
+    return made.withColumn("accepted", F.col("fill") >= least)
+
+
+SKELETON_NODES, SKELETON_CHARS = 220, 9000
+# Elements an outline leaves out, and attributes that are contracts rather than styling.
+OUTLINE_DROPS = ("script", "style", "noscript", "svg", "path", "iframe")
+OUTLINE_SKIPS = ("body", "html", "head", "br", "hr", "meta", "link", "#root")
+STABLE_ATTRIBUTES = ("itemprop", "data-testid", "data-test", "data-qa", "role", "aria-label", "name")
+HASHED = re.compile(r"(?:css|sc|jsx|emotion)-[\w-]{5,}|[A-Za-z_-]*[0-9a-f]{6,}")
+
+
+def _address(n: Node) -> str:
+    """Tag, id, up to three lasting classes and one contract attribute."""
+    name = n.tag + (f"#{n.attrs['id']}" if n.attrs.get("id") and not HASHED.fullmatch(n.attrs["id"]) else "")
+    name += "".join(f".{c}" for c in [c for c in n.attrs.get("class", "").split() if not HASHED.fullmatch(c)][:3])
+    mark = next((a for a in STABLE_ATTRIBUTES if n.attrs.get(a)), None)
+    return name + (f"[{mark}={n.attrs[mark][:40]}]" if mark else "")
+
+
+def _gives(n: Node) -> str | None:
+    """An attribute that says something, or a leaf's text."""
+    a = n.attrs
+    if n.tag == "a" and a.get("href"):
+        return f'@href="{a["href"][:120]}" text="{n.text()[:80]}"'
+    if n.tag == "img":
+        return f'@src="{a.get("src", "")[:120]}" @alt="{a.get("alt", "")[:60]}"'
+    if n.tag == "time" and a.get("datetime"):
+        return f'@datetime="{a["datetime"][:40]}"'
+    if n.tag == "input" and a.get("content"):
+        return f'@content="{a["content"][:100]}"'
+    text = "" if any(isinstance(x, Node) for x in n.items) else re.sub(r"\s+", " ", n.text(" "))
+    return f'"{text[:120]}"' if text else None
+
+
+def skeleton(html: str, nodes: int | None = SKELETON_NODES, chars: int | None = SKELETON_CHARS) -> str:
+    """An outline of a page: where something is and what it is, one line each."""
+    root = parse(html)
+    lines, total, stack = [], 0, [first(root, "body") or root]
+    while stack:
+        n = stack.pop()
+        stack.extend(x for x in reversed(n.items) if isinstance(x, Node) and x.tag not in OUTLINE_DROPS)
+        if n.tag not in OUTLINE_SKIPS and (value := _gives(n)) is not None:
+            lines.append(f"{_address(n)} -> {value}")
+            total += len(lines[-1]) + 1
+        if (nodes and len(lines) >= nodes) or (chars and total >= chars):
+            break
+    return "\n".join(lines)
+
+
+@F.pandas_udf(StringType())
+def skeletons(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: None if h is None else skeleton(h))
+
+
+def _property(n: Node, url: str) -> str | None:
+    """The value of an element with a property, by the element's kind."""
+    for name in ("content", "datetime", "src", "href", "data"):
+        if name in n.attrs:
+            v = n.attrs[name].strip()
+            return _absolute(url, v) if name in ("src", "href", "data") else v
+    return n.text() or None
+
+
+def microdata(html: str | None, url: str | None = None) -> list[dict]:
+    """Top-level items of microdata and RDFa: type and properties, nested items inside."""
+    if not html or not re.search(r"itemscope|typeof\s*=|vocab\s*=", html):
+        return []
+    found: list[dict] = []
+    stack: list[tuple[Node, dict | None]] = [(parse(html), None)]
+    while stack:
+        n, item = stack.pop()
+        names = (n.attrs.get("itemprop") or n.attrs.get("property") or "").split()
+        inner = item
+        if "itemscope" in n.attrs or "typeof" in n.attrs:
+            kind = (n.attrs.get("itemtype") or n.attrs.get("typeof") or "").split()
+            inner = {"@type": kind[0].rstrip("/").rsplit("/", 1)[-1].rsplit(":", 1)[-1] if kind else "", "properties": {}}
+            if names and item is not None:
+                for name in names:
+                    item["properties"].setdefault(name, []).append(inner)
+            else:
+                found.append(inner)
+        elif names and item is not None and (v := _property(n, url or "")) is not None:
+            for name in names:
+                item["properties"].setdefault(name.rsplit(":", 1)[-1], []).append(v)
+        stack.extend((x, inner) for x in reversed(n.items) if isinstance(x, Node))
+    return found
+
+
+@F.pandas_udf(StringType())
+def microdata_json(html: pd.Series, url: pd.Series) -> pd.Series:
+    """A page's items as a JSON array; null without any."""
+    made = [microdata(h, u) for h, u in zip(html, url)]
+    return pd.Series([json.dumps(m, ensure_ascii=False) if m else None for m in made], dtype=object)

@@ -125,4 +125,4 @@ def token_bucket(df: DataFrame, key: str, seq: str, seconds: Column, rate: float
 def retry_after(value: Column, as_of: Column) -> Column:
     """Seconds to wait that a server asks for, 3600 at most; null if unreadable."""
     wait = F.coalesce(F.trim(value).try_cast("double"), (F.unix_micros(F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^[A-Za-z]{3}, ", ""), F.lit("d MMM y H:m:s 'GMT'"))) - F.unix_micros(as_of)) / 1_000_000)
-    return F.least(F.greatest(wait, F.lit(0.0)), F.lit(3600.0))
+    return F.when(wait.isNotNull(), F.least(F.greatest(wait, F.lit(0.0)), F.lit(3600.0)))

@@ -1,0 +1,3 @@
+"""Registered queries, by topic; importing the package registers them all."""
+
+from . import crawls, queries, readers, records  # noqa: F401

@@ -24,13 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS, MAX_ENTRIES, MAX_URLS = 10_000, 100, 5_000
+#: Caps of a record view, for the readers' ``most``; without it nothing is left out.
+ROWS, ENTRIES, URLS = 10_000, 100, 5_000
+#: Limits on what a packed blob may unfold to: a member beyond them is a row with ``error``.
 MAX_MEMBERS, MAX_MEMBER, MAX_RATIO, MAX_TOTAL, MAX_ATTACHMENT = 200, 64 << 20, 200, 512 << 20, 32 << 20
 KEPT_HEADERS = ("from", "to", "cc", "subject", "date", "message-id", "reply-to")
 
 
-def _children(df: DataFrame, key: str, blob: str, read: Callable[[object], Iterator[tuple]], fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """Rows of ``read(blob)`` with their parent's key and place; an exception becomes one row with ``error``."""
+def _children(df: DataFrame, key: str, blob: str, read: Callable[[object], Iterator[tuple]], fields: list[tuple[str, pa.DataType]], most: int | None = None) -> DataFrame:
+    """Rows of ``read(blob)`` with their parent's key and place; an exception becomes one row with ``error``.
+
+    ``most``: rows of a blob at most; one more row, at place -1, then says that it is cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,6 +45,9 @@ def _children(df: DataFrame, key: str, blob: str, read: Callable[[object], Itera
                     continue
                 try:
                     for n, row in enumerate(read(raw)):
+                        if most is not None and n >= most:
+                            keys.append(k), places.append(-1), errors.append(f"cut after {most} rows"), rows.append((None,) * len(fields))
+                            break
                         keys.append(k), places.append(n), errors.append(None), rows.append(row)
                 except Exception as why:  # a damaged blob is a result, not the end of a job
                     keys.append(k), places.append(-1), errors.append(f"{type(why).__name__}: {why}"[:300]), rows.append((None,) * len(fields))
@@ -48,7 +56,7 @@ def _children(df: DataFrame, key: str, blob: str, read: Callable[[object], Itera
                 [pa.array(keys, b.column(0).type), pa.array(places, pa.int32()), *(pa.array(list(c), t) for c, (_, t) in zip(columns, fields)), pa.array(errors, pa.string())], names=[key, "place", *(n for n, _ in fields), "error"]
             )
 
-    kinds = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long"}
+    kinds = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long", pa.list_(pa.string()): "array<string>"}
     ddl = ", ".join(f"`{n}` {kinds.get(t, 'map<string,string>')}" for n, t in fields)
     return df.select(key, blob).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, place int, {ddl}, error string")
 
@@ -74,8 +82,9 @@ def records(rows: list[list[str]]) -> Iterator[dict]:
     head = rows[0] if all(c.strip() and not _is_number(c) for c in rows[0]) else None
     width = max(map(len, rows))
     names = [*(c.strip() for c in head or []), *(f"col_{k}" for k in range(len(head or []), width))]
-    for r in rows[1 if head else 0 :][:MAX_ROWS]:
-        yield dict(zip(names, r))
+    for r in rows[1 if head else 0 :]:
+        if any(c.strip() for c in r):
+            yield dict(zip(names, r))
 
 
 def read_table(text: str) -> Iterator[tuple]:
@@ -85,19 +94,19 @@ def read_table(text: str) -> Iterator[tuple]:
     return ((r,) for r in records(rows))
 
 
-def delimited(df: DataFrame, key: str, text: str) -> DataFrame:
+def delimited(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """CSV-like texts -> key, place, record MAP, error."""
-    return _children(df, key, text, read_table, [("record", _MAP)])
+    return _children(df, key, text, read_table, [("record", _MAP)], most)
 
 
-def json_records(df: DataFrame, key: str, text: str) -> DataFrame:
+def json_records(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """JSON documents and arrays, or JSON lines -> key, place, value (VARIANT); unreadable lines are left out."""
     head = F.regexp_extract(F.trim(F.col(text)), r"^([^\n]*)\n", 1)
     several = (head != "") & F.try_parse_json(head).isNotNull()  # the parser stops after a first value
     whole = F.when(~several, F.try_parse_json(F.col(text)))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & F.try_parse_json(x).isNotNull())
     values = F.when(whole.isNull(), lines).when(F.trim(F.col(text)).startswith("["), F.transform(F.from_json(F.col(text), "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array(F.trim(F.col(text))))
-    return df.select(key, F.posexplode(F.slice(values, 1, MAX_ROWS)).alias("place", "raw")).select(key, "place", F.try_parse_json("raw").alias("value"))
+    return df.select(key, F.posexplode(F.slice(values, 1, most) if most else values).alias("place", "raw")).select(key, "place", F.try_parse_json("raw").alias("value"))
 
 
 def read_yaml(text: str) -> Iterator[tuple]:
@@ -151,22 +160,29 @@ def _child(e: ElementTree.Element, *names: str) -> str | None:
 
 
 def read_feed(text: str) -> Iterator[tuple]:
-    entries = [e for e in _tree(text).iter() if e.tag.rsplit("}", 1)[-1].lower() in ("item", "entry")]
-    for e in entries[:MAX_ENTRIES]:
+    for e in (e for e in _tree(text).iter() if e.tag.rsplit("}", 1)[-1].lower() in ("item", "entry")):
+        tags = [t for c in e if c.tag.rsplit("}", 1)[-1].lower() == "category" and (t := (c.attrib.get("term") or c.text or "").strip())]
         author = next((c for c in e if c.tag.rsplit("}", 1)[-1].lower() == "author"), None)
-        yield _child(e, "title"), _child(e, "link", "id", "guid"), (_child(author, "name") if author is not None and len(author) else None) or _child(e, "author", "creator"), _child(e, "pubdate", "published", "updated", "date"), _child(e, "description", "summary"), _child(e, "encoded", "content")
+        yield _child(e, "title"), _child(e, "link", "id", "guid"), (_child(author, "name") if author is not None and len(author) else None) or _child(e, "author", "creator"), _child(e, "pubdate", "published", "updated", "date"), _child(e, "description", "summary"), _child(e, "encoded", "content"), tags
 
 
-def feed_entries(df: DataFrame, key: str, text: str) -> DataFrame:
+def feed_entries(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """RSS and Atom entries."""
-    return _children(df, key, text, read_feed, [(n, pa.string()) for n in ("title", "url", "author", "published", "summary", "content")])
+    return _children(df, key, text, read_feed, [*((n, pa.string()) for n in ("title", "url", "author", "published", "summary", "content")), ("tags", pa.list_(pa.string()))], most)
+
+
+def xml_unescape(c: Column) -> Column:
+    """XML's five entities as characters, trimmed."""
+    for k, v in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return F.trim(c)
 
 
-def sitemap_urls(df: DataFrame, key: str, text: str) -> DataFrame:
+def sitemap_urls(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """Locations of sitemaps and indexes, by expressions alone: key, place, loc, lastmod, changefreq, priority."""
     blocks = F.regexp_extract_all(F.col(text), F.lit(r"(?is)<(?:\w+:)?(?:url|sitemap)\b[^>]*>(.*?)</(?:\w+:)?(?:url|sitemap)>"), 1)
-    one = lambda tag: F.nullif(F.trim(F.regexp_extract("block", rf"(?is)<(?:\w+:)?{tag}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</", 1)), F.lit("")).alias(tag)
-    rows = df.select(key, F.posexplode(F.slice(blocks, 1, MAX_URLS)).alias("place", "block"))
+    one = lambda tag: F.nullif(xml_unescape(F.regexp_extract("block", rf"(?is)<(?:\w+:)?{tag}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</", 1)), F.lit("")).alias(tag)
+    rows = df.select(key, F.posexplode(F.slice(blocks, 1, most) if most else blocks).alias("place", "block"))
     return rows.select(key, "place", *[one(t) for t in ("loc", "lastmod", "changefreq", "priority")]).filter("loc is not null")
 
 
@@ -180,7 +196,7 @@ def robots_sitemaps(body: Column) -> Column:
 def read_robots(text: str) -> Iterator[tuple]:
     """Agent, directive (allow, disallow, delay) and value of each rule."""
     agents, in_rules = [], False
-    for line in text[: 512 << 10].splitlines():
+    for line in text.splitlines():
         name, sep, value = line.split("#", 1)[0].partition(":")
         name, value = name.strip().lower(), value.strip()
         if not sep:
@@ -232,8 +248,8 @@ def read_mail(raw: bytes) -> Iterator[tuple]:
     yield "message", {k: str(m[k]) for k in KEPT_HEADERS if m[k]}, body.get_content() if body else "", None
     for part in m.iter_attachments():
         data = part.get_payload(decode=True) or b""
-        if len(data) <= MAX_ATTACHMENT:
-            yield "attachment", {"name": part.get_filename() or "", "type": part.get_content_type()}, None, data
+        head = {"name": part.get_filename() or "", "type": part.get_content_type()}
+        yield "attachment", head | ({"dropped": f"{len(data)} bytes"} if len(data) > MAX_ATTACHMENT else {}), None, data if len(data) <= MAX_ATTACHMENT else None
 
 
 def mail_parts(df: DataFrame, key: str, raw: str) -> DataFrame:
@@ -261,20 +277,21 @@ def read_archive(raw: bytes) -> Iterator[tuple]:
     if raw[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             total = 0
-            for i in z.infolist()[:MAX_MEMBERS]:
+            for n, i in enumerate(z.infolist()):
                 name = safe_name(i.filename)
-                if i.is_dir() or not name or i.file_size > MAX_MEMBER or i.file_size > MAX_RATIO * max(1, i.compress_size):
+                if i.is_dir():
+                    continue
+                if not name or n >= MAX_MEMBERS or i.file_size > MAX_MEMBER or i.file_size > MAX_RATIO * max(1, i.compress_size) or total + i.file_size > MAX_TOTAL:
+                    yield i.filename, i.file_size, None, "unsafe name" if not name else "beyond the limits"
                     continue
                 total += i.file_size
-                if total > MAX_TOTAL:
-                    return
-                yield name, i.file_size, z.read(i)
+                yield name, i.file_size, z.read(i), None
         return
     for magic, opened in ((b"\x1f\x8b", gzip.open), (b"BZh", bz2.open), (b"\xfd7zXZ", lzma.open)):
         if raw.startswith(magic):
             raw = _packed(raw, opened)
             if raw[257:262] != b"ustar":
-                yield "content", len(raw), raw
+                yield "content", len(raw), raw, None
                 return
     if raw[257:262] != b"ustar":
         raise ValueError("not an archive that can be read")
@@ -282,16 +299,33 @@ def read_archive(raw: bytes) -> Iterator[tuple]:
         total = n = 0
         for m in t:
             name = safe_name(m.name)
-            if not m.isfile() or not name or m.size > MAX_MEMBER:
+            if not m.isfile():
                 continue
-            n, total = n + 1, total + m.size
-            if n > MAX_MEMBERS or total > MAX_TOTAL:
-                return
-            yield name, m.size, t.extractfile(m).read()
+            n += 1
+            if not name or n > MAX_MEMBERS or m.size > MAX_MEMBER or total + m.size > MAX_TOTAL:
+                yield m.name, m.size, None, "unsafe name" if not name else "beyond the limits"
+                continue
+            total += m.size
+            yield name, m.size, t.extractfile(m).read(), None
 
 
 def archive_members(df: DataFrame, key: str, raw: str) -> DataFrame:
-    """Members of zip, tar, gzip, bzip2 and xz blobs: name, size, data."""
-    return _children(df, key, raw, read_archive, [("name", pa.string()), ("size", pa.int64()), ("data", pa.binary())])
+    """Members of zip, tar, gzip, bzip2 and xz blobs: name, size, data; ``dropped`` says why one has no data."""
+    return _children(df, key, raw, read_archive, [("name", pa.string()), ("size", pa.int64()), ("data", pa.binary()), ("dropped", pa.string())])
+
+
+
+
+# --- files and plain text ----------------------------------------------------
+
+
+def files(spark, path: str, glob: str | None = None) -> DataFrame:
+    """Uploaded files: path, length, modificationTime, content."""
+    reader = spark.read.format("binaryFile")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
+def plain_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text (trimmed), chars, error: what a text of no special form gives."""
+    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
+    return df.select(key, t.alias("text")).withColumn("chars", F.length("text")).withColumn("error", F.when(F.col("text") == "", F.lit("the text is empty")))
