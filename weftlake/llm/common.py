@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reachable
+from ..store import shared_dir
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    A session without that setting is a local one (tests, a laptop), where the
-    driver and the tasks share a disk: a temporary folder is set for it once.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    """The shared folder named by ``spark.checkpoint.dir`` (see ``store.shared_dir``)."""
+    return shared_dir(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -32,7 +32,8 @@ def score(key: Column, shard: Column, weight: Column | None = None) -> Column:
     h = F.xxhash64(key, shard.cast("long"))
     if weight is None:
         return h
-    u = (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    # in the hash's own order, so that equal weights deal as no weights do
+    u = (F.shiftright(h, 12).cast("double") + F.lit(float(1 << 51) + 0.5)) / F.lit(float(1 << 52))
     return -weight / F.ln(u)
 
 
@@ -69,13 +70,18 @@ def with_slots(df: DataFrame, shard: str, spread: Sequence[str], into: str = "sl
     return joined.withColumn(into, (F.col("_base") + F.col("_rank")).cast("long")).drop("_part", "_s", "_p", "_base", "_rank")
 
 
-def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
-    """Law ``key`` over documents: shard, slot in it, and the shard with one more."""
+def shard_documents(documents: DataFrame, shards: int = 40, weights: Sequence[float] | None = None, new_weight: float = 1.0) -> DataFrame:
+    """Law ``key`` over documents: shard, slot in it, and the shard with one more.
+
+    ``weights``: of the shards, equal by default; ``new_weight``: of the one that is added.
+    """
+    weights = list(weights) if weights is not None else [1.0] * shards
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = documents.select("doc_id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     key = F.col("doc_id")
-    drawn = digest.withColumn("shard", rendezvous(key, shards))
-    new = score(key, F.lit(shards)) >= score(key, F.col("shard"))
+    drawn = shard_records(digest, "doc_id", shards, weights)
+    own = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("shard") + 1)
+    new = score(key, F.lit(shards), F.lit(float(new_weight))) >= score(key, F.col("shard"), own)
     drawn = drawn.withColumn("grown_shard", F.when(new, F.lit(shards)).otherwise(F.col("shard")))
     placed = with_slots(materialize(drawn, "shards"), "shard", ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
