@@ -100,8 +100,7 @@ def _decode(raw: bytes | None) -> str | None:
     even, odd = raw[0:4096:2].count(0), raw[1:4096:2].count(0)
     if max(even, odd) > len(raw[:4096]) // 5:
         return raw.decode("utf-16-be" if even > odd else "utf-16-le", "replace")
-    good = len(raw.decode("utf-8", "ignore"))
-    if good >= 0.95 * len(raw):  # a few damaged bytes in UTF-8
+    if len(raw.decode("utf-8", "ignore").encode()) >= 0.95 * len(raw):  # a few damaged bytes in UTF-8
         return raw.decode("utf-8", "replace")
     try:
         return raw.decode("cp1252")

@@ -22,15 +22,25 @@ def upsert(rows: DataFrame, keys: Sequence[str], order: Sequence[str], first_see
 
 
 def merge_into(spark, path: str, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> None:
-    """Stored rows and new ones, the latest of each key, written beside the table and moved in its place."""
+    """Stored rows and new ones, the latest of each key, written beside the table and moved in its place.
+
+    The old table is moved aside before the new one takes its place and goes
+    last, so whatever ends a run, one whole version is there: the next run
+    brings an old one back where nothing has taken its place.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, fresh = hadoop.Path(path), hadoop.Path(path + ".next")
+    target, fresh, old = (hadoop.Path(path + end) for end in ("", ".next", ".old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
     rows = spark.read.parquet(path).unionByName(new) if fs.exists(target) else new
     upsert(rows, keys, order).write.mode("overwrite").parquet(path + ".next")
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(fresh, target)
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} cannot be moved aside")
+    if not fs.rename(fresh, target):
+        raise OSError(f"{path}.next cannot take the table's place")
+    fs.delete(old, True)
 
 
 def live(rows: DataFrame, stamp: str, as_of: Column, seconds: int) -> DataFrame:

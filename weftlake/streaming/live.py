@@ -13,7 +13,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 SEGMENT_SECONDS, MAX_SEGMENTS, MIN_BYTES = 120, 60, 4096
 
 
-def segments(spark: SparkSession, folder: str, pattern: str = "*", seconds: int = SEGMENT_SECONDS, most: int = MAX_SEGMENTS) -> DataFrame:
+def segments(spark: SparkSession, folder: str, pattern: str = "*", seconds: int = SEGMENT_SECONDS, most: int | None = None) -> DataFrame:
     """A folder of numbered capture files as a stream: place, offset in seconds, bytes.
 
     A file's number in its name is its place; small files and those beyond the
@@ -21,7 +21,7 @@ def segments(spark: SparkSession, folder: str, pattern: str = "*", seconds: int
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
     place = F.regexp_extract("path", r"(\d+)\.[^./]*$", 1).try_cast("int")
-    return files.filter(F.col("length") > MIN_BYTES).select(place.alias("place"), (place * seconds).alias("offset"), F.col("content")).filter(F.col("place").between(0, most - 1))
+    return files.filter(F.col("length") > MIN_BYTES).select(place.alias("place"), (place * seconds).alias("offset"), F.col("content")).filter((F.col("place") >= 0) & (F.col("place") < most if most else F.lit(True)))
 
 
 def complete_files(listing: DataFrame) -> DataFrame:
