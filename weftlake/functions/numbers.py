@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .bind import bind
+from .bind import bind, lookup
 
 # Currency signs and their codes, codes known without a sign, multipliers.
 CURRENCIES = {
@@ -25,7 +25,10 @@ def plain_number(text: Column) -> Column:
     there are several, or one before three digits with at most three before it;
     several points group thousands, a single one is a decimal point.
     """
-    raw = F.regexp_replace(F.regexp_extract(text, f"({_NUMBER})", 1), r"[\s ']", "")
+    return bind(F.regexp_replace(F.regexp_extract(text, f"({_NUMBER})", 1), r"[\s ']", ""), _resolved)
+
+
+def _resolved(raw: Column) -> Column:
     commas, dots = F.split(raw, ","), F.split(raw, r"\.")
     has_comma, has_dot = F.size(commas) > 1, F.size(dots) > 1
     dot_last = F.length(raw) - F.instr(F.reverse(raw), ".") > F.length(raw) - F.instr(F.reverse(raw), ",")
@@ -41,23 +44,33 @@ def plain_number(text: Column) -> Column:
 
 
 def multiplier(text: Column) -> Column:
-    word = F.lower(F.regexp_extract(text, _SCALE, 1))
-    out = F.lit(1)
-    for k, v in MULTIPLIERS.items():
-        out = F.when(word == k, F.lit(v)).otherwise(out)
-    return out.cast("long")
+    """What the word after a number multiplies it by; 1 without such a word."""
+    known = lookup({k: F.lit(v).cast("long") for k, v in MULTIPLIERS.items()}, F.lower(F.regexp_extract(text, _SCALE, 1)))
+    return F.coalesce(known, F.lit(1).cast("long"))
+
+
+def _product(plain: Column, times: Column) -> Column:
+    return (plain.try_cast("decimal(25,9)") * times.cast("decimal(13,0)")).cast("decimal(38,9)")
 
 
 def parse_decimal(text: Column) -> Column:
     """DECIMAL(38,9) of the first number in a text, times its multiplier."""
-    return (plain_number(F.trim(text)).try_cast("decimal(25,9)") * multiplier(text).cast("decimal(13,0)")).cast("decimal(38,9)")
+    return _product(plain_number(F.trim(text)), multiplier(text))
 
 
 def amount(text: Column) -> Column:
     """The exact number as a string: as written without a multiplier, multiplied otherwise."""
-    plain = F.regexp_replace(plain_number(F.trim(text)), r"^\+", "")
-    product = F.regexp_replace(F.regexp_replace(parse_decimal(text).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(multiplier(text) == 1, plain).otherwise(product)
+    return bind(_parts(text), _amount)
+
+
+def _parts(text: Column) -> Column:
+    return F.struct(plain_number(F.trim(text)).alias("plain"), multiplier(text).alias("times"))
+
+
+def _amount(parts: Column) -> Column:
+    product = _product(parts["plain"], parts["times"]).cast("string")
+    short = F.regexp_replace(F.regexp_replace(product, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(parts["times"] == 1, F.regexp_replace(parts["plain"], r"^\+", "")).otherwise(short)
 
 
 def parse_number(text: Column) -> Column:
@@ -65,20 +78,23 @@ def parse_number(text: Column) -> Column:
 
 
 def parse_int(text: Column) -> Column:
-    return F.when(parse_decimal(text) < 0, F.ceil(parse_decimal(text))).otherwise(F.floor(parse_decimal(text))).cast("long")
+    """The number without its fraction; null beyond 64 bits."""
+    return parse_decimal(text).try_cast("bigint")
 
 
 def currency(text: Column) -> Column:
     """A known code if the first three-letter word is one, else the longest sign contained."""
-    code = F.regexp_extract(F.upper(text), r"\b([A-Z]{3})\b", 1)
-    out = F.when(code.isin(*sorted({*CURRENCIES.values(), *MORE_CODES})), code)
-    for sign in sorted(CURRENCIES, key=lambda s: -len(s)):
-        out = out.when(text.contains(sign), F.lit(CURRENCIES[sign]))
-    return out
+    codes = {c: c for c in sorted({*CURRENCIES.values(), *MORE_CODES})}
+    first, *more = sorted(CURRENCIES, key=lambda s: -len(s))
+    by_sign = F.when(text.contains(first), F.lit(CURRENCIES[first]))
+    for sign in more:
+        by_sign = by_sign.when(text.contains(sign), F.lit(CURRENCIES[sign]))
+    return F.coalesce(lookup(codes, F.regexp_extract(F.upper(text), r"\b([A-Z]{3})\b", 1)), by_sign)
 
 
 def money(text: Column, default: str | None = None) -> Column:
-    return F.struct(text.alias("raw"), amount(text).alias("amount"), F.coalesce(currency(text), F.lit(default)).alias("currency"))
+    """STRUCT<raw,amount,currency>, read once however many of its fields are used."""
+    return bind(_parts(text), lambda p: F.struct(text.alias("raw"), _amount(p).alias("amount"), F.coalesce(currency(text), F.lit(default)).alias("currency")))
 
 
 def is_numeric_cell(text: Column) -> Column:

@@ -11,19 +11,21 @@ from pyspark.sql import functions as F
 from . import urls
 
 # Page furniture; extensions by kind; parameters that make new URLs of one page.
-JUNK = "css js mjs map ico woff woff2 ttf eot otf svg webmanifest xsl rss".split()
+JUNK = ["css", "js", "mjs", "map", "ico", "woff", "woff2", "ttf", "eot", "otf", "svg", "webmanifest", "xsl", "rss"]
 KINDS = {
-    "document": "pdf doc docx xls xlsx ppt pptx odt ods epub rtf".split(),
-    "tabular": "csv tsv".split(),
-    "data": "json xml yaml".split(),
-    "archive": "zip tar gz 7z bz2".split(),
-    "image": "png jpg jpeg gif webp tiff".split(),
-    "audio": "mp3 wav m4a".split(),
-    "video": "mp4 mov webm".split(),
+    "document": ["pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "epub", "rtf"],
+    "tabular": ["csv", "tsv"],
+    "data": ["json", "xml", "yaml"],
+    "archive": ["zip", "tar", "gz", "7z", "bz2"],
+    "image": ["png", "jpg", "jpeg", "gif", "webp", "tiff"],
+    "audio": ["mp3", "wav", "m4a"],
+    "video": ["mp4", "mov", "webm"],
     "email": ["eml"],
-    "html": "html htm php asp aspx jsp".split(),
+    "html": ["html", "htm", "php", "asp", "aspx", "jsp"],
 }
-TRAP_PARAMS = "sessionid sid phpsessid jsessionid sort order orderby view display print share replytocom page_id_filter".split()
+TRAP_PARAMS = [
+    "sessionid", "sid", "phpsessid", "jsessionid", "sort", "order", "orderby", "view", "display", "print", "share", "replytocom", "page_id_filter",
+]
 CALENDAR = r"(?i)/\d{4}/\d{1,2}(?:/\d{1,2})?/?$|[?&](?:year|month|day|week)=\d+"
 
 

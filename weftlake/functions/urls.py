@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .bind import bind
 
 # Query parameters that name a campaign or a session, compared with the lower-cased name.
-TRACKING_PARAMS = (
-    "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_source_platform utm_creative_format utm_marketing_tactic "
-    "gclid gclsrc dclid gbraid wbraid fbclid msclkid twclid igshid ttclid yclid rb_clickid s_kwcid mc_cid mc_eid _hsenc _hsmi hsCtaTracking "
-    "vero_conv vero_id oly_anon_id oly_enc_id ref_src ref_url spm scm share_id mkt_tok trk trkCampaign sc_campaign sc_channel "
-    "pk_campaign pk_kwd piwik_campaign matomo_campaign __s wickedid epik cmpid campaign_id"
-).split()
+TRACKING_PARAMS = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_source_platform", "utm_creative_format",
+    "utm_marketing_tactic", "gclid", "gclsrc", "dclid", "gbraid", "wbraid", "fbclid", "msclkid", "twclid", "igshid", "ttclid", "yclid", "rb_clickid",
+    "s_kwcid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "hsCtaTracking", "vero_conv", "vero_id", "oly_anon_id", "oly_enc_id", "ref_src", "ref_url",
+    "spm", "scm", "share_id", "mkt_tok", "trk", "trkCampaign", "sc_campaign", "sc_channel", "pk_campaign", "pk_kwd", "piwik_campaign",
+    "matomo_campaign", "__s", "wickedid", "epik", "cmpid", "campaign_id",
+]
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 METADATA_HOSTS = ["metadata.google.internal", "metadata.goog", "instance-data"]
 #: Characters that a path keeps unescaped besides letters, digits and ``_.-*``.
@@ -125,6 +126,13 @@ def is_private(name: Column) -> Column:
     return F.coalesce(name, F.lit("")).isin("", "localhost") | low.isin(METADATA_HOSTS) | low.endswith(".localhost") | (low == "localhost") | F.coalesce(four & v4, F.lit(False)) | v6
 
 
+def _folded(full: Column) -> Column:
+    full = F.regexp_replace(F.regexp_replace(full, r"/(?:\./)+", "/"), r"/\.$", "/")
+    for _ in range(8):
+        full = F.regexp_replace(F.regexp_replace(full, r"^/(?:\.\.(?:/|$))+", "/"), r"/(?!\.\./)[^/]+/\.\.(?:/|$)", "/")
+    return full
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of a link on a page; dot segments are folded one by one, eight deep."""
     h = F.trim(href)
@@ -133,9 +141,7 @@ def resolve(base: Column, href: Column) -> Column:
     target = F.regexp_extract(h, r"^([^?#]*)", 1)
     rest = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
     full = F.when(target.startswith("/"), target).otherwise(F.concat(folder, target))
-    full = F.regexp_replace(F.regexp_replace(full, r"/(?:\./)+", "/"), r"/\.$", "/")
-    for _ in range(8):
-        full = F.regexp_replace(F.regexp_replace(full, r"^/(?:\.\.(?:/|$))+", "/"), r"/(?!\.\./)[^/]+/\.\.(?:/|$)", "/")
+    full = bind(full, lambda f: F.when(f.contains("/."), _folded(f)).otherwise(f))
     return (
         F.when(h == "", base)
         .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
