@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import addquant, huffman, hyperminhash, linkrank, media, milquality, mixing, packing, pii, sharding
+from . import addquant, huffman, hyperminhash, linkrank, media, milquality, mixing, packing, pii, sharding, tilelinks, whitening
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_int8_tile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tilelinks.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_iso_media": op1_iso_media,
@@ -62,8 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_weak_supervision_pii": op8_weak_supervision_pii,
         "op9_minimum_bin_slack": op9_minimum_bin_slack,
         "op10_rendezvous_shards": op10_rendezvous_shards,
+        "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
+        "op13_int8_tile_links": op13_int8_tile_links,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_trust": linkrank.ORACLE, "op6_mix_to_weights": mixing.ORACLE}
+    return {"op4_host_trust": linkrank.ORACLE, "op6_mix_to_weights": mixing.ORACLE, "op13_int8_tile_links": tilelinks.ORACLE}
