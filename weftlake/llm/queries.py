@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import addquant, huffman, hyperminhash, linkrank, media, milquality, mixing, packing, pii, sharding, tilelinks, whitening
+from . import addquant, huffman, hyperminhash, linkrank, media, milquality, mixing, packing, pii, prefixtrie, sharding, tilelinks, whitening
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_centroid_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_int8_tile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tilelinks.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -71,9 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minimum_bin_slack": op9_minimum_bin_slack,
         "op10_rendezvous_shards": op10_rendezvous_shards,
         "op11_bit_sliced_whitening": op11_bit_sliced_whitening,
+        "op12_centroid_prefix_trie": op12_centroid_prefix_trie,
         "op13_int8_tile_links": op13_int8_tile_links,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_trust": linkrank.ORACLE, "op6_mix_to_weights": mixing.ORACLE, "op13_int8_tile_links": tilelinks.ORACLE}
+    return {"op4_host_trust": linkrank.ORACLE, "op6_mix_to_weights": mixing.ORACLE, "op12_centroid_prefix_trie": prefixtrie.ORACLE, "op13_int8_tile_links": tilelinks.ORACLE}
