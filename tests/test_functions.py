@@ -112,3 +112,31 @@ def test_schema_and_structured(spark):
     flat = df.select(structured.flat_values(F.col("h")).alias("f")).persist()
     got = flat.select(structured.find_value("title", "string", F.col("f")).alias("title"), structured.find_value("price", "number", F.col("f")).alias("price"), structured.find_value("tags", "list", F.col("f")).alias("tags"), structured.find_value("venue", "string", F.col("f")).alias("venue")).first()
     assert (got.title, got.price, got.tags, got.venue) == ("Pan", "9.50", ["x", "y"], None)
+
+
+def flat_of(page, parsed=None):
+    e = structured.embedded(page, "https://x.example/p/")
+    return structured.flat_map(e["jsonld"], e["items"], [e["next_data"], e["state"]], e["meta"], parsed)
+
+
+def test_each_source_answers_alone():
+    assert flat_of('<script type="application/ld+json"><!-- {"@type":"Book","name":"B","n":[1,2,],} --></script>') == {"@type": "Book", "name": "B", "n": "[1, 2]"}
+    micro = '<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">M</b><p itemprop="offers" itemscope><i itemprop="price">7</i></p></div>'
+    assert flat_of(micro)["offers.price"] == "7" and flat_of(micro)["name"] == "M" and flat_of(micro)["@type"] == "Product"
+    assert flat_of('<div vocab="https://schema.org/" typeof="Article"><h1 property="headline">R</h1></div>')["headline"] == "R"
+    assert flat_of('<script id="__NEXT_DATA__">{"props":{"pageProps":{"a":{"name":"N","deep":{"er":{"still":{"more":1}}}}}}}</script>') == {"a": "N", "name": "N", "a.name": "N", "a.deep.er.still.more": "1", "more": "1"}
+    assert flat_of("<script>var x=1; window.__NUXT__ = {\"t\": \"}; </b>\"};\nmore()</script>") == {"t": "}; </b>"}
+    assert flat_of('<META NAME="OG:site_name" CONTENT="A &eacute; &amp; &#66;">') == {"og:site_name": "A é & B", "site_name": "A é & B"}
+    rows = '{"items":[{"t":"a","p":1},{"t":"b","q":""}],"table":{"headers":["c"],"records":[{"c":2},{"c":3}]},"tables":[{"headers":["k","v"],"rows":[["Colour","Blue"]]},{"headers":["x","y","z"],"rows":[["1","2","3"],["4","","6"]]}],"data":[{"d":{"e":true}}]}'
+    assert flat_of("", rows) == {"t": "a", "t__column": '["a", "b"]', "p": "1", "p__column": "[1]", "c": "2", "c__column": "[2, 3]", "Colour": "Blue", "x": "1", "x__column": '["1", "4"]', "y": "2", "y__column": '["2"]', "z": "3", "z__column": '["3", "6"]', "d.e": "true", "e": "true"}
+
+
+def test_sources_by_trust_and_what_is_not_read():
+    page = '<meta property="og:title" content="meta"><script>window.__APOLLO_STATE__={"title":"state","og:title":"odd"}</script><div itemscope><b itemprop="title">item</b></div><script type="application/ld+json">{"title":"linked"}</script>'
+    assert flat_of(page) == {"title": "linked", "og:title": "odd"}
+    assert flat_of(page.replace("linked", "").replace('"title":""', '"x":1'))["title"] == "item"
+    nested = '<script type="application/ld+json">{"a":{"price":5},"price":9,"list":[{"b":1},{"b":2},{"c":3},{"d":4},{"e":5},{"f":6}],"@context":"no"}</script>'
+    assert flat_of(nested)["price"] == "5" and flat_of(nested)["list.f"] == "6" and "@context" not in flat_of(nested)
+    big = structured.embedded('<script type="application/ld+json">{"a":"' + "x" * 100 + '"}</script><script type="application/ld+json">{</script>', most=50)
+    assert (big["jsonld"], big["oversized"]) == ([], 1)
+    assert structured.embedded(None)["meta"] == {} and flat_of('<script type="application/ld+json">' + "[" * 5000 + "</script>") == {}

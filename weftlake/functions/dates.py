@@ -22,6 +22,7 @@ FORMATS = (
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400, "month": int(30.44 * 86400), "year": int(365.25 * 86400)}
 #: Beginnings that tell shapes apart before they are tried: year first, digits, a name.
 STARTS = (r"\d{4}[-/.]", r"\d", "[A-Z]")
+# Shapes that could be read either way, and how far back something was.
 _AMBIGUOUS = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})\s*$"
 _AGO = r"(?i)^\s*(\d+)\s+(second|minute|hour|day|week|month|year)s?\s+ago\s*$"
 

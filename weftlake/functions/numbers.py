@@ -14,6 +14,7 @@ CURRENCIES = {
 }
 MORE_CODES = ("CNY", "AED", "SAR", "ZAR", "MXN", "NPR")
 MULTIPLIERS = {"k": 10**3, "thousand": 10**3, "m": 10**6, "mn": 10**6, "million": 10**6, "b": 10**9, "bn": 10**9, "billion": 10**9, "t": 10**12, "trillion": 10**12, "lakh": 10**5, "crore": 10**7}
+# A multiplier after a number, and what counts as a number.
 _SCALE = r"(?i)\d\s*(" + "|".join(sorted(MULTIPLIERS, key=len, reverse=True)) + r")\b"
 _NUMBER = r"[-+]?\d[\d.,\s ']*\d|[-+]?\d"
 

@@ -521,8 +521,12 @@ def microdata(html: str | None, url: str | None = None) -> list[dict]:
     """Top-level items of microdata and RDFa: type and properties, nested items inside."""
     if not html or not re.search(r"itemscope|typeof\s*=|vocab\s*=", html):
         return []
+    return items_of(parse(html), url)
+
+
+def items_of(root: Node, url: str | None = None) -> list[dict]:
     found: list[dict] = []
-    stack: list[tuple[Node, dict | None]] = [(parse(html), None)]
+    stack: list[tuple[Node, dict | None]] = [(root, None)]
     while stack:
         n, item = stack.pop()
         names = (n.attrs.get("itemprop") or n.attrs.get("property") or "").split()

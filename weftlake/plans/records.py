@@ -119,6 +119,29 @@ def harvested_products(spark, sf):
     return cascade.structured_tier(p, hint, F.col("flat")).select("p_partkey", *hint, "confidence")
 
 
+_SOURCES = (
+    '<script type="application/ld+json">[{"@type": "WebSite", "name": "site"}, {"@type": "https://schema.org/Product", "name": "%1$s", "brand": {"name": "%2$s"}}]</script><meta name="og:title" content="late">',
+    '<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">%1$s</b><i itemprop="brand">%2$s</i></div><meta property="og:brand" content="late">',
+    '<div vocab="https://schema.org/" typeof="Product"><b property="name">%1$s</b><i property="brand">%2$s</i></div>',
+    '<script id="__NEXT_DATA__">{"props": {"pageProps": {"product": {"item": {"name": "%1$s", "brand": "%2$s"}}}}}</script>',
+    '<script>let a = 1; window.__INITIAL_STATE__ = {"shop": {"name": "%1$s", "brand": "%2$s"}}; start()</script><meta name="og:name" content="late">',
+    '<meta property="og:title" content="%1$s"><meta content="%2$s" name="og:site_name"><meta property="og:maker" content="%2$s">',
+    "<table><tr><th>name</th><th>brand</th></tr></table>",
+)
+
+
+@register("""SELECT p_partkey, p_name AS name, p_brand AS brand, p_name || ',' || p_type AS names FROM part""")
+def tier1_sources(spark, sf):
+    """Pages that answer from one source alone, and from two where the trusted one counts; a reader's rows for the rest."""
+    made = F.element_at(F.array(*[F.format_string(x, "p_name", "p_brand") for x in _SOURCES]), (F.col("p_partkey") % len(_SOURCES) + 1).cast("int"))
+    last = F.col("p_partkey") % len(_SOURCES) == len(_SOURCES) - 1  # elsewhere the rows hold no name of their own
+    only = lambda c: F.when(last, F.col(c))
+    records = F.to_json(F.struct(F.array(F.struct(only("p_name").alias("name"), only("p_brand").alias("brand"), F.col("p_name").alias("every")), F.struct(F.when(last, F.lit("second")).alias("name"), F.lit("").alias("brand"), F.col("p_type").alias("every"))).alias("records")))
+    p = stored(_parts(spark, sf).select("p_partkey", structured.harvest(made).alias("h"), records.alias("records")))
+    p = stored(p.select("p_partkey", structured.flat_values(F.col("h"), F.col("records")).alias("flat")))
+    return p.select("p_partkey", structured.find_value("name", "string", F.col("flat")).alias("name"), F.coalesce(structured.find_value("brand", "string", F.col("flat")), structured.find_value("maker", "string", F.col("flat"))).alias("brand"), F.array_join(structured.find_value("every", "list", F.col("flat")), ",").alias("names"))
+
+
 # --- fetch rules -------------------------------------------------------------
 
 
