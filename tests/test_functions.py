@@ -140,3 +140,10 @@ def test_sources_by_trust_and_what_is_not_read():
     big = structured.embedded('<script type="application/ld+json">{"a":"' + "x" * 100 + '"}</script><script type="application/ld+json">{</script>', most=50)
     assert (big["jsonld"], big["oversized"]) == ([], 1)
     assert structured.embedded(None)["meta"] == {} and flat_of('<script type="application/ld+json">' + "[" * 5000 + "</script>") == {}
+
+
+def test_addresses_inside_others_and_deep_dots(spark):
+    inside = ["::ffff:10.0.0.1", "::ffff:8.8.8.8", "::ffff:7f00:1", "::FFFF:808:808", "0:0:0:0:0:ffff:192.168.1.1", "::1", "2001:4860::1", "10.0.0.1", "", None, "localhost"]
+    assert values(spark, inside, urls.is_private) == [True, False, True, False, True, True, False, True, True, True, True]
+    deep = "/".join(["x"] * 40) + "/" + "../" * 38 + "y"
+    assert values(spark, [deep, "../../../z", "a/./b/..", "/..", "a/.", "/p/../q?x=/../y"], lambda c: urls.resolve(F.lit("https://h.example/d/e"), c)) == ["https://h.example/d/x/x/y", "https://h.example/z", "https://h.example/d/a/", "https://h.example/", "https://h.example/d/a/", "https://h.example/q?x=/../y"]

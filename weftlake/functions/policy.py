@@ -87,21 +87,36 @@ def web_or_media(url: Column, head_type: Column | None = None) -> Column:
 _BOMS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 
 
-def _decode(raw: bytes | None) -> str | None:
-    if not raw:
-        return None
+def told_by_form(raw: bytes) -> tuple[str | None, str | None]:
+    """Text and charset of bytes whose form tells it: a mark, valid UTF-8, zero bytes of UTF-16, UTF-8 with a little damage."""
     for mark, name in _BOMS:
         if raw.startswith(mark):
-            return raw.decode(name, "replace")
+            return raw.decode(name, "replace"), name
     try:
-        return raw.decode()
+        return raw.decode(), "utf-8"
     except UnicodeDecodeError:
         pass
-    even, odd = raw[0:4096:2].count(0), raw[1:4096:2].count(0)
-    if max(even, odd) > len(raw[:4096]) // 5:
-        return raw.decode("utf-16-be" if even > odd else "utf-16-le", "replace")
-    if len(raw.decode("utf-8", "ignore").encode()) >= 0.95 * len(raw):  # a few damaged bytes in UTF-8
-        return raw.decode("utf-8", "replace")
+    even, odd = raw[0::2].count(0), raw[1::2].count(0)
+    if max(even, odd) > len(raw) // 5:
+        name = "utf-16-be" if even > odd else "utf-16-le"
+        return raw.decode(name, "replace"), name
+    if len(raw.decode("utf-8", "ignore").encode()) >= 0.95 * len(raw) and any(b >= 0xC2 for b in raw) and _sequences(raw):
+        return raw.decode("utf-8", "replace"), "utf-8"
+    return None, None
+
+
+def _sequences(raw: bytes) -> bool:
+    """Whether bytes above 127 mostly stand in valid UTF-8 sequences."""
+    good = sum(ord(c) > 127 for c in raw.decode("utf-8", "ignore"))
+    return 2 * good >= sum(b >= 0xC0 for b in raw)
+
+
+def _decode(raw: bytes | None) -> str | None:
+    if not raw:
+        return None
+    text, _ = told_by_form(raw)
+    if text is not None:
+        return text
     try:
         return raw.decode("cp1252")
     except UnicodeDecodeError:

@@ -115,9 +115,21 @@ def canonical(url: Column, strip_tracking: bool = True, strip_fragment: bool = T
     return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", F.lit("")).otherwise(whole)
 
 
+def _mapped(name: Column) -> Column:
+    """The dotted form of an IPv4 address that an IPv6 one holds (::ffff:a.b.c.d or two groups); other names as they are."""
+    tail = F.regexp_extract(name, r"^(?:::|(?:0{1,4}:){5})ffff:(?:0{1,4}:)?([0-9a-f.:]+)$", 1)
+    group = lambda k: F.conv(F.regexp_extract(tail, r"^([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).cast("int")
+    byte = lambda k: [F.shiftright(group(k), 8).cast("string"), group(k).bitwiseAND(255).cast("string")]
+    return F.when(tail.contains("."), tail).when(tail.rlike("^[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), F.concat_ws(".", *byte(1), *byte(2))).otherwise(name)
+
+
 def is_private(name: Column) -> Column:
     """Loopback, private, link-local, reserved or metadata hosts (literal addresses; names are not resolved)."""
-    low = F.lower(name)
+    return bind(_mapped(F.lower(name)), _private)
+
+
+def _private(name: Column) -> Column:
+    low = name
     quad = F.transform(F.split(name, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
     four = name.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     a, b, c = (F.try_element_at(quad, F.lit(k)) for k in (1, 2, 3))
@@ -127,14 +139,15 @@ def is_private(name: Column) -> Column:
 
 
 def _folded(full: Column) -> Column:
-    full = F.regexp_replace(F.regexp_replace(full, r"/(?:\./)+", "/"), r"/\.$", "/")
-    for _ in range(8):
-        full = F.regexp_replace(F.regexp_replace(full, r"^/(?:\.\.(?:/|$))+", "/"), r"/(?!\.\./)[^/]+/\.\.(?:/|$)", "/")
-    return full
+    """A path without its dot segments, however many there are."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(full, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 1, 1), step)
+    return F.concat(F.array_join(kept, "/"), F.when(full.rlike(r"/\.\.?$"), "/").otherwise(""))
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a link on a page; dot segments are folded one by one, eight deep."""
+    """Absolute form of a link on a page; dot segments are folded one by one."""
     h = F.trim(href)
     folder = F.regexp_replace(F.when(path(base) == "", F.lit("/")).otherwise(path(base)), r"[^/]*$", "")
     root = F.concat(scheme(base), F.lit("://"), part(base, 2))

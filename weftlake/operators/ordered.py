@@ -6,6 +6,7 @@ a key of any size is streamed, never held.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 MIN_SAMPLES, MIN_EXPECTED, DROP = 20, 0.5, 0.3
 ALPHA = 0.25
-#: Terms of a moving average that count: the weight beyond is below 1e-30.
-EMA_TERMS = 256
+#: Terms of a moving average whose weights sum to less than this are left out.
+EMA_REST = 1e-18
 
 
 def drift_alerts(df: DataFrame, key: str, order: list[str], filled: dict[str, Column], samples: int = MIN_SAMPLES, least: float = MIN_EXPECTED, drop: float = DROP) -> DataFrame:
@@ -35,18 +36,44 @@ def drift_alerts(df: DataFrame, key: str, order: list[str], filled: dict[str, Co
     return flat.filter((F.col("expected") >= least) & (F.col("expected") - F.col("current") > drop))
 
 
+def average_terms(alpha: float) -> int | None:
+    """How many of the last values count: all that stand before them weigh less than EMA_REST together; None for all."""
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha: from 0 to 1")
+    return None if alpha == 0 else 1 if alpha == 1 else math.ceil(math.log(EMA_REST) / math.log1p(-alpha)) + 1
+
+
 def moving_average(df: DataFrame, key: str, order: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
     """key, n, ema after all records: the first sets it, later ones move it by alpha.
 
-    A weighted sum over the last records only, so a key of any size keeps a bounded window.
+    A weighted sum over the last records, as many as ``alpha`` makes count; the
+    numbering limits a key's rows before they are shuffled.
     """
-    last = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])
+    last, terms = Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order]), average_terms(alpha)
     total = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    near = df.withColumn("_j", F.row_number().over(last) - 1).filter(F.col("_j") < EMA_TERMS).select(key, "_j", value)
-    weight = F.when(F.col("_j") == F.col("n") - 1, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(1 - alpha), F.col("_j"))
+    near = df.withColumn("_j", F.row_number().over(last))
+    near = (near if terms is None else near.filter(F.col("_j") <= terms)).select(key, "_j", value)
+    weight = F.when(F.col("_j") == F.col("n"), F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(F.lit(1 - alpha), F.col("_j") - 1)
     return near.join(total, key).groupBy(key).agg(F.max("n").alias("n"), F.sum(F.col(value) * weight).alias("ema"))
 
 
+def folded_average(stored: DataFrame, batch: DataFrame, key: str, order: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
+    """key, n, ema of ``stored`` (key, n, ema) with the records of a later ``batch``; batches in order give what one pass gives.
+
+    A batch of m records is a pair: what it leaves of what was there,
+    ``(1 - alpha) ** m``, and what it adds; pairs of the two tables meet by key.
+    """
+    new = moving_average(batch, key, order, value, alpha).select(key, F.col("n").alias("_m"), F.col("ema").alias("_e"))
+    first = batch.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias("_first"))
+    new = new.join(first, key)
+    left = F.pow(F.lit(1 - alpha), F.col("_m"))
+    # alone, the batch's first record weighs as if it set the average: after others it weighs alpha of that
+    moved = F.col("ema") * left + F.col("_e") - F.col("_first") * F.pow(F.lit(1 - alpha), F.col("_m") - 1) * F.lit(1 - alpha)
+    both = stored.select(key, "n", "ema").join(new, key, "full")
+    ema = F.when(F.col("n").isNull(), F.col("_e")).when(F.col("_m").isNull(), F.col("ema")).otherwise(moved)
+    return both.select(key, (F.coalesce("n", F.lit(0)) + F.coalesce("_m", F.lit(0))).alias("n"), ema.alias("ema"))
+
+
 def is_stale(uses: Column, ema: Column, idle_days: Column, retired: Column) -> Column:
     return retired | ((uses >= 5) & (ema < 0.4)) | (idle_days > 30)
 

@@ -123,7 +123,7 @@ def canonical_forms(spark, sf):
     return read(spark, sf, "events").select("event_id", urls.canonical(u).alias("url"))
 
 
-@register(rf"SELECT page_id, {_HOST} NOT LIKE 'www.%' OR true AS http, regexp_replace({_HOST}, '^www\.', '') = 'cheap-pills.example.com' AS same FROM pages")
+@register(rf"SELECT page_id, regexp_matches(url, '^https?://[^/?#]') AS http, regexp_replace({_HOST}, '^www\.', '') = 'cheap-pills.example.com' AS same FROM pages")
 def same_sites(spark, sf):
     u = F.col("url")
     return read(spark, sf, "pages").select("page_id", urls.is_http(u).alias("http"), urls.same_site(u, F.lit("https://cheap-pills.example.com/x")).alias("same"))
@@ -159,13 +159,6 @@ def fallback_tail(spark, sf):
     return runs.tail(spark, path, "event_id long, user_id long, event_type string, at long", ["at", "event_id"], 40, "event_id").select("event_id", "user_id", "event_type")
 
 
-@register("SELECT c_nationkey AS domain, count(*) AS specs, count(*) FILTER (c_custkey % 5 = 0) AS retired, max_by(c_name, c_custkey) AS newest FROM customer GROUP BY 1")
-def spec_listing(spark, sf):
-    """Specs per domain: how many, how many retired, the newest."""
-    c = read(spark, sf, "customer")
-    return c.groupBy(F.col("c_nationkey").alias("domain")).agg(F.count(F.lit(1)).alias("specs"), F.count_if(F.col("c_custkey") % 5 == 0).alias("retired"), F.max_by("c_name", "c_custkey").alias("newest"))
-
-
 # --- SQL of page queries: what the parser finds, by patterns that these pages allow ---
 
 _NOISE = "script|style|nav|footer|header|form|aside|noscript"
