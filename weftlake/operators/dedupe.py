@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -67,27 +67,47 @@ def fingerprint_classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
     return prints.filter("hi <> 0 or lo <> 0").groupBy("hi", "lo").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def near_pairs(classes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """a, b, distance of classes' representatives (a < b) within ``distance``.
+#: Classes of one key that meet all others of it in one task.
+MEETING = 1000
+
+
+def distance_of(hi: str, lo: str, hi_b: str, lo_b: str) -> Column:
+    """Bits in which two fingerprints differ."""
+    return (F.bit_count(F.col(hi).bitwiseXOR(F.col(hi_b))) + F.bit_count(F.col(lo).bitwiseXOR(F.col(lo_b)))).cast("int")
 
-    64 bits are cut into BLOCKS blocks; of two prints at most ``distance`` bits
-    apart, at least BLOCKS - ``distance`` blocks agree, so the pair meets in a
-    table keyed on that many of them: some 32 bits, 20 tables.  Keys of one class alone
-    are dropped before the join.
+
+def band_keys(classes: DataFrame) -> DataFrame:
+    """table, key, rep, hi, lo: each class once in each of 20 tables.
+
+    64 bits are cut into BLOCKS blocks; of two prints at most MAX_DISTANCE bits
+    apart, at least BLOCKS - MAX_DISTANCE blocks agree, so the pair meets in a
+    table keyed on that many of them: some 32 bits.
     """
-    if distance > MAX_DISTANCE:
-        raise ValueError(f"six blocks find all pairs up to distance {MAX_DISTANCE} only")
     cuts = [0, 11, 22, 32, 43, 54, 64]  # of hi, then lo
     block = lambda k: F.shiftright(F.col("hi" if k < 3 else "lo"), (32 if k < 3 else 64) - cuts[k + 1]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1)
     parts = classes.select("rep", "hi", "lo", F.array(*[block(k).cast("long") for k in range(BLOCKS)]).alias("p"))
     tables = list(combinations(range(BLOCKS), BLOCKS - MAX_DISTANCE))
-    keys = F.array(*[F.struct(F.lit(t).alias("table"), *[F.get("p", F.lit(k)).alias(f"k{j}") for j, k in enumerate(t_blocks)]) for t, t_blocks in enumerate(tables)])
-    keyed = parts.select("rep", "hi", "lo", F.explode(keys).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")  # most keys are one class's alone
-    keyed = keyed.join(shared, "key")
-    other = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "hi", "lo")])
-    apart = (F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_b")))).cast("int")
-    return keyed.join(other, "key").filter((F.col("rep") < F.col("rep_b")) & (apart <= distance)).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), apart.alias("distance")).distinct()
+    keys = F.array(*[F.struct(F.lit(t).alias("table"), F.struct(*[F.get("p", F.lit(k)).alias(f"k{j}") for j, k in enumerate(of)]).alias("key")) for t, of in enumerate(tables)])
+    return parts.select("rep", "hi", "lo", F.explode(keys).alias("_k")).select("_k.table", "_k.key", "rep", "hi", "lo")
+
+
+def near_pairs(classes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+    """a, b, distance of classes' representatives (a < b) within ``distance``.
+
+    Keys of one class alone are dropped before the join; the classes of a
+    frequent key are dealt to blocks that meet pair by pair, each in a task.
+    """
+    if distance > MAX_DISTANCE:
+        raise ValueError(f"six blocks find all pairs up to distance {MAX_DISTANCE} only")
+    keyed = band_keys(classes)
+    shared = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # most keys are one class's alone
+    keyed = keyed.join(shared, ["table", "key"]).withColumn("_n", F.ceil(F.col("n") / MEETING).cast("int")).withColumn("_at", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    one = keyed.select("table", "key", "rep", "hi", "lo", F.col("_at").alias("_i"), every.alias("_j"))
+    other = keyed.select("table", "key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "hi", "lo")], every.alias("_i"), F.col("_at").alias("_j"))
+    apart = distance_of("hi", "lo", "hi_b", "lo_b")
+    met = one.join(other, ["table", "key", "_i", "_j"]).filter((F.col("rep") < F.col("rep_b")) & (apart <= distance))
+    return met.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), apart.alias("distance")).distinct()
 
 
 def leaders(classes: DataFrame, pairs: DataFrame, store) -> DataFrame:

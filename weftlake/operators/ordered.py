@@ -6,6 +6,7 @@ a key of any size is streamed, never held.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -149,6 +150,40 @@ def token_bucket(df: DataFrame, key: str, seq: str, seconds: Column, rate: float
     return fold_sorted(rows, "host", ["seconds", "seq"], lambda: (burst, None), bucket_step(rate, burst), "host long, seq long, allowed boolean, tokens double", ["seq", "seconds"])
 
 
+def limiter_step(rate: float, burst: float, slots: int, gap: float) -> Callable:
+    """A host's limiter: rows (host, seq, seconds, length) -> host, seq, when the request starts and how long it waited.
+
+    A request takes the slot that is free first, then a token, then keeps
+    ``gap`` from the last end; it holds its slot for its length.
+    """
+
+    def step(state, row):
+        free, tokens, filled, last = state
+        host, seq, now, length = row
+        ends = [*free, *([] if last is None else [last])]
+        free = list(free)
+        start = max(now, heapq.heappop(free)) if len(free) >= slots else now
+        tokens, filled = min(burst, tokens + (0 if filled is None else max(0.0, start - filled) * rate)), start if filled is None else max(filled, start)
+        if tokens < 1:
+            start = filled + (1 - tokens) / rate
+            tokens, filled = 1.0, start
+        ended = max([e for e in ends if e <= start], default=None)
+        start = start if ended is None else max(start, ended + gap)
+        heapq.heappush(free, start + length)
+        return (free, tokens - 1, filled, ended), (host, seq, float(start), float(start - now))
+
+    return step
+
+
+LIMITED = "host long, seq long, start double, waited double"
+
+
+def limited(df: DataFrame, key: str, seq: str, seconds: Column, length: Column, rate: float, burst: float, slots: int, gap: float) -> DataFrame:
+    """host, seq, start, waited of each request under its host's slots, tokens and gap, in order of arrival."""
+    rows = df.select(F.col(key).alias("host"), F.col(seq).alias("seq"), seconds.cast("double").alias("seconds"), length.cast("double").alias("length"))
+    return fold_sorted(rows, "host", ["seconds", "seq"], lambda: ([], burst, None, None), limiter_step(rate, burst, slots, gap), LIMITED, ["seq", "seconds", "length"])
+
+
 def retry_after(value: Column, as_of: Column) -> Column:
     """Seconds to wait that a server asks for, 3600 at most; null if unreadable."""
     wait = F.coalesce(F.trim(value).try_cast("double"), (F.unix_micros(F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^[A-Za-z]{3}, ", ""), F.lit("d MMM y H:m:s 'GMT'"))) - F.unix_micros(as_of)) / 1_000_000)

@@ -52,7 +52,7 @@ def with_timeouts(starts: DataFrame, ends: DataFrame, key: str, at: str, until:
     if late is not None:
         starts, ends = starts.withWatermark(at, late), ends.withWatermark(until, late)
     ends = ends.withColumnRenamed(key, "_key")
-    near = (F.col(key) == F.col("_key")) & (F.col(until) >= F.col(at)) & (F.col(until) <= F.col(at) + F.make_dt_interval(secs=F.lit(seconds)))
+    near = (F.col(key) == F.col("_key")) & (F.col(until) >= F.col(at)) & (F.col(until) <= F.col(at) + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
     return starts.join(ends, near, "leftouter").drop("_key")
 
 

@@ -198,7 +198,7 @@ def shingle_counts(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(T.shingles(T.words(F.col("text")))).alias("shingles"))
 
 
-_SIMHASH_SQL = (
+SIMHASH_SQL = (
     r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 m AS (SELECT doc_id, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h, CAST('0x' || substr(md5(s), 9, 8) AS BIGINT) AS l FROM s),
@@ -208,19 +208,19 @@ f AS (SELECT doc_id, """
 )
 
 
-@register(f"WITH {_SIMHASH_SQL} SELECT doc_id, hi, lo FROM f")
+@register(f"WITH {SIMHASH_SQL} SELECT doc_id, hi, lo FROM f")
 def simhash_md5(spark, sf):
     return dedupe.simhash_md5(read(spark, sf, "documents"))
 
 
-@register(f"""WITH {_SIMHASH_SQL}, c AS (SELECT hi, lo, min(doc_id) AS rep FROM f WHERE hi <> 0 OR lo <> 0 GROUP BY hi, lo)
+@register(f"""WITH {SIMHASH_SQL}, c AS (SELECT hi, lo, min(doc_id) AS rep FROM f WHERE hi <> 0 OR lo <> 0 GROUP BY hi, lo)
 SELECT a.rep AS a, b.rep AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM c a JOIN c b ON a.rep < b.rep AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3""")
 def near_dup_pairs(spark, sf):
     classes = stored(dedupe.fingerprint_classes(dedupe.simhash_md5(read(spark, sf, "documents"))))
     return dedupe.near_pairs(classes)
 
 
-@register(f"WITH {_SIMHASH_SQL} SELECT min(doc_id) AS rep, count(*) AS copies FROM f WHERE hi <> 0 OR lo <> 0 GROUP BY hi, lo HAVING count(*) > 1")
+@register(f"WITH {SIMHASH_SQL} SELECT min(doc_id) AS rep, count(*) AS copies FROM f WHERE hi <> 0 OR lo <> 0 GROUP BY hi, lo HAVING count(*) > 1")
 def near_dup_classes(spark, sf):
     return dedupe.fingerprint_classes(dedupe.simhash_md5(read(spark, sf, "documents"))).filter("copies > 1").select("rep", "copies")
 

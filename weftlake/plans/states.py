@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -10,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import charset, detect
-from ..operators import ordered, specs, temporal
-from ..store import stored
-from .queries import read, register
+from ..operators import dedupe, dupindex, ordered, specs, temporal
+from ..store import shared_dir, stored
+from ..streaming import ledger
+from .queries import SIMHASH_SQL, read, register
 
 # --- time --------------------------------------------------------------------
 
@@ -127,3 +129,51 @@ def spec_listing(spark, sf):
         table = stored(specs.retire(specs.used(table, batch), end, least=0.75, idle_days=10_000))
     out = specs.listing(table)
     return out.select("key", "versions", "retirements", F.coalesce("in_force", F.lit(0)).alias("in_force"), F.coalesce("n", F.lit(0)).alias("uses"), F.coalesce(F.round("ema", 9), F.lit(-1.0)).alias("fill"))
+
+
+@register(f"""WITH {SIMHASH_SQL}, near AS (SELECT b.doc_id, min(struct_pack(d := bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)), id := a.doc_id)) AS m FROM f a JOIN f b ON a.doc_id < b.doc_id
+AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3 WHERE a.hi <> 0 OR a.lo <> 0 GROUP BY 1) SELECT doc_id, coalesce(m.id, -1) AS duplicate_of, CAST(coalesce(m.d, -1) AS INTEGER) AS distance FROM f LEFT JOIN near USING (doc_id)""")
+def incremental_duplicates(spark, sf):
+    """Each document's nearest earlier one, from an index that three batches probe and extend, the second one twice."""
+    prints = stored(dedupe.simhash_md5(read(spark, sf, "documents")))
+    cuts = prints.agg(F.percentile_approx("doc_id", F.array(F.lit(1 / 3), F.lit(2 / 3)), 10_000).alias("c")).first()["c"] or [0, 0]
+    part = F.when(F.col("doc_id") <= cuts[0], 0).when(F.col("doc_id") <= cuts[1], 1).otherwise(2)
+    path, found = f"{shared_dir(spark)}/index/{uuid.uuid4().hex}", {}
+    for batch in (0, 1, 1, 2):
+        found[batch] = stored(dupindex.check_and_add(prints.filter(part == batch), path, batch))
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.select("doc_id", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"), F.coalesce("distance", F.lit(-1)).alias("distance"))
+
+
+@register("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def ledger_upserts(spark, sf):
+    """The latest row of each key from four batches that arrive out of order, one of them twice."""
+    e = stored(read(spark, sf, "events").select("user_id", "event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")))
+    path = f"{shared_dir(spark)}/upserts/{uuid.uuid4().hex}"
+    for number, part in enumerate((2, 0, 3, 1)):
+        rows = e.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part)
+        for _ in range(1 + (number == 2)):
+            ledger.upsert_batch(rows, number, path, ["user_id"], ["at", "event_id"], 16)
+    return ledger.table(spark, path).select("user_id", "event_id", "event_type", "value")
+
+
+_RATE, _BURST, _GAP = 0.001, 3.0, 30.0
+
+
+@register(f"""WITH RECURSIVE q AS (SELECT user_id AS host, event_id AS seq, epoch_us(ts) / 1000000.0::DOUBLE AS s, value * 60 AS len, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (
+  SELECT host, 0::BIGINT AS n, 0::BIGINT AS seq, -1e18::DOUBLE AS f1, -1e18::DOUBLE AS f2, {_BURST}::DOUBLE AS tokens, NULL::DOUBLE AS filled, -1e18::DOUBLE AS last, 0.0::DOUBLE AS start, 0.0::DOUBLE AS waited FROM q WHERE n = 1
+  UNION ALL
+  SELECT host, n, seq, least(f2, s2 + len), greatest(f2, s2 + len), t1 - 1, filled1, ended, s2, s2 - s FROM (
+    SELECT *, greatest(s1, ended + {_GAP}) AS s2 FROM (
+      SELECT *, greatest(CASE WHEN f1 <= s1 THEN f1 ELSE -1e18 END, CASE WHEN f2 <= s1 THEN f2 ELSE -1e18 END, CASE WHEN last <= s1 THEN last ELSE -1e18 END) AS ended FROM (
+        SELECT *, CASE WHEN tok < 1 THEN fil + (1 - tok) / {_RATE} ELSE s0 END AS s1, greatest(tok, 1) AS t1, CASE WHEN tok < 1 THEN fil + (1 - tok) / {_RATE} ELSE fil END AS filled1 FROM (
+          SELECT *, least({_BURST}, tokens + CASE WHEN filled IS NULL THEN 0 ELSE greatest(0, s0 - filled) * {_RATE} END) AS tok, greatest(coalesce(filled, s0), s0) AS fil FROM (
+            SELECT q.host, q.n, q.seq, q.s, q.len, r.f1, r.f2, r.tokens, r.filled, r.last, greatest(q.s, r.f1) AS s0 FROM r JOIN q ON q.host = r.host AND q.n = r.n + 1))))))
+SELECT host, seq, round(start, 3) AS start, round(waited, 3) AS waited FROM r WHERE n > 0""")
+def host_slots(spark, sf):
+    """When each request of a host starts that has two slots, a token bucket and a gap to keep."""
+    e = read(spark, sf, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0
+    out = ordered.limited(e, "user_id", "event_id", seconds, F.col("value") * 60, _RATE, _BURST, 2, _GAP)
+    return out.select("host", "seq", F.round("start", 3).alias("start"), F.round("waited", 3).alias("waited"))
