@@ -10,8 +10,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions import charset, detect
-from ..operators import dedupe, dupindex, ordered, specs, temporal
+from ..functions import charset, detect, freedates, urls
+from ..operators import dedupe, dupindex, frontier, ordered, specs, temporal
+from ..sources import captures, lateral
 from ..store import shared_dir, stored
 from ..streaming import ledger
 from .queries import SIMHASH_SQL, read, register
@@ -177,3 +178,71 @@ def host_slots(spark, sf):
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0
     out = ordered.limited(e, "user_id", "event_id", seconds, F.col("value") * 60, _RATE, _BURST, 2, _GAP)
     return out.select("host", "seq", F.round("start", 3).alias("start"), F.round("waited", 3).alias("waited"))
+
+
+@register("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
+r(url, depth) AS (SELECT 'p1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 2)
+SELECT DISTINCT dst AS url FROM e WHERE dst NOT IN (SELECT url FROM r)""")
+def frontier_novelty(spark, sf):
+    """Links that three rounds of a crawl have not seen, by a filter for each round and a join for what the filters hold."""
+    l = read(spark, sf, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s")).distinct()
+    links = stored(l.select(F.col("p").alias("src"), F.col("s").alias("dst")).unionByName(l.select(F.col("s").alias("src"), F.col("p").alias("dst"))))
+    seen = stored(frontier.reach(links.filter("src = 'p1'").select(F.col("src").alias("url")), links, 2))
+    rounds = [seen.filter(F.col("depth") == d) for d in range(3)]
+    filters = frontier.seen_filters(rounds[0])
+    for r in rounds[1:]:
+        filters = filters.unionByName(frontier.seen_filters(r))
+    return frontier.novel(links.select(F.col("dst").alias("url")), seen, stored(filters))
+
+
+# --- blobs and captures ------------------------------------------------------
+
+
+@register("SELECT o_custkey, o_orderkey AS orderkey, o_orderstatus AS status, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS place FROM orders")
+def lateral_blobs(spark, sf):
+    """Orders of a customer as one text, read by a table function whose columns and types the hint names."""
+    lateral.register(spark)
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    rows = read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))).alias("rows"))
+    blobs = rows.select("o_custkey", F.concat(F.lit("orderkey,status,priority\n"), F.array_join(F.transform("rows", lambda r: r["l"]), "\n")).alias("text"))
+    hint = '{"orderkey": "integer", "status": "string"}'
+    return spark.sql("SELECT b.o_custkey, r.orderkey, r.status, r.place FROM {blobs} b, LATERAL read_blob(b.text, 'csv', :hint) r", args={"hint": hint}, blobs=blobs)
+
+
+@register("""SELECT page_id, host, length(html) AS chars FROM (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages) WHERE regexp_matches(host, '\\.org$') AND host < 'n'""")
+def recorded_captures(spark, sf):
+    """Stored captures of hosts in a range, read back by a source that opens the folders of those hosts alone."""
+    captures.register(spark)
+    folder = f"{shared_dir(spark)}/captures/{uuid.uuid4().hex}"
+    pages = read(spark, sf, "pages").select(urls.host(F.col("url")).alias("host"), F.concat(F.col("page_id").cast("string"), F.lit(" "), "url").alias("url"), F.lit(200).alias("status"), F.col("html").alias("body"))
+    captures.record(pages, folder, 0)
+    found = spark.read.format("captures").load(folder).filter((F.col("host") < "n") & F.col("host").endswith(".org"))
+    return found.select(F.regexp_extract("url", r"^(\d+) ", 1).cast("long").alias("page_id"), "host", F.length("body").cast("long").alias("chars"))
+
+
+# --- dates in sentences ------------------------------------------------------
+
+_MONTHS = {
+    "en": "January February March April May June July August September October November December",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+}
+
+
+@register("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS found FROM orders")
+def sentence_dates(spark, sf):
+    """Dates of orders inside sentences of four languages and shapes, read by a grammar of tokens."""
+    d = F.col("o_orderdate")
+    months = {n: F.element_at(F.array(*[F.lit(m) for m in names.split()]), F.month(d)) for n, names in _MONTHS.items()}
+    day, year = F.dayofmonth(d).cast("string"), F.year(d).cast("string")
+    shapes = [
+        F.concat(F.lit("Order no. 7 was placed on "), F.date_format(d, "EEEE"), F.lit(", the "), day, F.lit("th of "), months["en"], F.lit(", "), year, F.lit(" by 3 clerks")),
+        F.concat(F.lit("Bestellung vom "), day, F.lit(". "), months["de"], F.lit(" "), year, F.lit(" um 12:30 Uhr")),
+        F.concat(F.lit("commande passée le "), day, F.lit(" "), months["fr"], F.lit(" "), year, F.lit(", 2 articles")),
+        F.concat(F.lit("pedido del "), day, F.lit(" de "), months["es"], F.lit(" de "), year),
+        F.concat(F.lit("shipped "), F.date_format(d, "yyyy-MM-dd"), F.lit("T08:15:00Z with 12 boxes")),
+    ]
+    priority = F.substring("o_orderpriority", 1, 1).cast("int")
+    said = F.element_at(F.array(*shapes), priority)
+    return read(spark, sf, "orders").select("o_orderkey", freedates.find_date()(said).cast("date").alias("found"))

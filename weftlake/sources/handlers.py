@@ -120,13 +120,17 @@ def yaml_values(df: DataFrame, key: str, text: str) -> DataFrame:
     return _children(df, key, text, read_yaml, [("json", pa.string())])
 
 
-def _element(e: ElementTree.Element, depth: int = 0) -> object:
-    """Attributes as @name, text as #text, repeated names as lists."""
+def _element(e: ElementTree.Element) -> object:
+    """Attributes as @name, text as #text, repeated names as lists; nothing is left out (too deep a tree is an error)."""
     out: dict = {f"@{k}": v for k, v in e.attrib.items()}
-    for child in list(e)[:1000] if depth < 20 else []:
-        name, value = child.tag.rsplit("}", 1)[-1], _element(child, depth + 1)
-        if name in out:
-            out[name] = [*(out[name] if isinstance(out[name], list) else [out[name]]), value]
+    several = set()
+    for child in e:
+        name, value = child.tag.rsplit("}", 1)[-1], _element(child)
+        if name in several:
+            out[name].append(value)
+        elif name in out:
+            out[name] = [out[name], value]
+            several.add(name)
         else:
             out[name] = value
     text = (e.text or "").strip()
@@ -329,3 +333,11 @@ def plain_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, text (trimmed), chars, error: what a text of no special form gives."""
     t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "")
     return df.select(key, t.alias("text")).withColumn("chars", F.length("text")).withColumn("error", F.when(F.col("text") == "", F.lit("the text is empty")))
+
+
+#: Names of the columns of readers whose rows are tuples.
+NAMED = {
+    "feed": (("title", "url", "author", "published", "summary", "content", "tags"), read_feed),
+    "mail": (("part", "headers", "body", "data"), read_mail),
+    "archive": (("name", "size", "data", "dropped"), read_archive),
+}
