@@ -93,3 +93,41 @@ def test_recall_at_production_settings(spark, kind):
     hits = sum(len(got[q * 50] & set(b.tolist())) for q, b in enumerate(best))
     print(kind, hits / best.size)
     assert hits / best.size >= 0.95
+
+
+def test_answers_come_from_the_scan_alone(spark, small, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 12)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert A.neighbours(df).count() == 40
+    monkeypatch.setattr(A, "scan", lambda q, least, books, allowed, k, chunks, reranked=None: [A.Best(least[:10], k)])
+    assert A.neighbours(df).count() == 0
+
+
+@pytest.mark.parametrize("n", [900, 3000])
+def test_few_candidates_are_reranked(n, monkeypatch):
+    """Below and above the sample's size."""
+    monkeypatch.setattr(A, "SAMPLE", 1500)
+    rng = np.random.default_rng(6)
+    x = A._unit(rng.normal(size=(60, 32))[rng.integers(0, 60, n)] + 0.4 * rng.normal(size=(n, 32)))
+    s = rng.choice(n, min(n, A.SAMPLE), replace=False)
+    books = A.train(x[s])
+    codes = A.encode(x.astype(np.float32), books)
+    norm, fit = A.described(x, codes, books)
+    allowed = A.calibrate(x[s], codes[s], norm[s], fit[s], books, 5)
+    own = np.arange(0, n, 50)
+    least = A.thresholds(x[own], own, x[s].astype(np.float32), s, codes[s], norm[s], fit[s], books, 6)
+    counted = []
+    (best,) = A.scan(x[own], least, books, allowed, 6, [(np.arange(n), x, codes, norm, fit)], counted)
+    near = x[own] @ x.T
+    near[np.arange(len(own)), own] = -2
+    top = np.argsort(-near, axis=1)[:, :5]
+    hits = sum(len(set(best.id[best.query == q].tolist()) & set(t.tolist())) for q, t in enumerate(top))
+    assert hits / top.size >= 0.95 and sum(counted) < 0.2 * n * len(own)
+
+
+def test_extreme_finite_values(spark, small):
+    rows = [(50 * i, [a, b, c]) for i, (a, b, c) in enumerate([(1e200, 2e200, 0.0), (1e-200, 2e-200, 1e-210), (5e-324, 0.0, 0.0), (-1.7e308, 1.7e308, 1.7e308), (1.0, 1.0, 1.0)])]
+    got = A.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 20 and all(-1 - 1e-12 <= r.score <= 1 + 1e-12 for r in got)
+    assert [r.vec_id for r in got if r.query_id == 0 and r.rank == 1] == [50]

@@ -9,16 +9,20 @@ stored beside the codes.  Beside the norm the projection of the vector on its re
 A query makes one look-up table of products with all codewords; a candidate's
 score is the sum of its codes' entries over the norm, times its projection.
 What that leaves out is at most the length of the rest of the vector, and its
-part along a query is far less: ``REACH`` of the nearest pairs of a sample lie
-within some multiple of it, which is measured.  Every candidate whose score plus
-that much reaches the query's best exact ones so far is reranked by the exact
-cosine in double precision, so the shortlist is as long as codes are coarse.
-
-Codes lie beside their vectors and are scanned in place; a block of queries of
-bounded size (``QUERY_BLOCK`` vectors with their thresholds) goes to the tasks,
-and each task returns its best few.  Equal vectors are searched once: each class
-is represented by its smallest id and expanded to its ``k + 1`` smallest, so a
-third of all rows may be one vector.
+part along a query is far less: ``REACH`` of the nearest pairs of ``PROBES``
+vectors of the sample lie within some multiple of it, which is measured.  First
+each query ranks the codes of the sample by score and reranks the best few
+exactly, in tasks over the queries: what it must reach at least.  Then all codes
+are scanned; every candidate whose score plus that multiple reaches the query's
+best exact ones so far is reranked by the exact cosine in double precision, so
+the shortlist is as long as codes are coarse.  Answers come from that scan alone.
+
+Codes lie beside their vectors and are scanned in place; ``PASS`` queries with
+their thresholds go to the tasks at once, which hold ``CHUNK`` rows of the index
+against one block of ``QUERY_BLOCK`` queries after another and return each
+query's best few.  Equal vectors are searched once: each class is represented by
+its smallest id and expanded to its ``k + 1`` smallest, so a third of all rows
+may be one vector.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part; vectors of each length are searched among themselves;
@@ -44,11 +48,16 @@ from .common import materialize
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that the codebooks are fitted on at most.
 SAMPLE = 16_384
-QUERY_BLOCK = 2048
-#: Codes scored at once.
-CODE_BLOCK = 2048
-#: Share of the nearest pairs of the sample that the allowance for a score covers.
-REACH = 0.999
+#: Of which so many measure how far scores fall short.
+PROBES = 512
+#: Queries that a pass over the index answers at most, and those that meet a chunk of it at once.
+PASS, QUERY_BLOCK = 32_768, 2048
+#: Rows of the index that a task holds, and codes scored at once.
+CHUNK, CODE_BLOCK = 32_768, 2048
+#: Share of the nearest pairs of the probes that the allowance for a score covers.
+REACH = 0.99
+#: Candidates of the sample that a query reranks for its threshold, times what it is asked for.
+SEEDS = 4
 #: Scores closer than this are ties until the exact cosine tells them apart.
 SLACK = 1e-9
 
@@ -140,21 +149,37 @@ def rest(fit: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 1 - fit * fit))
 
 
-def calibrate(q: np.ndarray, x: np.ndarray, books: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Of each query its ``k`` best rows of the sample and their cosines, and the allowance per length of rest."""
-    codes = encode(x.astype(np.float32), books)
-    norm, fit = described(x, codes, books)
-    table, found, cosines, over = look_up(q, books), [], [], []
-    for at in range(0, len(q), 256):
-        exact = q[at : at + 256] @ x.T
-        m = min(k, len(x))
+def calibrate(x: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, books: np.ndarray, k: int) -> float:
+    """How much of its rest a near pair's score falls short, for REACH of the ``k`` nearest pairs of PROBES rows of the sample."""
+    over = [np.zeros(1)]
+    for at in range(0, min(PROBES, len(x)), 128):
+        own = np.arange(at, min(at + 128, PROBES, len(x)))
+        exact = x[own] @ x.T
+        exact[np.arange(len(own)), own] = -np.inf
+        m = min(k, len(x) - 1)
+        if m < 1:
+            break
         top = np.argpartition(-exact, m - 1, axis=1)[:, :m]
         near = np.take_along_axis(exact, top, 1)
-        guess = np.take_along_axis(scores(table[:, at : at + 256], codes, norm, fit), top, 1)
-        found.append(top)
-        cosines.append(near)
+        guess = np.take_along_axis(scores(look_up(x[own], books), codes, norm, fit), top, 1)
         over.append(((near - guess) / np.maximum(rest(fit)[top], 1e-3)).ravel())
-    return np.concatenate(found), np.concatenate(cosines), float(np.clip(np.quantile(np.concatenate(over), REACH, method="higher"), 0, 1))
+    return float(np.clip(np.quantile(np.concatenate(over), REACH, method="higher"), 0, 1))
+
+
+def thresholds(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, fit: np.ndarray, books: np.ndarray, k: int) -> np.ndarray:
+    """Of each query (id ``own``) the k-th best exact cosine among the candidates that scores rank first; -inf for fewer."""
+    out = np.full(len(q), -np.inf)
+    m = min(SEEDS * k, len(x))
+    for at in range(0, len(q), 256):
+        rows = slice(at, at + 256)
+        guess = scores(look_up(q[rows], books), codes, norm, fit)
+        guess[own[rows][:, None] == ids[None, :]] = -np.inf
+        top = np.argpartition(-guess, m - 1, axis=1)[:, :m]
+        exact = np.einsum("id,ijd->ij", q[rows], x[top])
+        exact[own[rows][:, None] == ids[top]] = -np.inf
+        if m >= k:
+            out[rows] = -np.partition(-exact, k - 1, axis=1)[:, k - 1] - 1e-6
+    return out
 
 
 class Best:
@@ -184,16 +209,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which changes no cosine and keeps squares in range."""
+    _, e = np.frexp(np.abs(x).max(1, keepdims=True))
+    return np.ldexp(x, -e)
+
+
 @F.pandas_udf(DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """The cosine in double precision."""
     if not len(a):
         return pd.Series([], dtype=float)
-    x, y = (np.stack([np.asarray(v, np.float64) for v in s]) for s in (a, b))
+    x, y = (scaled(np.stack([np.asarray(v, np.float64) for v in s])) for s in (a, b))
     dots = [np.einsum("ij,ij->i", u, v) for u, v in ((x, y), (x, x), (y, y))]
     return pd.Series(dots[0] / np.sqrt(dots[1]) / np.sqrt(dots[2]))
 
 
+def scan(q: np.ndarray, least: np.ndarray, books: np.ndarray, allowed: float, k: int, chunks: Iterator[tuple], reranked: list[int] | None = None) -> list[Best]:
+    """The best exact scores of queries, a ``Best`` for each block of them, over chunks (ids, unit vectors, codes, norm, fit) of an index.
+
+    ``reranked`` gathers how many candidates were compared exactly.
+    """
+    blocks = [slice(at, at + QUERY_BLOCK) for at in range(0, len(q), QUERY_BLOCK)]
+    found = [Best(least[b], k) for b in blocks]
+    for ids, x, codes, norm, fit in chunks:
+        for block, best in zip(blocks, found):
+            table, asked = look_up(q[block], books), q[block]
+            for at in range(0, len(ids), CODE_BLOCK):
+                part = slice(at, at + CODE_BLOCK)
+                near = scores(table, codes[part], norm[part], fit[part]) + np.float32(allowed) * rest(fit[part])
+                of, at_x = np.nonzero(near >= (best.least - SLACK)[:, None])
+                if reranked is not None:
+                    reranked.append(len(of))
+                for a in range(0, len(of), 1 << 15):
+                    i, j = of[a : a + (1 << 15)], at_x[a : a + (1 << 15)] + at
+                    exact = np.einsum("ij,ij->i", asked[i], x[j])
+                    good = exact >= best.least[i] - SLACK
+                    best.add(i[good], ids[j[good]], exact[good])
+    return found
+
+
 def _searched(rows: DataFrame, k: int, every: int) -> DataFrame:
     """query_id, rank, vec_id, score among rows(vec_id, v) of one length."""
     # a class of equal vectors: its smallest id stands for it, its k + 1 smallest are enough
@@ -203,6 +258,10 @@ def _searched(rows: DataFrame, k: int, every: int) -> DataFrame:
     sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()  # SAMPLE vectors at most
     sample_ids, sample = sample.column(0).to_numpy(), _unit(_matrix(sample.column(1).combine_chunks()))
     books = train(sample)
+    sample_codes = encode(sample.astype(np.float32), books)
+    sample_norm, sample_fit = described(sample, sample_codes, books)
+    allowed = calibrate(sample, sample_codes, sample_norm, sample_fit, books, k)
+    sample = sample.astype(np.float32)  # for thresholds, which give way by more than it rounds
 
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,46 +272,45 @@ def _searched(rows: DataFrame, k: int, every: int) -> DataFrame:
                 norm, fit = described(x, codes, books)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(fit)], names=["vec_id", "v", "codes", "norm", "fit"])
 
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), _unit(_matrix(batch.column(1)))
+            least = thresholds(q, ids, sample, sample_ids, sample_codes, sample_norm, sample_fit, books, k + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], names=["query_id", "q", "least"])
+
     index = materialize(reps.mapInArrow(encode_rows, "vec_id long, v array<double>, codes binary, norm float, fit float"), "index")
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    blocks = math.ceil(queries.count() / QUERY_BLOCK)
-    queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))), "queries")
-
-    def scan(block: int) -> DataFrame:
-        asked = queries.filter(F.col("block") == block).select("query_id", "q").toArrow()  # about QUERY_BLOCK vectors
-        if not len(asked):
-            return rows.sparkSession.createDataFrame([], "query_id long, rep long, near double")
-        ids, q = asked.column(0).to_numpy(), _unit(_matrix(asked.column(1).combine_chunks()))
-        top, cosines, allowed = calibrate(q, sample, books, k + 1)
-        least = cosines.min(1) if cosines.shape[1] > k else np.full(len(q), -np.inf)
-        known = pa.table({"query_id": np.repeat(ids, top.shape[1]), "rep": sample_ids[top.ravel()], "near": cosines.ravel()})
+    queries = materialize(queries.mapInArrow(seed, "query_id long, q array<double>, least double"), "queries")
+    passes = math.ceil(queries.count() / PASS)
 
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, best = look_up(q, books), Best(least, k + 1)
+    def one_pass(number: int) -> DataFrame:
+        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number).toArrow()  # about PASS vectors
+        ids, q, least = asked.column(0).to_numpy(), _unit(_matrix(asked.column(1).combine_chunks())), asked.column(2).to_numpy()
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            held, n = [], 0
             for batch in batches:
-                for at in range(0, batch.num_rows, CODE_BLOCK):
-                    part = batch.slice(at, CODE_BLOCK)
-                    rep, x = part.column(0).to_numpy(), _unit(_matrix(part.column(1)))
-                    codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(rep), -1)
-                    fit = part.column(4).to_numpy()
-                    near = scores(table, codes, part.column(3).to_numpy(), fit) + np.float32(allowed) * rest(fit)
-                    of, at_x = np.nonzero(near >= (best.least - SLACK)[:, None])
-                    for a in range(0, len(of), 1 << 15):
-                        i, j = of[a : a + (1 << 15)], at_x[a : a + (1 << 15)]
-                        exact = np.einsum("ij,ij->i", q[i], x[j])
-                        good = exact >= best.least[i] - SLACK
-                        best.add(i[good], rep[j[good]], exact[good])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], names=["query_id", "rep", "near"])
-
-        seen = index.mapInArrow(search, "query_id long, rep long, near double").unionByName(rows.sparkSession.createDataFrame(known))
-        return materialize(seen.groupBy("query_id", "rep").agg(F.max("near").alias("near")), "found")
-
-    found = [scan(b) for b in range(blocks)]  # each a scan of the index
+                held.append(batch)
+                n += batch.num_rows
+                if n >= CHUNK:
+                    yield _chunk(held)
+                    held, n = [], 0
+            if n:
+                yield _chunk(held)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, best in enumerate(scan(q, least, books, allowed, k + 1, chunks(batches))):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.query + block * QUERY_BLOCK]), pa.array(best.id), pa.array(best.score)], names=["query_id", "rep", "near"])
+
+        return materialize(index.mapInArrow(search, "query_id long, rep long, near double"), "found")
+
+    found = [one_pass(n) for n in range(passes)]  # each a scan of the index
     if not found:
         return _none(rows)
     every_found = found[0]
     for f in found[1:]:
         every_found = every_found.unionByName(f)
+    queries = queries.drop("least")
     best = every_found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "rep"))).filter(F.col("n") <= k + 1)
     exact = best.select("query_id", "rep").join(queries, "query_id").join(reps.withColumnRenamed("vec_id", "rep"), "rep").select("query_id", "rep", cosine("q", "v").alias("score"))
     members = exact.join(ranked.select("rep", "vec_id"), "rep").filter(F.col("vec_id") != F.col("query_id"))
@@ -260,6 +318,14 @@ def _searched(rows: DataFrame, k: int, every: int) -> DataFrame:
     return members.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _chunk(batches: list[pa.RecordBatch]) -> tuple:
+    """ids, unit vectors, codes, norm, fit of rows of the index."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    n = len(rows)
+    codes = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(n, -1)
+    return rows.column(0).to_numpy(), _unit(_matrix(rows.column(1).combine_chunks())), codes, rows.column(3).to_numpy(), rows.column(4).to_numpy()
+
+
 def _none(rows: DataFrame) -> DataFrame:
     return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .addquant import usable
+from .addquant import scaled, usable
 from .common import materialize, salted_join
 
 THRESHOLD = 0.9
@@ -55,12 +55,6 @@ SLACK = 1e-9
 STEPS = 127
 
 
-def scaled(x: np.ndarray) -> np.ndarray:
-    """Rows times a power of two each, which changes no cosine and keeps squares in range."""
-    _, e = np.frexp(np.abs(x).max(1, keepdims=True))
-    return np.ldexp(x, -e)
-
-
 class Block:
     """Vectors of one block with their int8 form and its errors."""
 
