@@ -153,3 +153,33 @@ def test_links_of_a_large_group_grow_with_its_members(spark, monkeypatch):
             assert got == {i: c for i, (_, c) in brute(rows).items()}
         made.append((stored["edges"], stored["labels"]))
     assert made[1][0] <= 4 * made[0][0] and made[1][0] <= 12 * 900
+
+
+def test_long_texts_are_dealt_by_their_shingles(spark, monkeypatch):
+    """A third of all rows in one near group, long texts among them, blocks of a few hundred shingles."""
+    monkeypatch.setattr(H, "BLOCK_SHINGLES", 600)
+    monkeypatch.setattr(H, "LIGHT", 0)
+    rng = np.random.default_rng(12)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(4000)]
+    base, rows = list(rng.choice(vocab, 400)), []
+    for i in range(40):
+        t = base[: 400 - 3 * i] if i % 2 else base[3 * i :]
+        rows.append((i, " ".join(t)))
+    for i in range(40, 120):
+        n = int(rng.integers(5, 60)) if i % 10 else 3000
+        rows.append((i, " ".join(rng.choice(vocab, n))))
+    rows += [(120 + k, rows[50][1] + " tail" * (k % 3)) for k in range(4)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+
+
+def test_spread_join(spark, monkeypatch):
+    from weftlake.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k int, v int")
+    one = spark.createDataFrame([(i, f"x{i}") for i in range(0, 300, 2)] + [(1, "hot")], "k int, t string")
+    want = sorted((r.k, r.v, r.t) for r in many.join(one, "k").collect())
+    assert sorted((r.k, r.v, r.t) for r in common.spread_join(many, one, "k", "v").collect()) == want
+    monkeypatch.setattr(common, "HOT", 1000)
+    assert sorted((r.k, r.v, r.t) for r in common.spread_join(many, one, "k", "v").collect()) == want

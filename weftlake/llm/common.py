@@ -42,6 +42,25 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", s
     return many.withColumn("_salt", deal).join(copies, [key, "_salt"], how).drop("_salt")
 
 
+#: Rows of one key that ``spread_join`` leaves to one task.
+HOT = 4096
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, salt: str) -> DataFrame:
+    """``many``, a stored table, joined with ``one`` (one row of each key): only the rows of ``one`` whose key is frequent are repeated.
+
+    For wide rows in ``one``: a key with more than HOT rows is dealt by a hash of
+    ``salt`` to as many tasks as it needs, all other rows travel once.
+    """
+    hot = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT)
+    hot = materialize(hot.select(key, F.ceil(F.col("_n") / HOT).cast("int").alias("_tasks")), "hot")  # one for each HOT rows at most
+    if not hot.limit(1).count():
+        return many.join(one, key)
+    dealt = salted_join(many, hot, key, "left", salt).withColumn("_at", F.pmod(F.xxhash64(salt), F.coalesce("_tasks", F.lit(1))).cast("int")).drop("_tasks")
+    copies = one.join(hot, key, "left").withColumn("_at", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_tasks")
+    return dealt.join(copies, [key, "_at"]).drop("_at")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from . import graph
-from .common import materialize, salted_join
+from .common import materialize, salted_join, spread_join
 from .textnum import mix64, shingle_sets
 
 SHINGLE = 5
@@ -55,8 +55,8 @@ BANDS, ROWS = 32, 4
 LIGHT = 1
 #: Bands of the turns of the last, exhaustive comparison.
 LAST = ((0, 4), (4, BANDS))
-#: Members of one side of a task in the last, exhaustive comparison.
-BLOCK = 256
+#: Members of one side of a task in the last, exhaustive comparison, and shingles (of eight bytes) that they have together on average.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 
 EMPTY = np.uint16(0xFFFF)
 _rng = np.random.default_rng(7_407)
@@ -168,11 +168,15 @@ def _linked(sa: pd.Series, sb: pd.Series) -> pd.Series:
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of nodes (a, b, comp_a, comp_b) -> links between components (a, b)."""
+    """Pairs of nodes and centres (a, b, comp_a, comp_b) -> links between components (a, b).
+
+    A node has a centre a band at most; a centre may have most nodes, and its row is sent to as many tasks as it needs.
+    """
     side = lambda x, t: t.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in t.columns])
-    near = pairs.join(side("a", nodes), "a").join(side("b", nodes), "b").filter(_likely("registers_a", "registers_b", "n_shingles_a", "n_shingles_b"))
+    pairs = materialize(pairs, "pairs")
+    near = spread_join(pairs, side("b", nodes), "b", "a").join(side("a", nodes), "a").filter(_likely("registers_a", "registers_b", "n_shingles_a", "n_shingles_b"))
     likely = materialize(near.select("a", "b", "comp_a", "comp_b"), "likely")
-    full = likely.join(side("a", sets), "a").join(side("b", sets), "b").filter(_linked("hashes_a", "hashes_b"))
+    full = spread_join(likely, side("b", sets), "b", "a").join(side("a", sets), "a").filter(_linked("hashes_a", "hashes_b"))
     return materialize(full.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "links")
 
 
@@ -190,10 +194,7 @@ def _open(members: DataFrame, turn: int) -> DataFrame:
 
 def _met(rows: DataFrame) -> DataFrame:
     """Pairs of members and centres that are not in one component yet."""
-    a_first = F.col("node") < F.col("centre")
-    pick = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
-    apart = rows.filter("comp <> comp_c")
-    return apart.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), pick("comp", "comp_c").alias("comp_a"), pick("comp_c", "comp").alias("comp_b")).distinct()
+    return rows.filter("comp <> comp_c").select(F.col("node").alias("a"), F.col("centre").alias("b"), F.col("comp").alias("comp_a"), F.col("comp_c").alias("comp_b")).distinct()
 
 
 def _contracted(members: DataFrame, labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,13 +263,18 @@ def _across(open_: DataFrame, payload: DataFrame) -> DataFrame:
 
     Members of a bucket's largest component need no comparison with each other;
     the others, its minor members, meet all members.  Both sides are dealt to
-    blocks, and a task holds one block of each, so a bucket of any size is
-    compared in bounded tasks and only links leave them.
+    blocks by their number and by what their shingles take, and a task holds one
+    block of each, so a bucket of any size, and of texts of any length, is
+    compared in bounded tasks and only links leave them.  (A block holds as much
+    as one text does where that is more.)
     """
-    parts = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("int")
-    parts = parts.select("band", F.col("m.comp").alias("main"), blocks(F.col("all")).alias("all_blocks"), blocks(F.col("all") - F.col("m.n")).alias("minor_blocks"))
+    sized = open_.join(payload.select("node", "n_shingles"), "node")
+    parts = sized.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    parts = parts.groupBy("band").agg(F.max(F.struct("n", "comp", "w")).alias("m"), F.sum("n").alias("all"), F.sum("w").alias("w"))
+    # as many as members ask for, or as many as their shingles do, but no more than there are members
+    blocks = lambda n, w: F.least(n, F.greatest(F.ceil(n / F.lit(float(BLOCK))), F.ceil(w / F.lit(float(BLOCK_SHINGLES))))).cast("int")
+    minor = blocks(F.col("all") - F.col("m.n"), F.col("w") - F.col("m.w"))
+    parts = parts.select("band", F.col("m.comp").alias("main"), blocks(F.col("all"), F.col("w")).alias("all_blocks"), minor.alias("minor_blocks"))
     rows = materialize(salted_join(open_, parts, "band", salt="node").join(payload, "node"), "payload")
     deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
