@@ -129,3 +129,26 @@ def test_what_is_a_link(spark):
     for r in L.host_edges(df).collect():
         got.setdefault(r.src, set()).add(r.dst)
     assert got == {f"h{k}.com": want for k, (_, want) in enumerate(cases) if want}
+
+
+def test_query_and_sql_agree_on_linked_pages(spark, tmp_path, monkeypatch):
+    """Long chains, a hub whose links are split over tasks, hidden links: the registered query against its SQL."""
+    import duckdb
+
+    from weftlake.llm.queries import op4_host_trust
+
+    monkeypatch.setattr(L, "HOT", 3)
+    link = [(f"h{k}.io", f"h{k + 1}.io") for k in range(20)] + [(f"c{k}.io", f"c{k + 1}.io") for k in range(5)] + [("h20.io", "bad.org"), ("good.net", "c0.io"), ("hub.io", "bad.org")]
+    link += [("hub.io", f"h{k}.io") for k in range(0, 20, 2)] + [(f"x{k}.io", "hub.io") for k in range(9)]
+    rows = [(f"http://{s}/de/" if s == "good.net" else f"http://{s}/p", f"<p><a class='k' href='http://{d}/'>x</a><!-- <a href='http://bad.org/'> --><script>'<a href=\"http://bad.org/\">'</script>") for s, d in link]
+    rows += [("http://bad.org/es/", "")] * 60 + [(u, h) for _, u, h in ROWS if u != "http://friend.io/"]
+    rows = [(k, *r) for k, r in enumerate(rows)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((tuple(r) for r in op4_host_trust(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    want = sorted(con.execute(L.ORACLE).fetchall(), key=str)
+    assert got == want
+    by = {h: v for _, h, _, r, v in got if r is None}
+    assert by["h20.io"] == by["h15.io"] == "block" and by["c3.io"] == "allow"

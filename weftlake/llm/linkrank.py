@@ -15,7 +15,8 @@ one row per host, and every iteration is a join and a pre-aggregated sum.  Only
 what a host got last is passed on, which shrinks by ``DAMPING`` at least every
 round, so the sum of all that can still come is known: without ``rounds`` the
 iterations end when it is below ``TOLERANCE``, under the slack at a threshold.
-With ``rounds`` they stop early, as the SQL below does with ``ROUNDS``.
+With ``rounds`` they stop early.  A host with very many links is split over
+tasks where its rank is passed on, and so is one with very many pages.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is judged as the host '' (no rule, no links: allowed); null
@@ -31,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import HOT, materialize, salted_join
 
 DAMPING = 0.85
 ROUNDS = 12
@@ -109,13 +110,26 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int | None = ROUNDS, damp
     Hosts that are only linked to need a row in ``seeds`` with 0.  ``rounds``:
     None until ranks are settled.
     """
-    shares = edges.join(edges.groupBy("src").agg(F.sum("n").alias("_all")), "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("share"))
+    out = edges.groupBy("src").agg(F.sum("n").alias("_all"), F.ceil(F.count(F.lit(1)) / F.lit(float(HOT))).cast("int").alias("_tasks"))
+    out = materialize(out, "out")
+    shares = salted_join(edges, out, "src", salt="dst").select("src", "dst", (F.col("n") / F.col("_all")).alias("share"), F.pmod(F.xxhash64("dst"), F.col("_tasks")).cast("int").alias("_at"))
     shares = materialize(shares, "shares")
+    hot = out.filter("_tasks > 1").select(F.col("src").alias("host"), "_tasks")
+    split = hot.limit(1).count() > 0
+
+    def givers(ranks: DataFrame) -> DataFrame:
+        """What is passed on; of a host with very many links once for each task that has some of them."""
+        rows = ranks.filter("_new > 0").select("host", "_new")
+        if not split:
+            return rows.select(F.col("host").alias("src"), "_new", F.lit(0).alias("_at"))
+        tasks = F.coalesce("_tasks", F.lit(1))
+        return rows.join(hot, "host", "left").select(F.col("host").alias("src"), "_new", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("_at"))
+
     ranks = seeds.select("host", F.col("seed").alias("rank"), F.col("seed").alias("_new"))
     k = 0
     while k != rounds:
         k += 1
-        given = shares.join(ranks.filter("_new > 0").select(F.col("host").alias("src"), "_new"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("_new") * F.col("share")).alias("got"))
+        given = shares.join(givers(ranks), ["src", "_at"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("_new") * F.col("share")).alias("got"))
         new = F.lit(damping) * F.coalesce("got", F.lit(0.0))
         ranks = ranks.join(given, "host", "left").select("host", (F.col("rank") + new).alias("rank"), new.alias("_new"))
         if k % STORE_EVERY == 0 or k == rounds:
@@ -144,22 +158,27 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = TH
     verdicts = hosts.join(trust.withColumnRenamed("rank", "trust"), "host").join(distrust.withColumnRenamed("rank", "distrust"), "host")
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") - F.col("trust") > F.lit(threshold) * F.col("pages") + F.lit(SLACK))
     verdicts = materialize(verdicts.select("host", "trust", "distrust", F.when(bad, F.lit("block")).otherwise(F.lit("allow")).alias("by_host")), "verdicts")
-    joined = parsed.join(verdicts, "host", "left")
+    joined = salted_join(parsed, verdicts, "host", "left", salt=key)
     return joined.select(key, "host", "path", "rule", F.coalesce("said", "by_host").alias("verdict"), "trust", "distrust")
 
 
 def _spread_sql(name: str, seed: str, src: str, dst: str) -> str:
-    """The iterations of one direction as DuckDB CTEs."""
-    parts = [
-        f"{name}_s AS (SELECT {src} AS src, {dst} AS dst, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY {src}) AS share FROM edges)",
-        f"{name}0 AS (SELECT host, {seed} AS seed, {seed} AS rank FROM hosts)",
-    ]
-    for k in range(1, ROUNDS + 1):
-        parts.append(
-            f"{name}{k} AS (SELECT r.host, r.seed, r.seed + {DAMPING!r}::DOUBLE * coalesce(g.got, 0) AS rank "
-            f"FROM {name}{k - 1} r LEFT JOIN (SELECT s.dst AS host, sum(p.rank * s.share) AS got FROM {name}_s s JOIN {name}{k - 1} p ON s.src = p.host GROUP BY s.dst) g ON r.host = g.host)"
-        )
-    return ",\n".join(parts)
+    """The iterations of one direction as DuckDB CTEs: what a host got in each round, until next to nothing is passed on."""
+    return (
+        f"{name}_s AS (SELECT {src} AS src, {dst} AS dst, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY {src}) AS share FROM edges),\n"
+        f"{name}_r(host, k, new) AS (SELECT host, 0, {seed} FROM hosts WHERE {seed} > 0 UNION ALL SELECT s.dst, r.k + 1, {DAMPING!r}::DOUBLE * sum(r.new * s.share) "
+        f"FROM {name}_r r JOIN {name}_s s ON s.src = r.host WHERE r.new > {TOLERANCE * 1e-6} GROUP BY s.dst, r.k),\n"
+        f"{name} AS (SELECT h.host, coalesce(sum(r.new), 0) AS rank FROM hosts h LEFT JOIN {name}_r r ON r.host = h.host GROUP BY h.host)"
+    )
+
+
+#: ``HIDDEN`` and ``LINK`` without references and looking ahead, which that engine does not have.
+_HIDDEN_SQL = "(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|$)" for t in ("script", "style", "template", "noscript"))
+_LINK_SQL = r"""(?i)<a(?:\s+[^\s"'>=/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|/)*?\s+href\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def _rule_sql() -> tuple[str, str]:
@@ -167,13 +186,13 @@ def _rule_sql() -> tuple[str, str]:
     return tuple("CASE " + " ".join(f"WHEN {c} THEN '{v(r)}'" for r, c in fits) + " END" for v in (lambda r: r.name, lambda r: r.verdict))
 
 
-#: The same rows in DuckDB, with ``ROUNDS`` iterations.
+#: The same rows in DuckDB, until ranks are settled.
 ORACLE = rf"""
-WITH raw AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS after FROM pages),
+WITH RECURSIVE raw AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS after FROM pages),
 cut AS (SELECT page_id, html, coalesce(translate(regexp_extract(after, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
                coalesce(regexp_extract(after, '^[^/?#]*([^?#]*)', 1), '') AS path FROM raw),
 parsed AS (SELECT page_id, html, host, path, {_rule_sql()[0]} AS rule, {_rule_sql()[1]} AS said FROM cut),
-links AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^<>]*?href\s*=\s*["'']?((?:https?:)?//[^\s"''>]+)', 1)) AS link FROM parsed),
+links AS (SELECT host AS src, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), {_quoted(_HIDDEN_SQL)}, ' ', 'g'), {_quoted(_LINK_SQL)}, 1)) AS link FROM parsed),
 ends AS (SELECT src, translate(regexp_extract(link, '//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM links),
 edges AS (SELECT src, dst, count(*) AS n FROM ends WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
 own AS (SELECT host, count(*) AS pages, CAST(count(*) FILTER (said = 'allow') AS DOUBLE) AS good, CAST(count(*) FILTER (said = 'block') AS DOUBLE) AS bad FROM parsed GROUP BY host),
@@ -181,6 +200,6 @@ hosts AS (SELECT * FROM own UNION ALL SELECT DISTINCT dst, 0, 0::DOUBLE, 0::DOUB
 {_spread_sql("t", "good", "src", "dst")},
 {_spread_sql("d", "bad", "dst", "src")},
 verdicts AS (SELECT h.host, CASE WHEN d.rank > t.rank AND d.rank - t.rank > {THRESHOLD} * h.pages + {SLACK} THEN 'block' ELSE 'allow' END AS by_host
-             FROM hosts h JOIN t{ROUNDS} t ON h.host = t.host JOIN d{ROUNDS} d ON h.host = d.host)
+             FROM hosts h JOIN t ON h.host = t.host JOIN d ON h.host = d.host)
 SELECT page_id, p.host, path, rule, coalesce(said, by_host) AS verdict FROM parsed p JOIN verdicts v ON p.host = v.host
 """
