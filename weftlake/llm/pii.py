@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -260,9 +261,25 @@ def find(documents: DataFrame) -> DataFrame:
     return materialize(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_find, _FOUND), "found")
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = Counter(f for text in batch.column(0).to_pylist() if text for _, _, f in candidates(text, base_spans(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+
+
+def feature_counts(documents: DataFrame) -> DataFrame:
+    """feature, n: what candidates of all documents look like, without keeping them."""
+    return documents.select("text").mapInArrow(_count, "feature int, n long")
+
+
 def fit(found: DataFrame) -> np.ndarray | None:
-    """The span classifier from all candidates' feature counts; None without candidates."""
-    rows = found.select(F.explode("candidates.feature").alias("feature")).groupBy("feature").count().toPandas()  # at most FEATURES_BOUND
+    """The span classifier from stored candidates."""
+    return fit_counts(found.select(F.explode("candidates.feature").alias("feature"), F.lit(1).alias("n")))
+
+
+def fit_counts(features: DataFrame) -> np.ndarray | None:
+    """The span classifier from all candidates' features (feature, n); None without candidates."""
+    rows = features.groupBy("feature").agg(F.sum("n").alias("count")).toPandas()  # at most FEATURES_BOUND
     if not len(rows):
         return None
     rows = rows.sort_values("feature")
@@ -325,7 +342,7 @@ def redact(documents: DataFrame) -> DataFrame:
     The corpus is read twice: for the candidates' counts, then for the texts; no
     row is dropped and none is shuffled.
     """
-    w = fit(find(documents))
+    w = fit_counts(feature_counts(documents))
     schema = documents.schema
     names = documents.columns
     at = names.index("text")
