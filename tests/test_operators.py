@@ -164,6 +164,14 @@ def test_cascade(spark):
     got = {r.id: r for r in cascade.run(items, hint, cache=cache, specs=specs, backend=lambda text, h: {"title": text.upper(), "tags": []}).collect()}
     assert [(got[k].method, got[k].tier, got[k].title) for k in (1, 2, 3, 4)] == [("cache", 0, "C"), ("structured", 1, "H"), ("selector", 2, "S"), ("llm", 3, "ASK ME")]
     assert got[2].tags == ["a", "b"] and got[4].confidence == 0.5
+    answers = cascade.run(items, hint, cache=cache, specs=specs, backend=lambda text, h: {"title": text.upper(), "tags": []})
+    kept = cache.unionByName(cascade.to_store(answers, items, hint))
+    assert {r.cache_key for r in kept.collect()} == {"k1", "k2", "k3", "k4"}
+    again = cascade.run(items, hint, cache=kept).collect()
+    assert {r.method for r in again if r.id < 4} == {"cache"} and all(r.warning is None for r in again)
+    long = items.withColumn("text", F.repeat(F.lit("x"), 13_000)).filter("id = 4")
+    told = cascade.run(long, hint, backend=lambda text, h: {"title": str(len(text)), "tags": []}).first()
+    assert told.title == "12000" and told.warning == "text of 13000 characters was cut to 12000"
     none = {r.id: r.method for r in cascade.run(items, hint, tiers=(1,)).collect()}
     assert none == {1: None, 2: "structured", 3: None, 4: None}
     assert structured.SYNONYMS["price"][0] == "price" and len(structured.SYNONYMS) == 44

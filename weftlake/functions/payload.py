@@ -101,14 +101,21 @@ def _accepts(kind: DataType, value: Column) -> Column:
     return value.isNull() | (said == "VOID") | fits
 
 
-def validate(payload: Column, hint: dict, most: int = MESSAGES) -> Column:
-    """Problems of a JSON payload against a compiled hint: shape, keys, then types; at most ``most``."""
+def _first(messages: Column, most: int | None) -> Column:
+    if most is None:
+        return messages
+    more = F.when(F.size(messages) > most, F.array(F.concat((F.size(messages) - most).cast("string"), F.lit(" more"))))
+    return F.concat(F.slice(messages, 1, most), F.coalesce(more, F.array().cast("array<string>")))
+
+
+def validate(payload: Column, hint: dict, most: int | None = None) -> Column:
+    """Problems of a JSON payload against a compiled hint: shape, keys, then types; with ``most`` a last one says how many more there are."""
     compiled = schema.compile_hint(hint)
     v = F.try_parse_json(payload)
     wrong = [F.when(~_accepts(f.dataType, F.try_variant_get(v, f"$['{f.name}']", "variant")), F.lit(f"{f.name}: is not of type {f.dataType.simpleString()}")) for f in compiled.fields]
     types = F.filter(F.array(*wrong), lambda x: x.isNotNull())
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    return F.when(~is_object, F.array(F.lit("expected a JSON object"))).otherwise(F.slice(F.concat(difference(payload, list(hint)), types), 1, most))
+    return F.when(~is_object, F.array(F.lit("expected a JSON object"))).otherwise(_first(F.concat(difference(payload, list(hint)), types), most))
 
 
 def unwrapped(payload: Column, fields: Sequence[str]) -> Column:

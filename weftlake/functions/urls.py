@@ -117,7 +117,7 @@ def canonical(url: Column, strip_tracking: bool = True, strip_fragment: bool = T
 
 def _mapped(name: Column) -> Column:
     """The dotted form of an IPv4 address that an IPv6 one holds (::ffff:a.b.c.d or two groups); other names as they are."""
-    tail = F.regexp_extract(name, r"^(?:::|(?:0{1,4}:){5})ffff:(?:0{1,4}:)?([0-9a-f.:]+)$", 1)
+    tail = F.regexp_extract(name, r"^(?:::|(?:0{1,4}:){5})ffff:([0-9a-f.:]+)$", 1)
     group = lambda k: F.conv(F.regexp_extract(tail, r"^([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).cast("int")
     byte = lambda k: [F.shiftright(group(k), 8).cast("string"), group(k).bitwiseAND(255).cast("string")]
     return F.when(tail.contains("."), tail).when(tail.rlike("^[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), F.concat_ws(".", *byte(1), *byte(2))).otherwise(name)

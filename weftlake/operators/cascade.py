@@ -26,6 +26,7 @@ def fill(hint: dict) -> Column:
 
 
 def _accepted(df: DataFrame, method: str, tier: int) -> DataFrame:
+    df = df if "warning" in df.columns else df.withColumn("warning", F.lit(None).cast("string"))
     return df.withColumn("method", F.lit(method)).withColumn("tier", F.lit(tier)).withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "fill")), 3))
 
 
@@ -44,10 +45,11 @@ def run(items: DataFrame, hint: dict, *, cache: DataFrame | None = None, specs:
     ``cache``: cache_key and the fields, one row per key.  ``specs``: replays
     selector rules on the residual and returns id and fields.  ``backend``: a
     model behind a callable, run in Arrow batches on what no tier answered.
-    Rows without an answer come back with method null.
+    Rows without an answer come back with method null; ``warning`` tells of a text
+    that was cut for the model.
     """
     names, done, left = list(hint), [], items
-    out = ["id", *names, "fill", "method", "tier", "confidence"]
+    out = ["id", *names, "fill", "method", "tier", "confidence", "warning"]
     if cache is not None and 0 in tiers:
         probed = left.join(cache.select("cache_key", *names, F.lit(True).alias("_hit")), "cache_key", "left")
         hit = probed.filter("_hit").withColumn("fill", fill(hint))
@@ -72,12 +74,21 @@ def run(items: DataFrame, hint: dict, *, cache: DataFrame | None = None, specs:
 
         kinds = ", ".join(f"`{n}` {'array<string>' if wants_list(h) else 'string'}" for n, h in hint.items())
         asked = left.select("id", F.substring("text", 1, MAX_TEXT).alias("text")).mapInPandas(ask, f"id long, {kinds}")
+        cut = F.when(F.length("text") > MAX_TEXT, F.concat(F.lit("text of "), F.length("text").cast("string"), F.lit(f" characters was cut to {MAX_TEXT}")))
+        asked = asked.join(left.select("id", cut.alias("warning")).filter("warning is not null"), "id", "left")
         done.append(_accepted(asked.withColumn("fill", fill(hint)), "llm", 3).select(*out))
     else:
         empty = {n: F.lit(None).cast("array<string>" if wants_list(h) else "string") for n, h in hint.items()}
         rest = left.withColumns(empty).withColumn("fill", F.lit(0.0))
-        done.append(rest.withColumn("method", F.lit(None).cast("string")).withColumn("tier", F.lit(None).cast("int")).withColumn("confidence", F.lit(0.0)).select(*out))
+        done.append(rest.withColumn("method", F.lit(None).cast("string")).withColumn("tier", F.lit(None).cast("int")).withColumn("confidence", F.lit(0.0)).withColumn("warning", F.lit(None).cast("string")).select(*out))
     answer = done[0]
     for d in done[1:]:
         answer = answer.unionByName(d)
     return answer
+
+
+def to_store(answers: DataFrame, items: DataFrame, hint: dict) -> DataFrame:
+    """What the next run's cache should hold of this one: cache_key and the fields of answers that did not come from the cache, one row a key."""
+    new = answers.filter(F.col("method").isNotNull() & (F.col("method") != "cache")).select("id", *hint)
+    keyed = items.filter("cache_key is not null").select("id", "cache_key").join(new, "id")
+    return keyed.groupBy("cache_key").agg(F.min_by(F.struct(*hint), "id").alias("_a")).select("cache_key", "_a.*")

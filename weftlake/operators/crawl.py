@@ -50,10 +50,10 @@ def harvest(steps: DataFrame, page: str = "page_id") -> DataFrame:
     return counts.join(reasons, page, "left")
 
 
-def fan_out(steps: DataFrame, page: str = "page_id", most: int | None = MAX_FOLLOW) -> DataFrame:
+def fan_out(steps: DataFrame, page: str = "page_id", most: int | None = None) -> DataFrame:
     """Tasks that a step starts: an address to crawl or to collect, once over all pages, from the page with the smallest key.
 
-    ``most``: of each page and verdict, in order of addresses; None for all.  ``dropped`` tells how many a page left out.
+    ``most``: of each page and verdict, in order of addresses; all of them by default.  ``dropped`` tells how many a page left out.
     """
     wanted = steps.filter("verdict <> 'skip'")
     if most is not None:

@@ -488,24 +488,30 @@ def _gives(n: Node) -> str | None:
     return f'"{text[:120]}"' if text else None
 
 
-def skeleton(html: str, nodes: int | None = SKELETON_NODES, chars: int | None = SKELETON_CHARS) -> str:
-    """An outline of a page: where something is and what it is, one line each."""
+def skeleton(html: str, nodes: int | None = None, chars: int | None = None) -> str:
+    """An outline of a page: where something is and what it is, one line each; a last line ``...`` where a limit cut it."""
     root = parse(html)
     lines, total, stack = [], 0, [first(root, "body") or root]
     while stack:
         n = stack.pop()
         stack.extend(x for x in reversed(n.items) if isinstance(x, Node) and x.tag not in OUTLINE_DROPS)
         if n.tag not in OUTLINE_SKIPS and (value := _gives(n)) is not None:
+            if (nodes and len(lines) >= nodes) or (chars and total >= chars):
+                lines.append("...")
+                break
             lines.append(f"{_address(n)} -> {value}")
             total += len(lines[-1]) + 1
-        if (nodes and len(lines) >= nodes) or (chars and total >= chars):
-            break
     return "\n".join(lines)
 
 
-@F.pandas_udf(StringType())
-def skeletons(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else skeleton(h))
+def skeletons(html: Column, nodes: int | None = None, chars: int | None = None) -> Column:
+    """Outlines of pages; SKELETON_NODES and SKELETON_CHARS are what a model's prompt has room for."""
+
+    @F.pandas_udf(StringType())
+    def outline(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: None if h is None else skeleton(h, nodes, chars))
+
+    return outline(html)
 
 
 def _property(n: Node, url: str) -> str | None:

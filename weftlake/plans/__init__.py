@@ -1,3 +1,3 @@
 """Registered queries, by topic; importing the package registers them all."""
 
-from . import crawls, queries, readers, records, states  # noqa: F401
+from . import computed, crawls, queries, readers, records, states  # noqa: F401

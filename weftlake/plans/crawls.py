@@ -91,38 +91,6 @@ def redirect_chains(spark, sf):
     return frontier.redirect_targets(r, 5)
 
 
-_SHAPES = ("/a/b/c/d/e/f/g/h/i/j/k/l/m", "/x/y/x/y/x/y", "/2024/05/17/", "/p?a=1&b=2&c=3&d=4&e=5&f=6&g=7", "/p?PHPSESSID=3", "/ok/page.html", "/a/a/a", "/x?month=5")
-_WHY = ("path is implausibly deep", "repeated path segments", "calendar-style URL", "too many query parameters", "session or view parameter (PHPSESSID)", None, "repeated path segments", "calendar-style URL")
-
-
-@register("SELECT event_id, CASE WHEN event_id % 9 = 8 THEN 'URL is implausibly long' ELSE CASE event_id % 9 " + " ".join(f"WHEN {k} THEN {repr(w) if w else 'NULL'}" for k, w in enumerate(_WHY)) + " END END AS trap FROM events")
-def trap_shapes(spark, sf):
-    """All shapes of addresses that a crawl must not follow."""
-    path = F.when(F.col("event_id") % 9 == 8, F.concat(F.lit("/q"), F.repeat(F.lit("z"), 2100))).otherwise(F.element_at(F.array(*[F.lit(x) for x in (*_SHAPES, "")]), (F.col("event_id") % 9 + 1).cast("int")))
-    u = F.concat(F.lit("https://example.com"), path)
-    return read(spark, sf, "events").select("event_id", scope.trap(u).alias("trap"))
-
-
-_HREFS = ("/x/y", "z.html", "../up/a", "./b?q=1", "//cdn.example.com/c", "https://other.org/d", "#top", "?p=2", "../../../e", "")
-_FULL = ("https://example.com/x/y", "https://example.com/a/b/z.html", "https://example.com/a/up/a", "https://example.com/a/b/b?q=1", "https://cdn.example.com/c", "https://other.org/d", "https://example.com/a/b/c#top", "https://example.com/a/b/c?p=2", "https://example.com/e", "https://example.com/a/b/c")
-
-
-@register("SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_FULL)) + " END AS url FROM events")
-def resolved_links(spark, sf):
-    href = F.element_at(F.array(*[F.lit(x) for x in _HREFS]), (F.col("event_id") % 10 + 1).cast("int"))
-    return read(spark, sf, "events").select("event_id", urls.resolve(F.lit("https://example.com/a/b/c"), href).alias("url"))
-
-
-_FORMS = ("HTTP://Example.COM:80/a/%7Eb/index.html?b=2&a=1#x", "https://example.com:8443/%41?utm_source=q&fbclid=3", "https://example.com./a//b/?z=&y", "https://user@example.com:443", "http://example.com/a b/ü?q=a+b")
-_CANON = ("http://example.com/a/~b/?a=1&b=2", "https://example.com:8443/A", "https://example.com/a//b/?y=&z=", "https://user@example.com/", "http://example.com/a%20b/%C3%BC?q=a+b")
-
-
-@register("SELECT event_id, CASE event_id % 5 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_CANON)) + " END AS url FROM events")
-def canonical_forms(spark, sf):
-    u = F.element_at(F.array(*[F.lit(x) for x in _FORMS]), (F.col("event_id") % 5 + 1).cast("int"))
-    return read(spark, sf, "events").select("event_id", urls.canonical(u).alias("url"))
-
-
 @register(rf"SELECT page_id, regexp_matches(url, '^https?://[^/?#]') AS http, regexp_replace({_HOST}, '^www\.', '') = 'cheap-pills.example.com' AS same FROM pages")
 def same_sites(spark, sf):
     u = F.col("url")

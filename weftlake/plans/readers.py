@@ -178,20 +178,6 @@ def image_sizes(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.unhex(hexed).alias("raw")).select("p_partkey", policy.image_size("raw").alias("i")).select("p_partkey", "i.width", "i.height", "i.image_format")
 
 
-_MAGIC = ("255044462D312E", "89504E470D0A1A0A", "FFD8FFE0", "4944330300", "504B03041400", "1F8B0800", "000000186674797069736F6D", "52494646000000005745425056503858", "664C6143", "7B5C72746631", "D0CF11E0A1B11AE1", "00112233")
-_MAGIC_KINDS = ("document pdf", "image png", "image jpeg", "audio mp3", "archive zip", "archive gzip", "video mp4", "image webp", "audio flac", "document rtf", "document ole2", "unknown unknown")
-
-
-@register("SELECT event_id, CASE event_id % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_MAGIC_KINDS)) + " END AS kind FROM events")
-def magic_bytes(spark, sf):
-    """Kinds of blobs that begin with known bytes."""
-    from ..functions import detect
-
-    raw = F.unhex(F.concat(F.element_at(F.array(*[F.lit(x) for x in _MAGIC]), (F.col("event_id") % 12 + 1).cast("int")), F.hex(F.encode("props", "UTF-8"))))
-    e = read(spark, sf, "events").select("event_id", raw.alias("raw"))
-    return e.select("event_id", detect.detect(raw=F.col("raw")).alias("d")).select("event_id", F.concat_ws(" ", "d.kind", "d.subtype").alias("kind"))
-
-
 @register("""SELECT o_custkey, 'orderkey | status' || chr(10) || '--- | ---' || chr(10) || string_agg(CASE WHEN k <= 5 THEN o_orderkey || ' | ' || o_orderstatus END, chr(10) ORDER BY o_orderkey) || CASE WHEN count(*) > 5 THEN chr(10) || '... and ' || (count(*) - 5) || ' more rows' ELSE '' END AS text
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY 1""")
 def table_rendering(spark, sf):

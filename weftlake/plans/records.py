@@ -151,29 +151,6 @@ def size_caps(spark, sf):
     return p.select("page_id", F.col("error").isNotNull().alias("too_large"), "error")
 
 
-_STATUS = (200, 200, 304, 403, 404, 408, 429, 503, 500, 204)
-
-
-@register("SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{'unchanged' if s == 304 else 'retry' if s in (408, 429, 503, 500) else 'fail' if s >= 400 else 'ok'}'" for k, s in enumerate(_STATUS)) + " END AS class, CASE WHEN event_id % 10 IN (5, 6, 7, 8) THEN CASE event_id % 4 WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE END END AS wait FROM events")
-def status_classes(spark, sf):
-    """What a status means, and how long to wait before the next of three tries."""
-    status = F.element_at(F.array(*[F.lit(s) for s in _STATUS]), (F.col("event_id") % 10 + 1).cast("int"))
-    c = blocks.status_class(status)
-    attempt = F.when(F.col("event_id") % 4 == 0, 4).otherwise(F.col("event_id") % 4)
-    return read(spark, sf, "events").select("event_id", c.alias("class"), F.when(c == "retry", policy.retry_wait(attempt)).alias("wait"))
-
-
-@register("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN true WHEN event_id % 5 = 1 THEN event_id % 2 = 0 WHEN event_id % 5 = 2 THEN false WHEN event_id % 5 = 3 THEN true ELSE false END AS render FROM events")
-def render_decisions(spark, sf):
-    """Whether a browser is worth it: refusals, empty bodies, shells, other types, complete pages."""
-    k, full = F.col("event_id") % 5, F.repeat(F.lit("words and more words "), 20)
-    shell = F.lit('<html><body><div id="root"></div></body></html>')
-    status = F.when(k == 0, F.lit(403)).when(k == 2, F.lit(404)).otherwise(F.lit(200))
-    body = F.when(k == 1, F.when(F.col("event_id") % 2 == 0, shell).otherwise(full)).when(k == 3, F.lit("")).otherwise(shell)
-    declared = F.when(k == 4, F.lit("application/json")).otherwise(F.lit("text/html; charset=utf-8"))
-    return read(spark, sf, "events").select("event_id", policy.needs_render(status, body, declared).alias("render"))
-
-
 _HOST = r"lower(regexp_extract(url, '://([^/:?#]*)', 1))"
 
 
@@ -188,51 +165,6 @@ def policy_verdicts(spark, sf):
     return read(spark, sf, "pages").select("page_id", d.alias("d")).select("page_id", "d.*")
 
 
-_ADDRESSES = ("10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.0.9", "127.0.0.1", "8.8.8.8", "169.254.169.254", "localhost", "example.com", "198.51.100.7", "::1", "fd00::1", "2606:4700::1", "224.0.0.1", "1.2.3.4")
-_PRIVATE = (1, 1, 0, 1, 1, 0, 1, 1, 0, 1, 1, 1, 0, 1, 0)
-
-
-@register("SELECT event_id, CASE event_id % 15 " + " ".join(f"WHEN {k} THEN {'true' if p else 'false'}" for k, p in enumerate(_PRIVATE)) + " END AS private FROM events")
-def private_addresses(spark, sf):
-    host = F.element_at(F.array(*[F.lit(a) for a in _ADDRESSES]), (F.col("event_id") % 15 + 1).cast("int"))
-    return read(spark, sf, "events").select("event_id", urls.is_private(host).alias("private"))
-
-
-@register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 60.0::DOUBLE WHEN 1 THEN 20.0::DOUBLE WHEN 3 THEN 2.0::DOUBLE END AS gap, greatest(1.0::DOUBLE, coalesce(CASE event_id % 4 WHEN 0 THEN 60.0::DOUBLE WHEN 1 THEN 20.0::DOUBLE WHEN 3 THEN 2.0::DOUBLE END, 0.0::DOUBLE)) AS kept, CASE event_id % 3 WHEN 0 THEN 120.0::DOUBLE WHEN 1 THEN 3600.0::DOUBLE END AS wait FROM events""")
-def server_feedback(spark, sf):
-    """Waits and gaps that responses ask for, in both spellings of the quota headers."""
-    k = F.col("event_id") % 4
-    h = lambda **kv: F.create_map(*[F.lit(x) for pair in kv.items() for x in (pair[0].replace("_", "-"), pair[1])])
-    headers = F.when(k == 0, h(ratelimit_remaining="0", ratelimit_limit="100", ratelimit_reset="900")).when(k == 1, h(x_ratelimit_remaining="5", x_ratelimit_limit="60", x_ratelimit_reset="100")).when(k == 2, h(x_ratelimit_remaining="50", x_ratelimit_limit="60", x_ratelimit_reset="100")).otherwise(h(x_ratelimit_remaining="10", x_ratelimit_limit="100", x_ratelimit_reset="1700000020"))
-    gap = policy.rate_gap(headers, F.lit(1_700_000_000.0))
-    after = F.element_at(F.array(F.lit("120"), F.lit("99999"), F.lit("soon")), (F.col("event_id") % 3 + 1).cast("int"))
-    return read(spark, sf, "events").select("event_id", gap.alias("gap"), policy.slowest(gap, F.lit(1.0)).alias("kept"), ordered.retry_after(after, F.lit("2024-01-01").cast("timestamp")).alias("wait"))
-
-
-_TYPES = ("text/html; charset=utf-8", "application/pdf", "application/json", "image/webp", "application/rss+xml", "text/csv", "audio/mpeg", "application/octet-stream", "message/rfc822", "application/vnd.apple.mpegurl")
-_TYPE_KINDS = ("html", "document", "data", "image", "feed", "tabular", "audio", "unknown", "email", "livestream")
-
-
-@register("SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_TYPE_KINDS)) + " END AS kind, CASE WHEN event_id % 10 = 7 THEN 'low-confidence type detection: unknown' END AS warning, CASE WHEN event_id % 10 = 7 THEN 0.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM events")
-def declared_types(spark, sf):
-    """Kinds by declared type alone, routed with a warning where the evidence is thin."""
-    mime = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("event_id") % 10 + 1).cast("int"))
-    return read(spark, sf, "events").select("event_id", policy.route(detect.detect(content_type=mime)).alias("r")).select("event_id", "r.kind", "r.warning", "r.confidence")
-
-
-_URLS = ("https://www.youtube.com/watch?v=1", "https://m.youtube.com/x", "https://example.com/a.m3u8?x=1", "https://example.com/report.PDF", "https://example.com/data.csv", "https://notyoutube.com/x", "https://vimeo.com/3", "https://example.com/page", "https://example.com/a.tgz", "https://example.com/x.mpd")
-_ROUTES = ("ytdlp", "ytdlp", "livestream", "http", "http", "http", "ytdlp", "http", "http", "livestream")
-_URL_KINDS = ("unknown", "unknown", "livestream", "document", "tabular", "unknown", "unknown", "unknown", "archive", "livestream")
-
-
-@register("SELECT event_id, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_ROUTES)) + " END AS route, CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_URL_KINDS)) + " END AS kind, CASE WHEN event_id % 10 IN (0, 1, 2, 6, 9) OR event_id % 7 = 0 THEN 'media' ELSE 'web' END AS split FROM events")
-def url_routes(spark, sf):
-    """How an address is acquired, what its extension hints at, and the older two-way split."""
-    u = F.element_at(F.array(*[F.lit(x) for x in _URLS]), (F.col("event_id") % 10 + 1).cast("int"))
-    head = F.when(F.col("event_id") % 7 == 0, F.lit("Video/mp4"))
-    return read(spark, sf, "events").select("event_id", detect.pre_route(u).alias("route"), detect.detect(url=u)["kind"].alias("kind"), policy.web_or_media(u, head).alias("split"))
-
-
 # --- caches, runs, reports ---------------------------------------------------
 
 
@@ -337,26 +269,8 @@ def children_split(spark, sf):
     return runs.with_children(o.select("url", F.lit(0).alias("depth")), *kids).select("url", "child", "depth", "inline")
 
 
-@register("SELECT page_id, url, sha256(html) AS content_hash, 'html' AS kind, 0.667::DOUBLE AS confidence, CAST(2 AS INTEGER) AS children FROM pages")
-def item_summaries(spark, sf):
-    """What may leave the engine of an item, and the provenance that travels with it."""
-    p = read(spark, sf, "pages").select("page_id", "url", T.content_hash(F.encode("html", "UTF-8")).alias("content_hash"), F.lit("html").alias("kind"), F.lit(2 / 3).alias("confidence"), F.array(F.lit("a"), F.lit("b")).alias("members"))
-    s = runs.summary(p.withColumn("provenance", runs.provenance({"source_url": F.col("url"), "content_hash": F.col("content_hash"), "kind": F.col("kind")})), ["page_id", "provenance", "confidence"], "members")
-    return s.select("page_id", F.col("provenance.source_url").alias("url"), "provenance.content_hash", "provenance.kind", "confidence", "children")
-
-
 # --- fields and rules --------------------------------------------------------
 
-_SELECTORS = ("h1.title", "div:nth-child(2)", ".css-1a2b3c4", "a[href]", ".price-9f8e7d6c", "p:contains(x)", "#main .name", "li:first", "")
-_SANE = (1, 0, 0, 1, 0, 0, 1, 0, 0)
-
-
-@register("SELECT event_id, CASE event_id % 9 " + " ".join(f"WHEN {k} THEN {'true' if s else 'false'}" for k, s in enumerate(_SANE)) + " END AS sane FROM events")
-def selector_sanity(spark, sf):
-    s = F.element_at(F.array(*[F.lit(x) for x in _SELECTORS]), (F.col("event_id") % 9 + 1).cast("int"))
-    return read(spark, sf, "events").select("event_id", html.selector_is_sane(s).alias("sane"))
-
-
 _PAGE = '<html><body><div class="item"><h1 class="name">%s</h1><span class="price" data-value="%d">$%d</span><ul><li>%s</li><li>%s</li></ul></div></body></html>'
 
 
@@ -390,12 +304,6 @@ def learned_specs(spark, sf):
     return r.select(F.col("domain").cast("long").alias("p_partkey"), names.alias("rules"), "fill", "accepted")
 
 
-@register("SELECT c_custkey, CAST(c_custkey % 9 AS BIGINT) AS uses, c_custkey % 10 / 10.0::DOUBLE AS ema, (c_custkey % 11 = 0) OR (c_custkey % 9 >= 5 AND c_custkey % 10 < 4) OR c_custkey % 40 > 30 AS stale FROM customer")
-def stale_specs(spark, sf):
-    c, k = read(spark, sf, "customer"), F.col("c_custkey")
-    return c.select("c_custkey", (k % 9).alias("uses"), (k % 10 / 10).alias("ema"), ordered.is_stale(k % 9, k % 10 / 10, k % 40, k % 11 == 0).alias("stale"))
-
-
 @register("""SELECT p_partkey, 'Name | Size' AS headers, p_name || ' | ' || p_size || ' / ' || p_brand || ' | ' || p_type AS rows FROM part""")
 def html_tables(spark, sf):
     """Tables of pages; those inside a navigation are not content."""
@@ -405,16 +313,6 @@ def html_tables(spark, sf):
     return t.select("p_partkey", F.array_join("t.headers", " | ").alias("headers"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, " | ")), " / ").alias("rows"))
 
 
-@register("SELECT c_custkey, c_custkey % 2 = 0 AS bad_url, c_custkey % 3 = 0 AS bad_email, c_custkey % 5 = 0 AS future FROM customer")
-def shape_rules(spark, sf):
-    """Shapes of addresses and mails, and dates more than a year ahead."""
-    k, now = F.col("c_custkey"), F.lit("2024-06-01 00:00:00").cast("timestamp")
-    c = read(spark, sf, "customer").select("c_custkey", F.when(k % 2 == 0, "www.example.com").otherwise("https://example.com").alias("url"), F.when(k % 3 == 0, "at example.com").otherwise("a@example.com").alias("email"), F.when(k % 5 == 0, "2026-01-01").otherwise("2024-01-01").alias("date"))
-    v = validate.validate(c, ["url", "email", "date"], as_of=now)
-    has = lambda x: F.array_contains("warnings", x)
-    return v.select("c_custkey", has("url:url_shape").alias("bad_url"), has("email:email_shape").alias("bad_email"), has("date:future_date").alias("future"))
-
-
 @register("SELECT c_custkey, ((c_custkey % 3 <> 0)::INTEGER + 1 + (c_mktsegment <> '')::INTEGER) / 3.0::DOUBLE AS fill FROM customer")
 def fill_rates(spark, sf):
     c = read(spark, sf, "customer").withColumn("note", F.when(F.col("c_custkey") % 3 == 0, " ").otherwise("x"))
@@ -443,12 +341,6 @@ def transcript_lines(spark, sf):
     return c.select("conv_id", T.timestamped(F.col("s"), 30.0).alias("lines"))
 
 
-@register("SELECT event_id, event_id % 4 IN (0, 1) AS number FROM events")
-def numeric_cells(spark, sf):
-    v = F.element_at(F.array(F.lit("1,234.5"), F.lit(" -7e3"), F.lit("12 pcs"), F.lit("")), (F.col("event_id") % 4 + 1).cast("int"))
-    return read(spark, sf, "events").select("event_id", F.coalesce(numbers.is_numeric_cell(v), F.lit(False)).alias("number"))
-
-
 @register("""WITH f AS (SELECT doc_id, CAST(hash AS BIGINT) AS x FROM (SELECT doc_id, doc_id * 2654435761 AS hash FROM documents)) SELECT doc_id, CAST(bit_count(xor(x, CAST(0 AS BIGINT))) AS INTEGER) AS distance, (x & 65535) || ',' || (65536 + ((x >> 16) & 65535)) || ',' || (131072 + ((x >> 32) & 65535)) || ',' || (196608 + ((x >> 48) & 65535)) AS bands FROM f""")
 def fingerprint_bands(spark, sf):
     x = F.col("doc_id") * F.lit(2654435761)
@@ -475,3 +367,29 @@ SQL["token_bucket"] = f"""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_u
 w(host, seq, n, s, allowed, tokens) AS (SELECT user_id, event_id, n, s, true, 2.0::DOUBLE FROM r WHERE n = 1 UNION ALL
 SELECT host, seq, n, s, have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END FROM (SELECT r.user_id AS host, r.event_id AS seq, r.n, r.s, least(3.0::DOUBLE, w.tokens + greatest(0.0::DOUBLE, r.s - w.s) * {1 / 86400!r}::DOUBLE) AS have FROM w JOIN r ON r.user_id = w.host AND r.n = w.n + 1))
 SELECT host, seq, allowed, tokens FROM w"""
+
+
+@register(r"""SELECT page_id AS id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language, 'cache' AS method, CAST(0 AS INTEGER) AS tier FROM pages""")
+def cascade_second_run(spark, sf):
+    """A second run over unchanged pages: what the first one accepted is stored, and answers all of them."""
+    hint = {"title": "string", "language": "string"}
+    p = html.with_page(read(spark, sf, "pages"), parts=("metadata",)).select(F.col("page_id").alias("id"), T.cache_key(T.content_hash(F.encode("html", "UTF-8")), F.col("url"), F.lit("p")).alias("cache_key"), F.col("page.metadata").alias("metadata"), F.create_map().cast("map<string,string>").alias("flat"))
+    p = stored(p)
+    first = cascade.run(p, hint, tiers=(0, 1), tier1_requires_markup=False)
+    cache = stored(cascade.to_store(first, p, hint))
+    return cascade.run(p, hint, cache=cache, tiers=(0, 1), tier1_requires_markup=False).select("id", "title", "language", "method", "tier")
+
+
+@register("""SELECT p_partkey, 'h1.name -> "' || p_name || '"' || chr(10) || 'span.price -> "$' || p_size || '"' || chr(10) || 'li -> "' || p_brand || '"' || chr(10) || 'li -> "' || p_type || '"' AS outline FROM part""")
+def page_outlines(spark, sf):
+    """Outlines of product pages: where something is and what it is."""
+    return _product_pages(spark, sf).select("p_partkey", html.skeletons(F.col("html")).alias("outline"))
+
+
+@register(r"""SELECT doc_id, trim(regexp_replace(text, '[ \t\n\r\x0B\f\x{00A0}]+', ' ', 'g')) AS text FROM documents""")
+def fragment_texts(spark, sf):
+    """Texts written as markup with entities, read back without it."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&eacute;"))
+    made = F.concat(F.lit("<div><p class='a>b'>"), F.replace(escaped, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p></div>"))
+    d = read(spark, sf, "documents").select("doc_id", payload.fragment_text(made).alias("text"))
+    return d.select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\r\x0B\f\x{00A0}]+", " ")).alias("text"))
