@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlake.functions import structured
-from weftlake.operators import cascade, dedupe, frontier, html, ordered, reports, tables, validate
+from weftlake.operators import cascade, crawl, dedupe, frontier, html, ordered, reports, tables, validate
 from weftlake.sources import handlers
 from weftlake.store import stored
 
@@ -52,7 +52,7 @@ def test_validation(spark):
     assert rates[3] == 0 and rates[1] == 1
 
 
-def test_leaders_are_greedy(spark):
+def test_leaders_are_greedy(spark, monkeypatch):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(12)]
     prints = {}
@@ -72,10 +72,35 @@ def test_leaders_are_greedy(spark):
         near = sorted(((prints[a] ^ prints[b]).bit_count(), a) for a in reps if a < b and lead[a] == a and (prints[a] ^ prints[b]).bit_count() <= 3)
         lead[b] = near[0][1] if near else b
     assert {r.rep: r.leader for r in dedupe.leaders(classes, pairs, stored).collect()} == lead
+    for size in (0, 3):  # large components by rounds
+        monkeypatch.setattr(dedupe, "RESOLVED", size)
+        assert {r.rep: r.leader for r in dedupe.leaders(classes, pairs, stored).collect()} == lead
     with pytest.raises(ValueError):
         dedupe.near_pairs(classes, 4)
 
 
+def test_leaders_of_a_long_chain_take_few_rounds(spark):
+    classes = spark.range(300).select(F.col("id").alias("rep"))
+    pairs = spark.range(299).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1).alias("distance"))
+    kept = []
+
+    def store(df):
+        kept.append(df)
+        return stored(df)
+
+    got = {r.rep: r.leader for r in dedupe.leaders(classes, pairs, store).collect()}
+    assert got == {i: i - i % 2 for i in range(300)} and len(kept) < 25
+
+
+def test_sitemap_indexes(spark):
+    bodies = [("top", "<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>b</loc></sitemap><sitemap><loc>top</loc></sitemap></sitemapindex>"), ("a", "<urlset><url><loc>p1</loc></url><url><loc>p2</loc></url></urlset>"), ("b", "<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>gone</loc></sitemap></sitemapindex>")]
+    start, stored_ = spark.createDataFrame([("top",), ("top",)], "url string"), spark.createDataFrame(bodies, "url string, body string")
+    found = lambda **kw: sorted(((r.loc, r.sitemap, r.level) for r in crawl.sitemap_pages(start, stored_, **kw).collect()), key=str)
+    assert found() == sorted([("p1", "a", 1), ("p2", "a", 1), (None, "gone", 2)], key=str)
+    assert found(levels=0) == sorted([(None, "a", 1), (None, "b", 1)], key=str)
+    assert crawl.sitemap_pages(start.limit(0), stored_).collect() == []
+
+
 def test_ordered_folds(spark):
     rng = random.Random(5)
     rows = [(k, s, float(s * 40), rng.random() < 0.5) for k in range(4) for s in range(120)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scope as scopes
 from ..functions import urls
 from ..sources import handlers
+from ..store import stored
 
 # Limits of one crawl step.
 MAX_FOLLOW = 200
@@ -25,6 +26,38 @@ def seeds(starts: DataFrame, robots: DataFrame | None = None) -> DataFrame:
     return own.filter("url <> ''").groupBy("url").agg(F.min("_k").alias("_k")).select("url", (F.col("_k") == 1).alias("from_robots"))
 
 
+def sitemap_pages(starts: DataFrame, bodies: DataFrame, levels: int | None = None) -> DataFrame:
+    """loc, sitemap, level: addresses of pages that sitemaps list, through indexes of sitemaps.
+
+    ``starts(url)`` are sitemaps to begin with, ``bodies(url, body)`` the stored
+    ones, one row an address.  A round reads what the one before named; each
+    sitemap is read once, at its smallest level, so indexes that name each other
+    end.  With ``levels``, deeper sitemaps are left unread and come back
+    themselves, with a null ``loc``; so do those that are not stored.
+    """
+    once = starts.select("url").distinct()
+    wave, rounds, found, level = stored(once), [], [], 0
+    while wave.limit(1).count():
+        rounds.append(wave)
+        here = wave.join(bodies, "url", "left")
+        if levels is not None and level > levels:
+            here = here.withColumn("body", F.lit(None).cast("string"))
+        rows = stored(handlers.sitemap_urls(here.filter("body is not null"), "url", "body").select(F.col("url").alias("sitemap"), "loc"))
+        index = here.select("url", F.lower(F.col("body")).contains("<sitemapindex").alias("index"))
+        rows = rows.join(index.select(F.col("url").alias("sitemap"), "index"), "sitemap")
+        found.append(rows.filter("not index").select("loc", "sitemap", F.lit(level).alias("level")))
+        found.append(here.filter("body is null").select(F.lit(None).cast("string").alias("loc"), F.col("url").alias("sitemap"), F.lit(level).alias("level")))
+        read_ = rounds[0]
+        for r in rounds[1:]:
+            read_ = read_.unionByName(r)
+        wave = stored(rows.filter("index").select(F.col("loc").alias("url")).distinct().join(read_, "url", "left_anti"))
+        level += 1
+    out = found[0] if found else once.select(F.col("url").alias("loc"), F.col("url").alias("sitemap"), F.lit(0).alias("level")).limit(0)
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def in_scope(entries: DataFrame, scope: scopes.Scope, url: str = "url") -> DataFrame:
     """Entries of sitemaps and feeds that a crawl may take, as if found at depth 0."""
     c = urls.canonical(F.col(url))

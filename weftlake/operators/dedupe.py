@@ -110,14 +110,64 @@ def near_pairs(classes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     return met.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), apart.alias("distance")).distinct()
 
 
+#: Pairs of a component that one task resolves.
+RESOLVED = 100_000
+
+
+def components(pairs: DataFrame, store) -> DataFrame:
+    """node, comp of ``pairs(a, b)``: the smallest node reachable.
+
+    Labels take the smallest of their neighbours' and then their label's label,
+    so chains shrink by halves; the rounds end when none has changed.
+    """
+    both = store(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("_c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
+        hooked = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
+        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+        fresh = store(hooked.join(up, "comp", "left").select("node", "_old", F.least("comp", F.coalesce("_up", "comp")).alias("comp")))
+        labels = fresh.select("node", "comp")
+        if not fresh.filter("comp <> _old").limit(1).count():
+            return labels
+
+
+def _resolved(rows: pa.Table) -> pa.Table:
+    """The greedy choice inside one component, in order of ids."""
+    before: dict[int, list[tuple[int, int]]] = {}
+    ids = set()
+    for a, b, d in zip(*(rows.column(c).to_pylist() for c in ("a", "b", "distance"))):
+        before.setdefault(b, []).append((d, a))
+        ids |= {a, b}
+    leader: dict[int, int] = {}
+    for x in sorted(ids):
+        leader[x] = min(((d, a) for d, a in before.get(x, ()) if leader[a] == a), default=(0, x))[1]
+    return pa.table({"rep": pa.array(list(leader), pa.int64()), "leader": pa.array(list(leader.values()), pa.int64())})
+
+
 def leaders(classes: DataFrame, pairs: DataFrame, store) -> DataFrame:
-    """rep, leader: greedy choice in order of ids, without a sequential pass.
+    """rep, leader: greedy choice in order of ids: the nearest (then earliest) leader among earlier neighbours, or oneself.
 
-    A class leads once all earlier neighbours are known not to; it follows the
-    nearest (then earliest) leader among them as soon as one is known.  The first
-    undecided one is always decided, so the rounds end.  ``store`` keeps a frame
-    between rounds.
+    Choices depend on a component's own pairs alone.  A component of at most
+    RESOLVED pairs is resolved in order by one task; larger ones by rounds.
+    ``store`` keeps a frame between rounds.
     """
+    pairs = store(pairs)
+    comps = components(pairs, store)
+    keyed = store(pairs.join(comps.select(F.col("node").alias("a"), "comp"), "a"))
+    sizes = store(keyed.groupBy("comp").agg((F.count(F.lit(1)) > RESOLVED).alias("large")))
+    keyed = store(keyed.join(sizes, "comp"))
+    done = keyed.filter("not large").groupBy("comp").applyInArrow(_resolved, "rep long, leader long")
+    if sizes.filter("large").limit(1).count():
+        some = keyed.filter("large").select("a", "b", "distance")
+        nodes = some.select(F.col("a").alias("rep")).union(some.select("b")).distinct()
+        done = done.unionByName(_by_rounds(nodes, some, store))
+    alone = classes.select("rep").join(comps.select(F.col("node").alias("rep")), "rep", "left_anti").select("rep", F.col("rep").alias("leader"))
+    return alone.unionByName(done)
+
+
+def _by_rounds(classes: DataFrame, pairs: DataFrame, store) -> DataFrame:
+    """Without a sequential pass: a class leads once all earlier neighbours are known not to; the first undecided one is always decided."""
     state = store(classes.select("rep", F.lit(None).cast("long").alias("leader")))
     pairs = store(pairs)
     while True:

@@ -41,6 +41,20 @@ def sitemap_scope(spark, sf):
     return entries.filter(F.col("url").rlike("/(?:en|fr)/"))
 
 
+@register(rf"""SELECT url AS loc, {_ORIGIN} || '/' || (page_id % 3) || '.xml' AS sitemap, CAST(2 AS INTEGER) AS level FROM pages""")
+def sitemap_trees(spark, sf):
+    """Pages found from one index of indexes: an index for each origin, three sitemaps in each; indexes name each other and themselves, too."""
+    p = read(spark, sf, "pages").select("page_id", "url", urls.origin(F.col("url")).alias("origin")).withColumn("map", F.concat("origin", F.lit("/"), (F.col("page_id") % 3).cast("string"), F.lit(".xml")))
+    entry = lambda tag, c: F.concat(F.lit(f"<{tag}><loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit(f"</loc></{tag}>"))
+    text = lambda rows, root: F.concat(F.lit(f"<{root}>"), F.array_join(F.array_sort(F.collect_list(rows)), ""), F.lit(f"</{root}>"))
+    maps = p.groupBy(F.col("map").alias("url")).agg(text(entry("url", F.col("url")), "urlset").alias("body"))
+    origins = p.select("origin", "map").distinct().withColumn("index", F.concat("origin", F.lit("/index.xml")))
+    indexes = origins.groupBy(F.col("index").alias("url")).agg(F.concat(text(entry("sitemap", F.col("map")), "sitemapindex"), F.lit("<sitemap><loc>https://top.example/index.xml</loc></sitemap>")).alias("body"))
+    top = origins.select("index").distinct().agg(text(entry("sitemap", F.col("index")), "sitemapindex").alias("body")).select(F.lit("https://top.example/index.xml").alias("url"), "body")
+    bodies = stored(maps.unionByName(indexes).unionByName(top))
+    return crawl.sitemap_pages(bodies.filter("url = 'https://top.example/index.xml'").select("url"), bodies)
+
+
 _STEP_SQL = rf"""l AS (SELECT DISTINCT page_id, {_ORIGIN} || href AS url FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages)),
 c AS (SELECT page_id, url, page_id % 4 AS depth, page_id % 5 = 0 AS nofollow FROM l),
 s AS (SELECT page_id, url, CASE WHEN depth >= 3 THEN 'depth' WHEN nofollow THEN 'nofollow' WHEN regexp_matches(url, '\.[^./]+$') AND NOT regexp_matches(url, '(?i)\.(html?|php|aspx?|jsp)$') THEN 'other' ELSE 'page' END AS reason FROM c)"""

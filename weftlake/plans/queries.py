@@ -225,6 +225,20 @@ def near_dup_classes(spark, sf):
     return dedupe.fingerprint_classes(dedupe.simhash_md5(read(spark, sf, "documents"))).filter("copies > 1").select("rep", "copies")
 
 
+@register(f"""WITH RECURSIVE {SIMHASH_SQL}, c AS (SELECT hi, lo, min(doc_id) AS rep FROM f WHERE hi <> 0 OR lo <> 0 GROUP BY hi, lo),
+p AS (SELECT a.rep AS a, b.rep AS b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS d FROM c a JOIN c b ON a.rep < b.rep AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3),
+o AS (SELECT rep, row_number() OVER (ORDER BY rep) AS n, list(struct_pack(d := p.d, id := p.a)) FILTER (p.a IS NOT NULL) AS near FROM c LEFT JOIN p ON p.b = c.rep GROUP BY rep),
+r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leads, NULL::BIGINT AS rep, NULL::BIGINT AS leader UNION ALL
+SELECT n, CASE WHEN m IS NULL THEN list_append(leads, rep) ELSE leads END, rep, coalesce(m.id, rep) FROM (SELECT o.n, r.leads, o.rep, list_min(list_filter(o.near, lambda x: list_contains(r.leads, x.id))) AS m FROM r JOIN o ON o.n = r.n + 1))
+SELECT f.doc_id, r.leader FROM f JOIN c USING (hi, lo) JOIN r ON r.rep = c.rep""")
+def leaders_md5(spark, sf):
+    """Greedy leaders among fingerprints of the hash that SQL has too."""
+    halves = stored(dedupe.simhash_md5(read(spark, sf, "documents")))
+    classes = stored(dedupe.fingerprint_classes(halves))
+    led = dedupe.leaders(classes, dedupe.near_pairs(classes), stored)
+    return halves.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).join(led, "rep").select("doc_id", "leader")
+
+
 @register()
 def leaders(spark, sf):
     """Greedy leaders by the exact hash family, for every document with words."""
