@@ -91,3 +91,9 @@ def test_dates_in_sentences(spark):
     assert freedates.read("5/6/2021", dayfirst=True) == day(2021, 6, 5) and freedates.read("5/6/2021") == day(2021, 5, 6)
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert [r[0] for r in df.select(freedates.find_date()("t")).collect()] == list(cases.values())
+
+
+def test_robots_rules_with_many_stars(spark):
+    cases = [("/a*b$", "/axxb", True), ("/a*b$", "/axxbc", False), ("/*a*a*a*a*a*a*a*a*a*a*a*b", "/" + "a" * 5000, False), ("/*?p=", "/x?p=1", True), ("*", "/", True), ("/a$", "/a", True), ("/a$", "/ab", False), ("/ab*b$", "/ab", False), ("/a.b", "/axb", False), ("/$x", "/$x/y", True), ("", "/", True)]
+    df = spark.createDataFrame(cases, "v string, p string, w boolean")
+    assert [r.g for r in df.select(handlers.fits_rule(F.col("v"), F.col("p")).alias("g")).collect()] == [w for _, _, w in cases]

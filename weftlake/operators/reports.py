@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,22 @@ def recent(records: DataFrame, created: str, tie: str, limit: int = 25) -> DataF
 def cache_stats(probed: DataFrame, hit: Column) -> DataFrame:
     n = F.count(F.lit(1))
     return probed.agg(n.alias("probes"), F.count_if(hit).alias("hits"), F.round(F.count_if(hit) / F.nullif(n, F.lit(0)), 3).alias("hit_rate"))
+
+
+def limiter_stats(waits: DataFrame) -> DataFrame:
+    """Of ``ordered.limited``: requests, how many waited, seconds waited together and at most."""
+    return waits.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("waited") > 0).alias("delayed"), F.round(F.sum("waited"), 3).alias("waited"), F.round(F.max("waited"), 3).alias("longest"))
+
+
+def breaker_stats(states: DataFrame, host: str = "host", seq: str = "seq") -> DataFrame:
+    """Of ``ordered.breaker_states``: hosts, hosts that opened, trips, and records met by a circuit that was not closed."""
+    before = F.lag("state").over(Window.partitionBy(host).orderBy(seq))
+    trips = states.withColumn("_trip", (F.col("state") == "open") & F.coalesce(before != "open", F.lit(True)))
+    by = trips.groupBy(host).agg(F.count_if("_trip").alias("_t"), F.count_if(F.col("state") != "closed").alias("_o"))
+    return by.agg(F.count(F.lit(1)).alias("hosts"), F.count_if(F.col("_t") > 0).alias("opened"), F.sum("_t").alias("trips"), F.sum("_o").alias("not_closed"))
+
+
+def duplicate_stats(found: DataFrame) -> DataFrame:
+    """Of a duplicate check: documents, exact and near duplicates, and the share that was new."""
+    n = F.count(F.lit(1))
+    return found.agg(n.alias("documents"), F.count_if(F.col("distance") == 0).alias("exact"), F.count_if(F.col("distance") > 0).alias("near"), F.round(F.count_if(F.col("distance").isNull() | (F.col("distance") < 0)) / F.nullif(n, F.lit(0)), 3).alias("new"))

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import charset, detect, freedates, urls
-from ..operators import dedupe, dupindex, frontier, ordered, specs, temporal
+from ..operators import dedupe, dupindex, frontier, ordered, reports, specs, temporal
 from ..sources import captures, lateral
 from ..store import shared_dir, stored
 from ..streaming import ledger
-from .queries import SIMHASH_SQL, read, register
+from .queries import SIMHASH_SQL, SQL, read, register
 
 # --- time --------------------------------------------------------------------
 
@@ -246,3 +246,26 @@ def sentence_dates(spark, sf):
     priority = F.substring("o_orderpriority", 1, 1).cast("int")
     said = F.element_at(F.array(*shapes), priority)
     return read(spark, sf, "orders").select("o_orderkey", freedates.find_date()(said).cast("date").alias("found"))
+
+
+# --- figures of the parts ----------------------------------------------------
+
+
+@register(f"""WITH w AS ({SQL['host_slots']}), d AS ({SQL['incremental_duplicates']}), p AS (SELECT user_id AS host, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'error' AND coalesce(before, '') <> 'error') AS trips FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1)
+SELECT 'limiter' AS part, 'requests' AS figure, count(*)::DOUBLE AS value FROM w UNION ALL SELECT 'limiter', 'delayed', (count(*) FILTER (waited > 0))::DOUBLE FROM w UNION ALL SELECT 'limiter', 'waited', round(sum(waited), 0) FROM w UNION ALL SELECT 'limiter', 'longest', round(max(waited), 3) FROM w
+UNION ALL SELECT 'duplicates', 'documents', count(*)::DOUBLE FROM d UNION ALL SELECT 'duplicates', 'exact', (count(*) FILTER (distance = 0))::DOUBLE FROM d UNION ALL SELECT 'duplicates', 'near', (count(*) FILTER (distance > 0))::DOUBLE FROM d UNION ALL SELECT 'duplicates', 'new', round((count(*) FILTER (distance < 0))::DOUBLE / count(*), 3) FROM d
+UNION ALL SELECT 'breaker', 'hosts', count(*)::DOUBLE FROM p UNION ALL SELECT 'breaker', 'opened', (count(*) FILTER (errors > 0))::DOUBLE FROM p UNION ALL SELECT 'breaker', 'trips', sum(trips)::DOUBLE FROM p UNION ALL SELECT 'breaker', 'not_closed', sum(errors)::DOUBLE FROM p""")
+def engine_statistics(spark, sf):
+    """Figures of the limiter, of a breaker that one failure opens and the next answer closes, and of the duplicate check."""
+    e = read(spark, sf, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0
+    slots = stored(host_slots(spark, sf))
+    ranked = stored(ordered.breaker_states(e, "user_id", "event_id", seconds, F.col("event_type") == "error", threshold=1, recover=0.0, successes=1).join(e.select(F.col("event_id").alias("seq"), "ts"), "seq"))
+    checked = stored(dupindex.check_and_add(stored(dedupe.simhash_md5(read(spark, sf, "documents"))), f"{shared_dir(spark)}/index/{uuid.uuid4().hex}", 0))
+    parts = {"limiter": reports.limiter_stats(slots).withColumn("waited", F.round("waited", 0)), "duplicates": reports.duplicate_stats(checked), "breaker": reports.breaker_stats(ranked, "host", "ts")}
+    rows = None
+    for name, figures in parts.items():
+        long = figures.select(F.lit(name).alias("part"), F.explode(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value")) for c in figures.columns])).alias("f")).select("part", "f.*")
+        rows = long if rows is None else rows.unionByName(long)
+    return rows
+

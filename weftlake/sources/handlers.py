@@ -223,6 +223,23 @@ def robots_rules(df: DataFrame, key: str, body: str) -> DataFrame:
     return _children(df, key, body, read_robots, [("agent", pa.string()), ("directive", pa.string()), ("value", pa.string())])
 
 
+def fits_rule(value: Column, path: Column) -> Column:
+    """Whether a path begins as a rule says: ``*`` stands for anything, a ``$`` at the end for the path's end.
+
+    The texts between stars are looked for one after the other, each where it
+    comes first, so no rule takes longer than its length times the path's.
+    """
+    anchored = value.endswith("$")
+    parts = F.split(F.when(anchored, F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value), r"\*")
+    n = F.size(parts)
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    between = F.slice(parts, F.lit(2), F.greatest(F.when(anchored, n - 2).otherwise(n - 1), F.lit(0)))
+    found = lambda at, x: F.call_function("locate", x, path, at)
+    after = F.aggregate(between, F.when(path.startswith(first), F.length(first) + 1).otherwise(0), lambda at, x: F.when((at == 0) | (x == ""), at).when(found(at, x) == 0, 0).otherwise(found(at, x) + F.length(x)))
+    ends = F.when(n == 1, path == first).otherwise(path.endswith(last) & (F.length(path) - F.length(last) + 1 >= after))
+    return F.coalesce((after > 0) & F.when(anchored, ends).otherwise(F.lit(True)), F.lit(False))
+
+
 def robots_verdict(urls: DataFrame, robots: DataFrame, agent: str, unreachable: str = "allow") -> DataFrame:
     """urls(url, origin, path) with robots(origin, status, body) -> url, allowed, reason.
 
@@ -233,10 +250,8 @@ def robots_verdict(urls: DataFrame, robots: DataFrame, agent: str, unreachable:
     rules = robots_rules(robots.filter("status between 200 and 299"), "origin", "body").filter("directive <> 'delay' and value <> ''")
     own = rules.groupBy("origin").agg(F.max(F.contains(F.lit(agent.lower()), F.col("agent")) & (F.col("agent") != "*")).alias("named"))
     rules = rules.join(own, "origin").filter(F.when(F.col("named"), F.contains(F.lit(agent.lower()), F.col("agent")) & (F.col("agent") != "*")).otherwise(F.col("agent") == "*"))
-    quoted = F.regexp_replace(F.col("value"), r"([\\.\[\]{}()+?^|])", r"\\$1")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\$(?!$)", r"\\\$"), r"\*", ".*"))
-    rules = rules.select("origin", "directive", F.length("value").alias("n"), pattern.alias("pattern"))
-    best = urls.join(rules, "origin").filter(F.rlike(F.col("path"), F.col("pattern"))).groupBy("url").agg(F.max(F.struct("n", (F.col("directive") == "allow").alias("ok"))).alias("best"))
+    rules = rules.select("origin", "directive", "value", F.length("value").alias("n"))
+    best = urls.join(rules, "origin").filter(fits_rule(F.col("value"), F.col("path"))).groupBy("url").agg(F.max(F.struct("n", (F.col("directive") == "allow").alias("ok"))).alias("best"))
     s = F.col("status")
     blanket = F.when(s.isNull() | (s >= 500), F.lit(unreachable == "allow")).when(s.isin(401, 403), F.lit(False)).when(s >= 400, F.lit(True))
     joined = urls.join(robots.select("origin", "status"), "origin", "left").join(best, "url", "left")
