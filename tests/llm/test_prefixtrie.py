@@ -18,7 +18,8 @@ def brute(rows):
     by = collections.defaultdict(list)
     for c, t, r, x, *_ in rows:
         if c is not None:
-            by[c].append(((t is not None, t or 0), r or "", x or ""))
+            tie = hashlib.md5(f"{r or ''}\0{x or ''}".encode()).hexdigest()
+            by[c].append(((t is not None, t or 0, tie), r or "", x or ""))
     by = {c: [(r, x) for _, r, x in sorted(v)] for c, v in by.items()}
     whole = {}
     for c, v in by.items():

@@ -1,8 +1,9 @@
 """Prefix trie of conversations, rolled up by centroid decomposition.
 
-Turns of a conversation are numbered in order (null turn first, then role, then
-text), by ranges of the sorted table, so a conversation with a third of all
-turns is numbered by many tasks.  A prefix is named by the SHA-256 of sums: the
+Turns of a conversation are numbered in order (null turn first; equal turns by
+the MD5 of role, a zero and text), by ranges of the sorted table, so a
+conversation with a third of all turns is numbered by many tasks; what decides
+the ranges is short however long the texts are.  A prefix is named by the SHA-256 of sums: the
 digest of each of its turns with its place, in eight parts, is added up over the
 turns, which many tasks can do for one conversation, too.  Equal sums mean equal
 turns at equal places.  A node is then a group of (conversation, depth) rows;
@@ -69,8 +70,8 @@ def numbered(turns: DataFrame) -> DataFrame:
     share of the conversation, plus the counts of the ranges before.
     """
     clean = turns.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    clean = clean.withColumn("row", F.monotonically_increasing_id())
-    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("row")]
+    clean = clean.withColumn("tie", F.md5(F.concat("role", F.lit("\0"), "text"))).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("tie"), F.col("row")]
     ranged = materialize(clean.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("conv_id", "part").orderBy(*order[1:])
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -329,7 +330,7 @@ def prefix_nodes(turns: DataFrame) -> DataFrame:
 ORACLE = f"""
 WITH RECURSIVE t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(0) || coalesce(text, ''))) AS rank
   FROM conversations WHERE conv_id IS NOT NULL
 ), crc(conv_id, k, c) AS (
   SELECT conv_id, 0::BIGINT, 4294967295::BIGINT FROM (SELECT DISTINCT conv_id FROM t)
