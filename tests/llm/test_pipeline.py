@@ -89,3 +89,20 @@ def test_empty_tables(spark, tmp_path):
     folder = write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, folder).count() == 0
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "pii", "mixing", "packing"]
+
+
+def test_other_columns_and_none_of_the_counts(spark, tmp_path):
+    """Extra columns, names that stages use themselves among them, and a table without n_chars."""
+    docs, labels = corpus()
+    rows = [(i, t, la, s, f"{i}k", i % 3, [i]) for i, t, la, s, _ in docs[:90]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, component_id string, kept int, spans array<long>").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frames = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, frames = frames.columns, stage(spark, frames, str(tmp_path))
+        assert frames.columns == before, name
+        frames.write.parquet(f"{tmp_path}/{name}")
+        frames = spark.read.parquet(f"{tmp_path}/{name}")
+    left = frames.collect()
+    assert left and all(r.component_id == f"{r.doc_id}k" and r.kept == r.doc_id % 3 and r.spans == [r.doc_id] for r in left)
+    assert corpus_pipeline.pack(spark, frames, str(tmp_path)).count() >= len(left)
