@@ -288,7 +288,7 @@ def selector_replay(spark, sf):
 
     rules = html.parse_rules(_ANSWER, ["name", "price", "tags", "stock", "seller"])
     pages = _product_pages(spark, sf).select(F.col("p_partkey").alias("page_id"), "html", F.lit("shop.example.com").alias("domain"))
-    specs = pages.limit(1).select("domain", F.lit(json.dumps(rules)).alias("rules"))
+    specs = spark.createDataFrame([("shop.example.com", json.dumps(rules))], "domain string, rules string")
     r = html.replay_specs(pages, specs, ["name", "price", "tags", "stock"])
     return r.select(F.col("page_id").alias("p_partkey"), *[F.try_element_at("values", F.lit(k)).alias(k) for k in ("name", "price", "tags")], "fill")
 
