@@ -23,6 +23,7 @@ INT_FIELD = r"(?i)count|_count$|quantity|qty|pages?|views?|likes?|year"
 FLOAT_FIELD = r"(?i)rating|score|percent|ratio|average|latitude|longitude"
 IMAGES = ("image", "images", "thumbnail", "logo")
 YES, NO = ("true", "yes", "y", "1"), ("false", "no", "n", "0")
+#: Messages that a model is shown, for ``most``.
 MESSAGES = 20
 
 

@@ -10,7 +10,7 @@ from ..functions import urls
 from ..sources import handlers
 from ..store import stored
 
-# Limits of one crawl step.
+# Fixed value: links that a step of a bounded crawl follows, for ``most``.
 MAX_FOLLOW = 200
 
 

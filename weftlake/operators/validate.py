@@ -18,7 +18,6 @@ REFUSAL = r"(?i)^\s*(i'?m sorry|i cannot|i can'?t|i am unable|as an ai|i don'?t
 MAX_CHARS = 20_000
 # Names of fields that hold links, addresses of mail, dates.
 URL_FIELD, EMAIL_FIELD, DATE_FIELD = r"(?i)(url|link|href|image|logo|thumbnail|photo)s?$", r"(?i)e?mail", r"(?i)(date|published|updated|modified|created|时间)"
-ERRORS = ("placeholder", "schema_echo", "refusal", "lorem_ipsum", "oversized_field", "prompt_echo")
 WARNINGS = ("url_shape", "email_shape", "future_date")
 
 

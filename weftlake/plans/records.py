@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blocks, dates, detect, numbers, payload, policy, structured, urls
+from ..functions import dates, payload, policy, structured
 from ..functions import text as T
-from ..operators import cascade, dedupe, html, ordered, reports, runs, tables, validate
+from ..operators import cascade, dedupe, html, reports, runs, tables, validate
 from ..store import stored
 from .queries import SQL, read, register
 
