@@ -71,6 +71,16 @@ def fingerprint_classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
 MEETING = 1000
 
 
+def meet(one: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffles alone.
+
+    Fingerprints are narrow and a class becomes 20 rows, which Spark's estimates
+    leave out: it takes millions of rows for a small table, and a broadcast would
+    bring them all to the driver.
+    """
+    return one.join(other.hint("merge"), on, how)
+
+
 def distance_of(hi: str, lo: str, hi_b: str, lo_b: str) -> Column:
     """Bits in which two fingerprints differ."""
     return (F.bit_count(F.col(hi).bitwiseXOR(F.col(hi_b))) + F.bit_count(F.col(lo).bitwiseXOR(F.col(lo_b)))).cast("int")
@@ -101,12 +111,12 @@ def near_pairs(classes: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
         raise ValueError(f"six blocks find all pairs up to distance {MAX_DISTANCE} only")
     keyed = band_keys(classes)
     shared = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # most keys are one class's alone
-    keyed = keyed.join(shared, ["table", "key"]).withColumn("_n", F.ceil(F.col("n") / MEETING).cast("int")).withColumn("_at", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    keyed = meet(keyed, shared, ["table", "key"]).withColumn("_n", F.ceil(F.col("n") / MEETING).cast("int")).withColumn("_at", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     one = keyed.select("table", "key", "rep", "hi", "lo", F.col("_at").alias("_i"), every.alias("_j"))
     other = keyed.select("table", "key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "hi", "lo")], every.alias("_i"), F.col("_at").alias("_j"))
     apart = distance_of("hi", "lo", "hi_b", "lo_b")
-    met = one.join(other, ["table", "key", "_i", "_j"]).filter((F.col("rep") < F.col("rep_b")) & (apart <= distance))
+    met = meet(one, other, ["table", "key", "_i", "_j"]).filter((F.col("rep") < F.col("rep_b")) & (apart <= distance))
     return met.select(F.col("rep").alias("a"), F.col("rep_b").alias("b"), apart.alias("distance")).distinct()
 
 
@@ -123,10 +133,10 @@ def components(pairs: DataFrame, store) -> DataFrame:
     both = store(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("_c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
-        hooked = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
+        near = meet(both, labels.select(F.col("node").alias("b"), F.col("comp").alias("_c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
+        hooked = meet(labels, near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
-        fresh = store(hooked.join(up, "comp", "left").select("node", "_old", F.least("comp", F.coalesce("_up", "comp")).alias("comp")))
+        fresh = store(meet(hooked, up, "comp", "left").select("node", "_old", F.least("comp", F.coalesce("_up", "comp")).alias("comp")))
         labels = fresh.select("node", "comp")
         if not fresh.filter("comp <> _old").limit(1).count():
             return labels
@@ -154,15 +164,15 @@ def leaders(classes: DataFrame, pairs: DataFrame, store) -> DataFrame:
     """
     pairs = store(pairs)
     comps = components(pairs, store)
-    keyed = store(pairs.join(comps.select(F.col("node").alias("a"), "comp"), "a"))
+    keyed = store(meet(pairs, comps.select(F.col("node").alias("a"), "comp"), "a"))
     sizes = store(keyed.groupBy("comp").agg((F.count(F.lit(1)) > RESOLVED).alias("large")))
-    keyed = store(keyed.join(sizes, "comp"))
+    keyed = store(meet(keyed, sizes, "comp"))
     done = keyed.filter("not large").groupBy("comp").applyInArrow(_resolved, "rep long, leader long")
     if sizes.filter("large").limit(1).count():
         some = keyed.filter("large").select("a", "b", "distance")
         nodes = some.select(F.col("a").alias("rep")).union(some.select("b")).distinct()
         done = done.unionByName(_by_rounds(nodes, some, store))
-    alone = classes.select("rep").join(comps.select(F.col("node").alias("rep")), "rep", "left_anti").select("rep", F.col("rep").alias("leader"))
+    alone = meet(classes.select("rep"), comps.select(F.col("node").alias("rep")), "rep", "left_anti").select("rep", F.col("rep").alias("leader"))
     return alone.unionByName(done)
 
 
@@ -171,11 +181,11 @@ def _by_rounds(classes: DataFrame, pairs: DataFrame, store) -> DataFrame:
     state = store(classes.select("rep", F.lit(None).cast("long").alias("leader")))
     pairs = store(pairs)
     while True:
-        before = pairs.join(state.select(F.col("rep").alias("a"), F.col("leader").alias("lead_a")), "a")
+        before = meet(pairs, state.select(F.col("rep").alias("a"), F.col("leader").alias("lead_a")), "a")
         seen = before.groupBy(F.col("b").alias("rep")).agg(
             F.min(F.when(F.col("lead_a") == F.col("a"), F.struct("distance", F.col("a").alias("id")))).alias("to"), F.count_if(F.col("lead_a").isNull()).alias("open")
         )
         new = F.coalesce("leader", F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce(F.col("to.id"), F.col("rep"))))
-        state = store(state.join(seen, "rep", "left").select("rep", new.alias("leader")))
+        state = store(meet(state, seen, "rep", "left").select("rep", new.alias("leader")))
         if not state.filter("leader is null").limit(1).count():
             return state
