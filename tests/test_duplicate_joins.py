@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftlake.operators import dedupe
+from weftlake.operators import dedupe, dupindex
 from weftlake.store import stored
 
 
@@ -29,3 +29,10 @@ def test_leaders_send_no_table_through_the_driver(classes):
     led = dedupe.leaders(classes, dedupe.near_pairs(classes), store)
     assert len(frames) >= 6 and not any("Broadcast" in x for x in [*frames, plan(led)])
     assert led.count() == 39
+
+
+def test_an_index_sends_no_table_through_the_driver(spark, classes, tmp_path):
+    prints = classes.select(classes.rep.alias("doc_id"), "hi", "lo")
+    for batch in (0, 1):
+        out = dupindex.check_and_add(prints.filter(f"doc_id % 2 = {batch}"), f"{tmp_path}/index", batch)
+        assert "Broadcast" not in plan(out)

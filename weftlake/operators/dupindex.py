@@ -34,7 +34,7 @@ def check_and_add(prints: DataFrame, path: str, batch: int, distance: int = dedu
     old = _written(spark, f"{path}/classes", "rep long, hi long, lo long", batch)
     bands = _written(spark, f"{path}/bands", "key struct<k0:bigint,k1:bigint,k2:bigint>, rep long, hi long, lo long, `table` int", batch)
     new = dedupe.fingerprint_classes(prints)
-    known = new.join(old.withColumnRenamed("rep", "first"), ["hi", "lo"], "left")
+    known = dedupe.meet(new, old.withColumnRenamed("rep", "first"), ["hi", "lo"], "left")
     fresh = known.filter("first is null").select("rep", "hi", "lo")
     fresh.write.mode("overwrite").parquet(f"{path}/classes/batch={batch}")
     fresh = spark.read.schema("rep long, hi long, lo long").parquet(f"{path}/classes/batch={batch}")
@@ -42,11 +42,11 @@ def check_and_add(prints: DataFrame, path: str, batch: int, distance: int = dedu
     keyed.hint("rebalance", "table").write.mode("overwrite").partitionBy("table").parquet(f"{path}/bands/batch={batch}")
     apart = dedupe.distance_of("hi", "lo", "hi_b", "lo_b")
     other = bands.select("table", "key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "hi", "lo")])
-    before = keyed.join(other, ["table", "key"]).withColumn("distance", apart).filter(F.col("distance") <= distance).select("rep", F.col("rep_b").alias("to"), "distance")
+    before = dedupe.meet(keyed, other, ["table", "key"]).withColumn("distance", apart).filter(F.col("distance") <= distance).select("rep", F.col("rep_b").alias("to"), "distance")
     among = dedupe.near_pairs(fresh, distance).select(F.col("b").alias("rep"), F.col("a").alias("to"), "distance")
     nearest = before.unionByName(among).groupBy("rep").agg(F.min(F.struct("distance", F.col("to").alias("id"))).alias("near"))
-    judged = known.select("hi", "lo", "rep", "first").join(nearest, "rep", "left")
-    out = prints.join(judged, ["hi", "lo"], "left")
+    judged = dedupe.meet(known.select("hi", "lo", "rep", "first"), nearest, "rep", "left")
+    out = dedupe.meet(prints, judged, ["hi", "lo"], "left")
     same = F.when(F.col("first").isNotNull(), F.col("first")).when(F.col("rep") < F.col("doc_id"), F.col("rep"))
     worded = (F.col("hi") != 0) | (F.col("lo") != 0)
     return out.select("doc_id", F.when(worded, F.coalesce(same, F.col("near.id"))).alias("duplicate_of"), F.when(worded, F.when(same.isNotNull(), F.lit(0)).otherwise(F.col("near.distance"))).alias("distance"))
