@@ -23,6 +23,8 @@ from .policy import told_by_form
 PAGES = ("cp1252", "mac_roman", "cp850", "cp437", "cp1250", "cp860", "cp037", "cp500")
 #: Pairs never seen count as this many.
 UNSEEN = 0.01
+#: The share of all languages' pairs in each language: texts hold lines of other ones.
+SHARED = 0.01
 
 
 def _characters(pages: Sequence[str]) -> dict[str, int]:
@@ -85,9 +87,10 @@ def learn(texts: DataFrame, lang: str = "lang", text: str = "text", pages: Seque
     size = len(known) + 1
     langs, pairs, n = np.array(counts.column("lang").to_pylist()), counts.column("pair").to_numpy(), counts.column("n").to_numpy()
     tables = {}
+    every = np.bincount(pairs, n, size * size) if len(pairs) else np.zeros(size * size)
     places = {p: np.array([known.get(bytes([b]).decode(p, "ignore"), 0) for b in range(256)]) for p in pages}
     for name in sorted(set(langs.tolist())):
-        have = np.full(size * size, UNSEEN)
+        have = UNSEEN + SHARED * every
         have[pairs[langs == name]] += n[langs == name]
         have = have.reshape(size, size)
         have[0], have[:, 0] = UNSEEN / size, UNSEEN / size  # bytes that the page does not use, characters of no page

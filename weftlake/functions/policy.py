@@ -106,9 +106,9 @@ def told_by_form(raw: bytes) -> tuple[str | None, str | None]:
 
 
 def _sequences(raw: bytes) -> bool:
-    """Whether bytes above 127 mostly stand in valid UTF-8 sequences."""
-    good = sum(ord(c) > 127 for c in raw.decode("utf-8", "ignore"))
-    return 2 * good >= sum(b >= 0xC0 for b in raw)
+    """Whether bytes above 127 mostly stand in valid UTF-8 sequences; code pages have letters from 0x80 on too."""
+    good = sum(b > 127 for b in raw.decode("utf-8", "ignore").encode())
+    return 4 * good >= 3 * sum(b > 127 for b in raw)
 
 
 def _decode(raw: bytes | None) -> str | None:
