@@ -112,7 +112,11 @@ def json_records(df: DataFrame, key: str, text: str, most: int | None = None) ->
 def read_yaml(text: str) -> Iterator[tuple]:
     import yaml
 
-    yield (json.dumps(yaml.safe_load(text), default=str, ensure_ascii=False),)
+    try:
+        value = yaml.load(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+    except yaml.YAMLError:  # the slower loader has the last word on what is damaged
+        value = yaml.safe_load(text)
+    yield (json.dumps(value, default=str, ensure_ascii=False),)
 
 
 def yaml_values(df: DataFrame, key: str, text: str) -> DataFrame:
