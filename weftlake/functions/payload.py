@@ -8,6 +8,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, LongType, MapType, StringType, StructType
@@ -66,12 +67,13 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else (entities.unescape(t) if "&" in t else t).strip())
 
 
-@F.pandas_udf(StringType())
-def fragment_text(texts: pd.Series) -> pd.Series:
-    """Text of an HTML fragment, pieces joined by a space."""
+@F.arrow_udf(StringType())
+def fragment_text(texts: pa.Array) -> pa.Array:
+    """Text of an HTML fragment, pieces joined by a space; one at a time becomes an object of Python."""
     from ..operators import html
 
-    return texts.map(lambda t: "" if not t else html.parse(t).text(" ") if "<" in t or "&" in t else t.strip())
+    read = lambda t: "" if not t else html.parse(t).text(" ") if "<" in t or "&" in t else t.strip()
+    return pa.array((read(t.as_py()) for t in texts), pa.string(), size=len(texts))
 
 
 # --- payloads and schemas ----------------------------------------------------

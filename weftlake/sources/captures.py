@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "seq long, host string, url string, status int, body string"
 _INSIDE = ("url", "status", "body")
+#: Captures in a batch: all that a worker holds of a host's recording.
+BATCH = 256
 
 
 def record(captures: DataFrame, folder: str, seq: int) -> None:
@@ -50,16 +53,15 @@ def _listed(folder: str) -> list[Part]:
     return [parts[k] for k in sorted(parts)]
 
 
-def _rows(folder: str, part: Part | None) -> Iterator[tuple]:
+def _rows(folder: str, part: Part | None) -> Iterator[pa.RecordBatch]:
     if part is None:  # a read without partitions
         return
     system, _ = _opened(folder)
     for f in system.get_file_info(fs.FileSelector(part.path)):
         if f.path.endswith(".parquet"):
             with system.open_input_file(f.path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(4096, columns=list(_INSIDE)):
-                    for url, status, body in zip(*(batch.column(c).to_pylist() for c in _INSIDE)):
-                        yield part.seq, part.host, url, status, body
+                for b in pq.ParquetFile(source, pre_buffer=False).iter_batches(BATCH, columns=list(_INSIDE)):
+                    yield pa.RecordBatch.from_arrays([pa.array([part.seq] * b.num_rows, pa.int64()), pa.array([part.host] * b.num_rows), *(b.column(c) for c in _INSIDE)], names=["seq", "host", *_INSIDE])
 
 
 _TESTS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
@@ -81,7 +83,7 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         return [p for p in _listed(self.folder) if all(test(getattr(p, name), value) for name, test, value in self.tests)]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return _rows(self.folder, partition)
 
 
@@ -98,7 +100,7 @@ class CaptureStream(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Part]:
         return [p for p in _listed(self.folder) if start["seq"] < p.seq <= end["seq"]]
 
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return _rows(self.folder, partition)
 
     def commit(self, end: dict) -> None:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 ROWS, ENTRIES, URLS = 10_000, 100, 5_000
 #: Limits on what a packed blob may unfold to: a member beyond them is a row with ``error``.
 MAX_MEMBERS, MAX_MEMBER, MAX_RATIO, MAX_TOTAL, MAX_ATTACHMENT = 200, 64 << 20, 200, 512 << 20, 32 << 20
+#: Blobs read before their rows go on: what a worker holds does not depend on Spark's batches.
+SLICE = 256
 KEPT_HEADERS = ("from", "to", "cc", "subject", "date", "message-id", "reply-to")
 
 
@@ -38,7 +40,7 @@ def _children(df: DataFrame, key: str, blob: str, read: Callable[[object], Itera
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             keys, places, errors, rows = [], [], [], []
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if raw is None:
