@@ -50,6 +50,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
+def spaced_words(text: Column) -> Column:
+    """The words of ``words`` as one text, a space between two."""
+    return F.trim(F.regexp_replace(F.lower(text), WORD.replace("[", "[^"), " "))
+
+
 def shingles(tokens: Column, size: int = SHINGLE) -> Column:
     """Runs of ``size`` words; fewer words are one run, none are none.
 

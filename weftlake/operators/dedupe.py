@@ -7,7 +7,6 @@ a large group of copies is one row; pairs are between representatives.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -15,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import md5
 from ..functions import text as T
+from ..session import dealt
 
 #: Blocks of a fingerprint; every pair at this distance or less agrees in half of them.
 BLOCKS, MAX_DISTANCE = 6, 3
@@ -38,28 +39,57 @@ def duplicate_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 _BITS = np.left_shift(np.int64(1), np.arange(31, -1, -1, dtype=np.int64))
 
 
+#: Characters of the texts that are hashed together.
+TOGETHER = 1 << 20
+
+
+def _votes(texts: list[str]) -> np.ndarray:
+    """hi, lo of texts of words between single spaces: the signs of the sums of their shingles' MD5 bits, the first 64.
+
+    A shingle is a stretch of its text, so nothing is joined: only places are counted.
+    """
+    raw, n = " ".join(texts).encode(), np.array([t.count(" ") + 1 for t in texts])
+    space = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
+    begin, end, ends = np.append(0, space + 1), np.append(space, len(raw)), np.cumsum(n)
+    runs = np.maximum(n - SIZE + 1, 1)
+    upto = np.cumsum(runs)
+    word = np.arange(upto[-1]) + np.repeat(ends - n - (upto - runs), runs)
+    last = np.minimum(word + SIZE, np.repeat(ends, runs)) - 1
+    head = md5.first_eight(raw, begin[word], end[last] - begin[word])
+    out = np.empty((len(texts), 2), np.int64)
+    for i, (k, m) in enumerate(zip(upto.tolist(), runs.tolist())):
+        ones = sum(np.unpackbits(head[j : min(j + md5.LANES, k)], axis=1).sum(0, dtype=np.int64) for j in range(k - m, k, md5.LANES))
+        out[i] = ((2 * ones > m).reshape(2, 32) * _BITS).sum(1)
+    return out
+
+
 def _md5_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The signs of the sums of a row's shingles' MD5 bits, the first 64, as two halves."""
+    """Fingerprints of rows (key, words between single spaces), some texts at a time; rows without words are left out."""
     for batch in batches:
-        out = np.zeros((batch.num_rows, 2), np.int64)
-        for i, words in enumerate(batch.column(1)):
-            w = words.as_py()
-            raw = b"".join([md5(" ".join(w[k : k + SIZE]).encode()).digest()[:8] for k in range(max(1, len(w) - SIZE + 1))])
-            n = len(raw) // 8
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-            out[i] = ((2 * ones > n).reshape(2, 32) * _BITS).sum(1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], names=[batch.schema.names[0], "hi", "lo"])
+        rows, texts, held = [], [], 0
+        for i, t in enumerate(batch.column(1)):
+            if t := t.as_py():
+                rows.append(i)
+                texts.append(t)
+                held += len(t)
+            if texts and (held >= TOGETHER or i + 1 == batch.num_rows):
+                out = _votes(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(out[:, 0]), pa.array(out[:, 1])], names=[batch.schema.names[0], "hi", "lo"])
+                rows, texts, held = [], [], 0
 
 
 def simhash_md5(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, hi, lo: the fingerprint's halves, by signed votes over shingles' MD5 bits; votes stay in the row."""
-    worded = df.select(key, T.words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    """key, hi, lo: the fingerprint's halves, by signed votes over shingles' MD5 bits; votes stay in the row.
+
+    Texts are dealt over the cores: a file of many is one split where its rows are one group.
+    """
+    worded = dealt(df.select(key, text), key).select(key, T.spaced_words(F.col(text)).alias("w"))
     return worded.mapInArrow(_md5_votes, f"`{key}` {dict(df.dtypes)[key]}, hi long, lo long")
 
 
 def simhash_blake2b(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, simhash (signed 64 bits)."""
-    return df.select(key, T.simhash_blake2b(T.words(F.col(text))).alias("simhash"))
+    return dealt(df.select(key, text), key).select(key, T.simhash_blake2b(T.words(F.col(text))).alias("simhash"))
 
 
 def fingerprint_classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
