@@ -40,7 +40,7 @@ _BITS = np.left_shift(np.int64(1), np.arange(31, -1, -1, dtype=np.int64))
 
 
 #: Characters of the texts that are hashed together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 
 
 def _votes(texts: list[str]) -> np.ndarray:
