@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_join
+from .common import materialize, meet, salted_join
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
     while True:
         near = salted_join(both, labels.select(F.col("node").alias("b"), F.col("comp").alias("_c")), "b", salt="a").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
-        hooked = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
+        hooked = meet(labels, near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
         fresh = salted_join(hooked, up, "comp", "left", salt="node").select("node", "_old", F.least("comp", F.coalesce("_up", "comp")).alias("comp"))
         fresh = materialize(fresh, "labels")

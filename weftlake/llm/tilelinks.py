@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .addquant import scaled, usable
-from .common import materialize, salted_join
+from .common import materialize, meet, salted_join
 
 THRESHOLD = 0.9
 #: Bytes of a block's vectors, eight a component: 4,096 vectors of 64 dimensions.
@@ -153,8 +153,8 @@ def _compared(threshold: float) -> Callable[[pa.Table], pa.Table]:
 def _pairs(classes: DataFrame) -> DataFrame:
     """classes(node, members, v) dealt to all pairs of blocks: d, i, j, left, node, members, v."""
     rows = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("d"))))
-    blocks = classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select("d", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))
-    dealt = salted_join(classes, blocks, "d", salt="node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = classes.groupBy("d").agg(F.count(F.lit(1)).alias("n")).select("d", F.ceil(F.col("n") / rows).cast("int").alias("blocks"))  # a row for each length
+    dealt = classes.join(F.broadcast(blocks), "d").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # with itself and those after it as the first of a pair, with those before it as the second
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = dealt.select("d", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), "node", "members", "v")
@@ -192,7 +192,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes, found = links(rows, threshold)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = graph.components(found.filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
-    named = classes.select("set_id", "node", "members", "first_id").join(linked, "node", "left").join(comps, "node", "left")
+    named = meet(meet(classes.select("set_id", "node", "members", "first_id"), linked, "node", "left"), comps, "node", "left")
     named = materialize(named.withColumn("comp", F.coalesce("comp", "node")), "named")
     first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = salted_join(named, first, "comp", salt="node").select("set_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
