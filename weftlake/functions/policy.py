@@ -129,6 +129,12 @@ def decode_bytes(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if (t := _decode(x)) is None or not t.strip() else t)
 
 
+@F.pandas_udf(StringType())
+def decode_whole(raw: pd.Series) -> pd.Series:
+    """As ``decode_bytes``, with white space and empty texts kept as they are."""
+    return raw.map(lambda x: None if x is None else _decode(x) or "")
+
+
 _SIZE = StructType([StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("image_format", StringType())])
 
 
