@@ -59,7 +59,7 @@ def charset_guesses(spark, sf):
     model = charset.learn(d)
     page = F.element_at(F.array(*[F.lit(p) for p in charset.PAGES]), (F.pmod(F.xxhash64("doc_id"), F.lit(len(charset.PAGES))) + 1).cast("int"))
     raw = stored(d.select("doc_id", charset.encoded("text", page).alias("raw")))
-    back = raw.select("doc_id", charset.decoded(F.col("raw"), model).alias("r"))
+    back = raw.select("doc_id", charset.decoded(F.col("raw"), model, whole=True).alias("r"))
     return back.select("doc_id", F.sha2(F.encode("r.text", "UTF-8"), 256).alias("sha"))
 
 
