@@ -23,10 +23,10 @@ def test_near_duplicate_vectors(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in out.collect()} == {(3, 0), (3, 1), (3, 2)}
 
 
-def test_salted_and_spread_joins(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT", 4)
+def test_salted_joins(spark):
     one = common.materialize(spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k long, v string"), "one")
     many = common.materialize(spark.createDataFrame([(k, 0 if k < 9 else k % 5) for k in range(20)], "n long, k long"), "many")
-    for joined in (common.salted_join(many, one, "k", salt="n"), common.spread_join(many, one, "k", "n")):
-        assert "Broadcast" not in plan(joined)
-        assert sorted((r.n, r.v) for r in joined.collect()) == [(n, "v0" if n < 9 else f"v{n % 5}") for n in range(20)]
+    joined = common.salted_join(many, one, "k", salt="n", grows=True)
+    assert "Broadcast" not in plan(joined)
+    for df in (joined, common.salted_join(many, one, "k", salt="n")):
+        assert sorted((r.n, r.v) for r in df.collect()) == [(n, "v0" if n < 9 else f"v{n % 5}") for n in range(20)]

@@ -191,12 +191,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = materialize(rows.mapInArrow(_digests, "vec_id long, set_id string, v array<double>"), "rows")
     classes, found = links(rows, threshold)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    comps = graph.components(found.filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
+    comps = graph.components(found.filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")), grows=True)
     named = meet(meet(classes.select("set_id", "node", "members", "first_id"), linked, "node", "left"), comps, "node", "left")
     named = materialize(named.withColumn("comp", F.coalesce("comp", "node")), "named")
     first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = salted_join(named, first, "comp", salt="node").select("set_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = salted_join(rows.select("vec_id", "set_id"), named, "set_id", "left", salt="vec_id")
+    named = salted_join(named, first, "comp", salt="node", grows=True).select("set_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    out = salted_join(rows.select("vec_id", "set_id"), named, "set_id", "left", salt="vec_id", grows=True)
     alone = F.col("set_id").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
